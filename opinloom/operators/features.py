@@ -1,21 +1,22 @@
 """Sparse feature vectors: a fitted, saveable stage list with the semantics of the long tables.
 
-A vocabulary up to ``max_terms`` is collected (its size is counted first) and indexed
-alphabetically. A larger one is hashed into ``max_terms`` slots, so no term is left out.
+A vocabulary of up to ``max_terms`` words is used as it is; its size is counted before it is
+collected. A larger one is hashed into ``max_terms`` slots, so no word is left out.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
+    IDF,
+    CountVectorizer,
     CountVectorizerModel,
     ElementwiseProduct,
     HashingTF,
     Normalizer,
     RegexTokenizer,
 )
-from pyspark.ml.linalg import DenseVector, Vectors
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,48 +33,38 @@ def _tokenizer(text: str) -> RegexTokenizer:
     )
 
 
-def _slot_frequencies(tokenised: DataFrame, slots: int) -> tuple[HashingTF, dict[int, int]]:
-    """Documents per hash slot; at most ``slots`` rows reach the driver."""
-    hashing = HashingTF(inputCol=TOKENS, outputCol=COUNTS, numFeatures=slots)
-    used = hashing.transform(tokenised).select(
-        F.explode(F.unwrap_udt(COUNTS)["indices"]).alias("slot")
-    )
-    return hashing, {r.slot: r["count"] for r in used.groupBy("slot").count().collect()}
-
-
 def fit_vectorizer(df: DataFrame, text: str, weighting: str = "tfidf", max_terms: int = MAX_TERMS) -> PipelineModel:
     """Fit bag-of-words (``count``) or TF-IDF (``tfidf``) features on a text column."""
     if weighting not in ("count", "tfidf"):
         raise ValueError("weighting is 'count' or 'tfidf'")
-    frequencies = document_frequency(df.select(words(F.col(text)).alias(TOKENS)), TOKENS)
-    found = frequencies.limit(max_terms + 1).count()
-    if found == 0:
+    tokenised = df.select(words(F.col(text)).alias(TOKENS))
+    size = document_frequency(tokenised, TOKENS).count()
+    if size == 0:
         raise ValueError("empty vocabulary")
-    if found <= max_terms:
-        rows = sorted((r.term, r.df) for r in frequencies.collect())
-        vectorizer = CountVectorizerModel.from_vocabulary(
-            [term for term, _ in rows], inputCol=TOKENS, outputCol=COUNTS
-        )
-        slot_df = {i: df for i, (_, df) in enumerate(rows)}
-        size = len(rows)
+    if size <= max_terms:
+        counter = CountVectorizer(inputCol=TOKENS, outputCol=COUNTS, minDF=1.0, vocabSize=size).fit(tokenised)
     else:
-        tokenised = df.select(words(F.col(text)).alias(TOKENS))
-        vectorizer, slot_df = _slot_frequencies(tokenised, max_terms)
-        size = max_terms
+        counter = HashingTF(inputCol=TOKENS, outputCol=COUNTS, numFeatures=max_terms)
     if weighting == "count":
-        return PipelineModel([_tokenizer(text), vectorizer.setOutputCol(FEATURES)])
+        return PipelineModel([_tokenizer(text), counter.setOutputCol(FEATURES)])
+    # Spark's idf is ln((n + 1) / (df + 1)); the smoothed form adds one.
+    idf = IDF(inputCol=COUNTS, outputCol=SCALED).fit(counter.transform(tokenised)).idf
     return PipelineModel([
         _tokenizer(text),
-        vectorizer,
-        ElementwiseProduct(inputCol=COUNTS, outputCol=SCALED, scalingVec=_idf_vector(df, slot_df, size)),
+        counter,
+        ElementwiseProduct(inputCol=COUNTS, outputCol=SCALED, scalingVec=Vectors.dense(idf.toArray() + 1)),
         Normalizer(inputCol=SCALED, outputCol=FEATURES, p=2.0),
     ])
 
 
-def _idf_vector(df: DataFrame, slot_df: dict[int, int], size: int) -> DenseVector:
-    """ln((1 + n) / (1 + df)) + 1 per slot."""
-    frequencies = np.array([slot_df.get(slot, 0) for slot in range(size)])
-    return Vectors.dense(np.log((1 + df.count()) / (1 + frequencies)) + 1)
+def feature_width(vectorizer: PipelineModel) -> int:
+    counter = vectorizer.stages[1]
+    return len(counter.vocabulary) if isinstance(counter, CountVectorizerModel) else counter.getNumFeatures()
+
+
+def slot_terms(df: DataFrame, vectorizer: PipelineModel) -> DataFrame:
+    """``slot, term`` of a fitted vocabulary (at most ``max_terms`` rows)."""
+    return df.sparkSession.createDataFrame(list(enumerate(vectorizer.stages[1].vocabulary)), "slot int, term string")
 
 
 def vector_terms(df: DataFrame, doc: str, vector: str) -> DataFrame:

@@ -6,7 +6,7 @@ or reviewer with a large share of the reviews stays one pre-aggregated row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinloom.functions.labels import to_polarity
@@ -14,6 +14,11 @@ from opinloom.operators.joins import left_join_counts
 from opinloom.operators.ordering import activity_quartile
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson correlation; null where either side does not vary."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def _mean_by_key(reviews: DataFrame, key: str, score: str) -> DataFrame:
     return reviews.groupBy(key).agg(F.count(F.lit(1)).alias("n_reviews"), F.avg(score).alias("mean_score"))
 
@@ -39,7 +44,7 @@ def popularity_vs_rating(reviews: DataFrame, key: str, score: str) -> DataFrame:
     """Businesses by review-count magnitude (powers of two): mean rating of each group."""
     per_business = _mean_by_key(reviews, key, score)
     return (
-        per_business.groupBy(F.floor(F.log2("n_reviews")).cast("int").alias("magnitude"))
+        per_business.groupBy((F.length(F.bin("n_reviews")) - 1).alias("magnitude"))
         .agg(
             F.count(F.lit(1)).alias("n_businesses"),
             F.sum("n_reviews").alias("n_reviews"),
@@ -51,7 +56,7 @@ def popularity_vs_rating(reviews: DataFrame, key: str, score: str) -> DataFrame:
 def popularity_correlation(reviews: DataFrame, key: str, score: str) -> DataFrame:
     """Correlation of review count and mean rating over businesses."""
     return _mean_by_key(reviews, key, score).agg(
-        F.corr("n_reviews", "mean_score").alias("correlation"), F.count(F.lit(1)).alias("n_businesses")
+        correlation("n_reviews", "mean_score").alias("correlation"), F.count(F.lit(1)).alias("n_businesses")
     )
 
 
@@ -97,7 +102,7 @@ def experience_vs_length(reviews: DataFrame, user: str, length: str) -> DataFram
 def experience_correlation(reviews: DataFrame, user: str, length: str) -> DataFrame:
     """Correlation over users of their review count and mean review length."""
     per_user = reviews.groupBy(user).agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("mean_length"))
-    return per_user.agg(F.corr("n", "mean_length").alias("correlation"), F.count(F.lit(1)).alias("n_users"))
+    return per_user.agg(correlation("n", "mean_length").alias("correlation"), F.count(F.lit(1)).alias("n_users"))
 
 
 def length_by_score(reviews: DataFrame, score: str, length: str) -> DataFrame:
@@ -106,7 +111,7 @@ def length_by_score(reviews: DataFrame, score: str, length: str) -> DataFrame:
     return histogram.groupBy(score).agg(
         F.sum("n").alias("n_reviews"),
         (F.sum(F.col(length) * F.col("n")) / F.sum("n")).alias("mean_length"),
-        F.percentile(length, 0.5, "n").alias("median_length"),
+        F.percentile(length, 0.5, F.col("n")).alias("median_length"),
     )
 
 
@@ -122,7 +127,7 @@ def attachments_correlation(reviews: DataFrame, attachments: DataFrame, key: str
     """Correlation over businesses of attachment count and mean rating."""
     rated = left_join_counts(_mean_by_key(reviews, key, score), attachments, key, "n_attachments")
     return rated.agg(
-        F.corr("n_attachments", "mean_score").alias("correlation"), F.count(F.lit(1)).alias("n_businesses")
+        correlation("n_attachments", "mean_score").alias("correlation"), F.count(F.lit(1)).alias("n_businesses")
     )
 
 

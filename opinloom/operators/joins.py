@@ -19,7 +19,7 @@ _SALTS = "__salts"
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate for the plan, None if the session does not expose it."""
     plan = getattr(df, "_jdf", None)
-    return None if plan is None else int(plan.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return None if plan is None else int(plan.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def is_broadcastable(df: DataFrame) -> bool:

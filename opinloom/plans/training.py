@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import CountVectorizerModel, IndexToString, SQLTransformer
+from pyspark.ml.feature import IndexToString, SQLTransformer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from opinloom.contract import TEXT_COLUMNS
 from opinloom.functions.cleaning import document
 from opinloom.functions.labels import class_index
 from opinloom.operators import classifiers
-from opinloom.operators.features import FEATURES, MAX_TERMS, fit_vectorizer
+from opinloom.operators.features import FEATURES, MAX_TERMS, feature_width, fit_vectorizer
 from opinloom.operators.metrics import class_report, confusion
 from opinloom.operators.projection import distinct_labels, require_columns, require_rows
 
@@ -80,8 +80,7 @@ def fit_text_model(
     labels = require_rows(distinct_labels(train, label)).first().labels
     limit = max_terms or (PERCEPTRON_TERMS if kind == "mlp" else MAX_TERMS)
     vectorizer = fit_vectorizer(train, text, weighting, limit)
-    counter = vectorizer.stages[1]
-    inputs = len(counter.vocabulary) if isinstance(counter, CountVectorizerModel) else counter.getNumFeatures()
+    inputs = feature_width(vectorizer) if kind == "mlp" else 0
     fitted = _fit(vectorizer.transform(train.select(text, label)), label, labels, kind, inputs, options)
     return PipelineModel([*vectorizer.stages, *fitted])
 

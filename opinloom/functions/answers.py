@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from opinloom.contract import POLARITY_WORDS
-from opinloom.functions.cleaning import strip
 
 LABEL_WORD = rf"(?<![\p{{L}}\p{{N}}_])({'|'.join(POLARITY_WORDS)})(?![\p{{L}}\p{{N}}_])"
 # One candidate wrapped in brackets: text after the object then makes the whole malformed.
@@ -27,37 +26,43 @@ def label_to_polarity(label: Column) -> Column:
     return rule
 
 
-def _object(candidate: Column) -> Column:
-    wrapped = F.concat(F.lit("["), candidate, F.lit("]"))
-    parsed = F.from_json(wrapped, ANSWER, {"allowSingleQuotes": "false"})
-    return F.when(F.size(parsed) == 1, F.get(parsed, F.lit(0)))
+def object_text(answer: Column) -> Column:
+    """From the first opening to the last closing brace; null if there is none.
+
+    Code fences and prose around an object fall away; an answer that is an object as a whole is
+    its own longest braced part.
+    """
+    return F.nullif(F.regexp_extract(answer, r"(?s)\{.*\}", 0), F.lit(""))
+
 
+def without_stray_commas(text: Column) -> Column:
+    """Drop commas before a closing bracket."""
+    return F.regexp_replace(text, r",\s*([}\]])", "$1")
 
-def _python_object(candidate: Column) -> Column:
-    """The same for a Python literal: single quotes, True / False / None."""
-    text = candidate
-    for word, json in (("True", "true"), ("False", "false"), ("None", "null")):
-        text = F.regexp_replace(text, rf"([:,\[]\s*){word}(?=\s*[,}}\]])", f"$1{json}")
+
+def _parse(text: Column, single_quotes: bool) -> Column:
     wrapped = F.concat(F.lit("["), text, F.lit("]"))
-    parsed = F.from_json(wrapped, ANSWER, {"allowSingleQuotes": "true"})
-    plain_json_word = candidate.rlike(r"[:,\[]\s*(true|false|null)\s*[,}\]]")
-    return F.when((F.size(parsed) == 1) & ~plain_json_word, F.get(parsed, F.lit(0)))
+    parsed = F.from_json(wrapped, ANSWER, {"allowSingleQuotes": str(single_quotes).lower()})
+    return F.when(F.size(parsed) == 1, F.get(parsed, F.lit(0)))
+
+
+def _parse_literal(text: Column) -> Column:
+    """A Python literal: single quotes, True / False / None, and none of their JSON spellings."""
+    value = r"([:,\[]\s*){0}(?=\s*[,}}\]])"
+    json = text
+    for word, spelling in (("True", "true"), ("False", "false"), ("None", "null")):
+        json = F.regexp_replace(json, value.format(word), f"$1{spelling}")
+    is_json = text.rlike(value.format("(true|false|null)"))
+    is_literal = text.contains("'") | text.rlike("True|False|None")
+    return F.when(is_literal & ~is_json, _parse(json, single_quotes=True))
 
 
-def parse_answer(answer: Column) -> Column:
-    """The answer object as ``struct<overall_score variant, aspects map<string, variant>>``.
+def parse_object(text: Column, repaired: Column) -> Column:
+    """The object as ``struct<overall_score variant, aspects map<string, variant>>``.
 
-    Code fences are removed; then the text, the outermost braces and both with stray commas
-    dropped are tried in that order. Null if none of them is an object.
+    The braced text is tried first, then the same without stray commas; null if neither parses.
     """
-    text = F.regexp_replace(strip(answer), r"^```(?i:json)?\s*", "")
-    text = F.regexp_replace(text, r"\s*```$", "")
-    braces = F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
-    attempts = []
-    for candidate in (text, braces):
-        repaired = F.regexp_replace(candidate, r",\s*([}\]])", "$1")
-        for shape in (candidate, repaired):
-            attempts += [_object(shape), _python_object(shape)]
+    attempts = [attempt for shape in (text, repaired) for attempt in (_parse(shape, False), _parse_literal(shape))]
     return F.coalesce(*attempts)
 
 

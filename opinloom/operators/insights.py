@@ -134,7 +134,9 @@ def attachments_correlation(reviews: DataFrame, attachments: DataFrame, key: str
 def aspect_summary(answers: DataFrame, aspects: str) -> DataFrame:
     """Mentions, mean score, positive and negative counts per aspect."""
     return (
-        answers.select(F.explode(aspects).alias("aspect", "score"))
+        # The outer form keeps Spark from repeating the answer parsing in a filter below the explode.
+        answers.select(F.explode_outer(aspects).alias("aspect", "score"))
+        .where(F.col("aspect").isNotNull())
         .groupBy("aspect")
         .agg(
             F.count(F.lit(1)).alias("n"),

@@ -1,29 +1,37 @@
 """Bag-of-words and TF-IDF as long tables.
 
-Document frequencies need no per-document grouping (each document contributes its distinct
-terms), so only ``term -> count`` partial sums are shuffled. Weights meet their idf through the
-salted join of ``joins``: a term found in every document is spread over many tasks.
+``tokens`` is a token column or expression. Term counts hash the short text over the tasks by
+document; counting terms within a document and normalising it then need no further shuffle, and
+the long table is never moved. Document frequencies need no grouping by document: each document
+contributes its distinct terms, so only ``term -> count`` partial sums are shuffled. Where the idf
+table is too large to broadcast, weights meet it through the salted join of ``joins``: a term
+found in every document is spread over many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinloom.operators.joins import is_broadcastable, salted_left_join
 from opinloom.operators.ordering import with_dense_ordinal
 
 
-def term_counts(df: DataFrame, doc: str, tokens: str, *keep: str) -> DataFrame:
+def _bind(df: DataFrame, tokens: Column | str) -> DataFrame:
+    return df.select((F.col(tokens) if isinstance(tokens, str) else tokens).alias("tokens"))
+
+
+def term_counts(df: DataFrame, doc: str, tokens: Column | str, *keep: str) -> DataFrame:
     """Term frequency per document: ``doc, *keep, term, tf``."""
     return (
-        df.select(doc, *keep, F.explode(tokens).alias("term"))
+        df.repartition(doc)
+        .select(doc, *keep, F.explode(tokens).alias("term"))
         .groupBy(doc, *keep, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
 
 
-def document_frequency(df: DataFrame, tokens: str) -> DataFrame:
+def document_frequency(df: DataFrame, tokens: Column | str) -> DataFrame:
     """Number of documents each term occurs in: ``term, df``."""
     return (
         df.select(F.explode(F.array_distinct(tokens)).alias("term"))
@@ -32,24 +40,45 @@ def document_frequency(df: DataFrame, tokens: str) -> DataFrame:
     )
 
 
-def vocabulary(df: DataFrame, tokens: str) -> DataFrame:
-    """Every term with its frequencies and its alphabetical index: ``term, df, tf, term_index``."""
-    once = F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d")))
-    again = F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(0).alias("d")))
+def vocabulary(df: DataFrame, tokens: Column | str) -> DataFrame:
+    """Every term with its frequencies and its alphabetical index: ``term, df, tf, term_index``.
+
+    Distinct terms and all terms of a document are exploded as one list; the position tells them
+    apart, so both frequencies come from one partial aggregation.
+    """
+    once = F.array_distinct("tokens")
+    # Both bound below the generator: there they are computed once per document, not per term.
+    bound = _bind(df, tokens).select("tokens", F.size(once).alias("n_distinct"))
+    listed = bound.select("n_distinct", F.posexplode_outer(F.concat(once, "tokens")).alias("pos", "term"))
     terms = (
-        df.select(F.inline(F.concat(once, again)))
+        listed.where(F.col("term").isNotNull())
         .groupBy("term")
-        .agg(F.sum("d").alias("df"), F.count_if(F.col("d") == 0).alias("tf"))
+        .agg(
+            F.count_if(F.col("pos") < F.col("n_distinct")).alias("df"),
+            F.count_if(F.col("pos") >= F.col("n_distinct")).alias("tf"),
+        )
     )
     return with_dense_ordinal(terms, "term").withColumnRenamed("ordinal", "term_index")
 
 
+def ngram_counts(df: DataFrame, tokens: Column | str, n: int) -> DataFrame:
+    """Corpus frequency of each n-gram: ``gram, n``. Shifted lists are zipped, then exploded."""
+    if n < 1:
+        raise ValueError("n must be at least 1")
+    length = F.greatest(F.size("tokens") - F.lit(n - 1), F.lit(0))
+    shifted = [F.slice("tokens", F.lit(i + 1), length).alias(f"w{i}") for i in range(n)]
+    grams = _bind(df, tokens).select(F.inline(F.arrays_zip(*shifted)))
+    return grams.groupBy(*grams.columns).agg(F.count(F.lit(1)).alias("n")).select(
+        F.concat_ws(" ", *grams.columns).alias("gram"), "n"
+    )
+
+
 def smooth_idf(n_documents, df) -> F.Column:
     """ln((1 + n) / (1 + df)) + 1."""
     return F.log((1 + n_documents) / (1 + df)) + 1
 
 
-def inverse_document_frequency(df: DataFrame, tokens: str) -> DataFrame:
+def inverse_document_frequency(df: DataFrame, tokens: Column | str) -> DataFrame:
     """Smoothed inverse document frequency: ``term, df, idf``."""
     n = df.agg(F.count(F.lit(1))).scalar()
     return document_frequency(df, tokens).withColumn("idf", smooth_idf(n, F.col("df")))
@@ -68,7 +97,7 @@ def weigh(counts: DataFrame, idf: DataFrame, doc: str) -> DataFrame:
     return joined.withColumn("weight", raw / norm)
 
 
-def tfidf(df: DataFrame, doc: str, tokens: str, *keep: str) -> DataFrame:
+def tfidf(df: DataFrame, doc: str, tokens: Column | str, *keep: str) -> DataFrame:
     """Long TF-IDF table: ``doc, *keep, term, tf, idf, weight``; each document has norm 1."""
     counts = term_counts(df, doc, tokens, *keep)
     return weigh(counts, inverse_document_frequency(df, tokens), doc)

@@ -12,8 +12,10 @@ from opinloom.functions.answers import (
     aspect_scores,
     extract_label,
     label_to_polarity,
+    object_text,
     overall_score,
-    parse_answer,
+    parse_object,
+    without_stray_commas,
 )
 from opinloom.functions.prompts import (
     FEW_SHOT_POLARITY,
@@ -57,12 +59,14 @@ def read_polarity(answered: DataFrame) -> DataFrame:
 
 def read_scores(answered: DataFrame) -> DataFrame:
     """Adds ``predicted_score_label`` and ``predicted_aspects``."""
-    parsed = F.when(F.col("error").isNull(), parse_answer(F.col("raw_model_output")))
+    braced = F.when(F.col("error").isNull(), object_text(F.col("raw_model_output")))
     return (
-        answered.withColumn("__parsed", parsed)
+        answered.withColumn("__object", braced)
+        .withColumn("__repaired", without_stray_commas(F.col("__object")))
+        .withColumn("__parsed", parse_object(F.col("__object"), F.col("__repaired")))
         .withColumn("predicted_score_label", overall_score(F.col("__parsed")))
         .withColumn("predicted_aspects", aspect_scores(F.col("__parsed")))
-        .drop("__parsed")
+        .drop("__object", "__repaired", "__parsed")
     )
 
 

@@ -36,22 +36,33 @@ def labelled_reviews(reviews: DataFrame) -> DataFrame:
     return drop_unlabelled(renamed.withColumn(SCORE, to_score(numeric(renamed, SCORE))), SCORE)
 
 
+def _coerced(df: DataFrame) -> DataFrame:
+    """Clean the contract's text columns and coerce its numeric ones, as far as present."""
+    return df.withColumns({
+        **{c: clean_text(F.col(c)) for c in TEXT_COLUMNS if c in df.columns},
+        **{c: F.coalesce(numeric(df, c), F.lit(0.0)) for c in NUMERIC_COLUMNS if c in df.columns},
+    })
+
+
 def prepare(reviews: DataFrame, business: DataFrame, users: DataFrame) -> DataFrame:
     """The 33 prepared columns plus the ordinal of the review.
 
-    ``reviews`` carries a unique ``ordinal`` (see ``ordering.read_with_ordinal``).
+    ``reviews`` carries a unique ``ordinal`` (see ``ordering.read_with_ordinal``). Dimensions are
+    cleaned before the joins, once per business and user instead of once per review; what a review
+    without a match misses is filled afterwards.
     """
-    businesses = keep_prefixed(rename(business, BUSINESS_NAMES), "business_id", "business_")
-    people = keep_prefixed(rename(users, USER_NAMES), "user_id", "user_")
-    merged = left_join(labelled_reviews(reviews), businesses, "business_id", [ORDINAL])
+    businesses = _coerced(keep_prefixed(rename(business, BUSINESS_NAMES), "business_id", "business_"))
+    people = _coerced(keep_prefixed(rename(users, USER_NAMES), "user_id", "user_"))
+    merged = left_join(_coerced(labelled_reviews(reviews)), businesses, "business_id", [ORDINAL])
     merged = left_join(merged, people, "user_id", [ORDINAL])
     merged = ensure_columns(ensure_columns(merged, TEXT_COLUMNS, ""), NUMERIC_COLUMNS, 0.0)
-    merged = merged.withColumns({
-        **{c: clean_text(F.col(c)) for c in TEXT_COLUMNS},
-        **{c: F.coalesce(numeric(merged, c), F.lit(0.0)) for c in NUMERIC_COLUMNS},
-        POLARITY: to_polarity(F.col(SCORE)),
-    })
-    return merged.select(ORDINAL, *PREPARED_COLUMNS)
+    return merged.select(
+        ORDINAL,
+        *[F.coalesce(c, F.lit("")).alias(c) for c in TEXT_COLUMNS],
+        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in NUMERIC_COLUMNS],
+        SCORE,
+        to_polarity(F.col(SCORE)).alias(POLARITY),
+    ).select(ORDINAL, *PREPARED_COLUMNS)
 
 
 def prepare_split(

@@ -14,7 +14,7 @@ from opinloom.operators.metrics import answer_rate
 from opinloom.operators.ordering import first_rows
 from opinloom.plans.labelling import label_polarity, label_scores, pick_examples, read_polarity, read_scores
 from opinloom.queries.evaluation import rounded
-from opinloom.queries.registry import LABELLED_SQL, labelled, query, with_polarity
+from opinloom.queries.registry import LABELLED_SQL, documents, labelled, query, with_polarity
 from opinloom.sources.tables import table
 
 
@@ -35,7 +35,7 @@ def _prompt_sql(template: prompts.Template, review: str, examples: str = "''") -
       md5({_prompt_sql(prompts.ZERO_SHOT_SCORE, 'text')}) AS score_prompt FROM documents"""
 )
 def prompts_zero_shot(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     return docs.select(
         "doc_id",
         F.md5(prompts.render(prompts.ZERO_SHOT_POLARITY, F.col("text"))).alias("polarity_prompt"),
@@ -56,7 +56,7 @@ def prompts_zero_shot(spark: SparkSession, folder: str) -> DataFrame:
 def prompts_few_shot(spark: SparkSession, folder: str) -> DataFrame:
     """Prompts around one worked example per label."""
     examples = pick_examples(labelled(spark, folder), "text", "polarity_label", "doc_id")
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         "doc_id",
         F.md5(prompts.render(prompts.FEW_SHOT_POLARITY, F.col("text"), examples)).alias("polarity_prompt"),
         F.md5(prompts.render(prompts.FEW_SHOT_SCORE, F.col("text"), examples)).alias("score_prompt"),
@@ -69,7 +69,7 @@ def prompts_few_shot(spark: SparkSession, folder: str) -> DataFrame:
 )
 def prompt_sample(spark: SparkSession, folder: str) -> DataFrame:
     """Prompts for the first rows only, the default size of a labelling run."""
-    docs = first_rows(table(spark, folder, "documents"), LABELLING_LIMIT, "doc_id")
+    docs = first_rows(documents(spark, folder), LABELLING_LIMIT, "doc_id")
     return docs.select("doc_id", prompts.render(prompts.ZERO_SHOT_POLARITY, F.col("text")).alias("prompt"))
 
 
@@ -138,7 +138,7 @@ _PARSED_SQL = f"""{_SHAPES_SQL}, parsed AS (SELECT doc_id,
 def answered(spark: SparkSession, folder: str) -> DataFrame:
     """A JSON answer per document: plain, fenced, with stray commas, in prose, as a Python literal,
     a list, no JSON at all, odd value types."""
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     s = (1 + F.col("n_chars") % 7).cast("string")
     f = (1 + (F.col("n_chars") + F.col("doc_id")) % 6).cast("string")
     shapes = [
@@ -214,7 +214,7 @@ _ASKED_SQL = f"""asked AS (SELECT *, length({_prompt_sql(prompts.ZERO_SHOT_POLAR
 )
 def label_batch(spark: SparkSession, folder: str) -> DataFrame:
     """Batch labelling of every document with a supplied completer; failures keep their row."""
-    docs = table(spark, folder, "documents").select(
+    docs = documents(spark, folder).select(
         "doc_id", prompts.render(prompts.ZERO_SHOT_POLARITY, F.col("text")).alias("prompt")
     )
     answered_rows = complete(docs, "prompt", length_completer)
@@ -250,7 +250,7 @@ def json_completer():
 )
 def score_batch(spark: SparkSession, folder: str) -> DataFrame:
     """Score and aspects of every document through the whole labelling plan."""
-    docs = table(spark, folder, "documents").withColumn("score_label", F.lit(0))
+    docs = documents(spark, folder).withColumn("score_label", F.lit(0))
     done = label_scores(docs, json_completer, text="text", key="doc_id", limit=0)
     return done.select(
         "doc_id", "predicted_score_label", F.try_element_at("predicted_aspects", F.lit("service")).alias("service")
@@ -273,7 +273,7 @@ def counting_encoder():
 )
 def encode_batch(spark: SparkSession, folder: str) -> DataFrame:
     """Batch encoding of every document with a supplied encoder."""
-    docs = encode(table(spark, folder, "documents").select("doc_id", "text"), "text", counting_encoder)
+    docs = encode(documents(spark, folder).select("doc_id", "text"), "text", counting_encoder)
     return docs.select(
         "doc_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(("chars", "blanks", "breaks"))]
     )

@@ -17,7 +17,7 @@ from opinloom.operators.ordering import split_fraction
 from opinloom.plans import training
 from opinloom.queries.evaluation import rounded
 from opinloom.queries.labelling import counting_encoder
-from opinloom.queries.registry import labelled, query
+from opinloom.queries.registry import documents, labelled, query
 from opinloom.sources.tables import table
 
 LANGUAGES = ["de", "en", "es", "fr"]
@@ -26,7 +26,7 @@ LANGUAGES = ["de", "en", "es", "fr"]
 def language_task(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its language as a score 1..4."""
     score = F.array_position(F.lit(LANGUAGES), F.col("lang")).cast("int")
-    return table(spark, folder, "documents").select("doc_id", "text", score.alias("score_label"))
+    return documents(spark, folder).select("doc_id", "text", score.alias("score_label"))
 
 
 def polarity_task(spark: SparkSession, folder: str) -> DataFrame:

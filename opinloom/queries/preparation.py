@@ -14,12 +14,13 @@ from opinloom.plans.prepare import prepare, prepare_split
 from opinloom.queries.registry import (
     LABELLED_SQL,
     ORDER_REVIEWS_SQL,
+    documents,
     labelled,
     order_reviews,
     query,
 )
 from opinloom.queries.text import clean_sql
-from opinloom.sources.tables import table
+from opinloom.sources.tables import spread, table
 
 _GIVEN = {
     "review_text": clean_sql("l_returnflag || ' ' || l_linestatus || '  ' || CAST(l_orderkey AS VARCHAR)"),
@@ -41,7 +42,8 @@ _STARS_SQL = "CAST(ceil(l_quantity / 10) AS INT)"
 
 def star_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Line items as reviews of parts by suppliers, under the raw column names."""
-    reviews = ordering.read_with_ordinal(spark, f"{folder}/lineitem.parquet").select(
+    items = spread(ordering.read_with_ordinal(spark, f"{folder}/lineitem.parquet"), "ordinal")
+    reviews = items.select(
         "ordinal",
         F.col("l_partkey").alias("business_id"),
         F.col("l_suppkey").alias("user_id"),
@@ -114,7 +116,7 @@ def prepared_split(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"SELECT doc_id, {clean_sql('text')} AS cleaned FROM documents")
 def clean_text(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", cleaning.clean_text(F.col("text")).alias("cleaned"))
+    return documents(spark, folder).select("doc_id", cleaning.clean_text(F.col("text")).alias("cleaned"))
 
 
 @query(

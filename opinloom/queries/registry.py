@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinloom.operators.joins import left_join
-from opinloom.sources.tables import table
+from opinloom.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -45,9 +45,13 @@ LABELLED_SQL = """labelled AS (
   WHERE polarity_label IS NOT NULL)"""
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 def with_polarity(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with a polarity, null where they are not labelled."""
-    joined = left_join(table(spark, folder, "documents"), table(spark, folder, "labels"), "doc_id", ["doc_id"])
+    joined = left_join(documents(spark, folder), table(spark, folder, "labels"), "doc_id", ["doc_id"])
     polarity = F.when(F.col("toxic") == 1, -1).when(F.col("quality") == 0, 0).when(F.col("quality") == 1, 1)
     return joined.select("doc_id", "text", "lang", "source", "n_chars", polarity.alias("polarity_label"))
 

@@ -9,7 +9,7 @@ from opinloom.functions.cleaning import clean_text, document
 from opinloom.functions.tokens import ngram_range, ngrams, words
 from opinloom.operators import terms
 from opinloom.operators.features import fit_vectorizer, slot_terms, vector_terms
-from opinloom.queries.registry import LABELLED_SQL, labelled, query, with_polarity
+from opinloom.queries.registry import LABELLED_SQL, documents, labelled, query
 from opinloom.sources.tables import table
 
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -41,10 +41,6 @@ _WEIGHTS = """norm AS (SELECT doc_id, sqrt(sum(power(tf * idf, 2))) AS norm FROM
 weights AS (SELECT doc_id, term, tf, idf, tf * idf / norm AS weight FROM tf JOIN idf USING (term) JOIN norm USING (doc_id))"""
 
 
-def tokenised(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", words(F.col("text")).alias("tokens"))
-
-
 @query(
     f"""SELECT d.doc_id, concat_ws(' ', nullif({strip_sql('text')}, ''), nullif({strip_sql("' ' || lang")}, ''),
       CAST(l.quality AS VARCHAR), nullif({strip_sql("source || chr(160)")}, '')) AS document
@@ -52,7 +48,7 @@ def tokenised(spark: SparkSession, folder: str) -> DataFrame:
 )
 def doc_concat(spark: SparkSession, folder: str) -> DataFrame:
     """Several text columns as one document; blank and missing parts leave no gap."""
-    docs = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+    docs = documents(spark, folder).join(table(spark, folder, "labels"), "doc_id", "left")
     parts = (
         F.col("text"), F.concat(F.lit(" "), "lang"), F.col("quality").cast("string"), F.lit("\t "),
         F.concat("source", F.lit(" ")),
@@ -62,7 +58,7 @@ def doc_concat(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {tf_sql('documents')} SELECT doc_id, term, tf FROM tf")
 def token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return terms.term_counts(tokenised(spark, folder), "doc_id", "tokens")
+    return terms.term_counts(documents(spark, folder), "doc_id", words(F.col("text")))
 
 
 @query(
@@ -71,12 +67,12 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     FROM tf GROUP BY term"""
 )
 def vocabulary(spark: SparkSession, folder: str) -> DataFrame:
-    return terms.vocabulary(tokenised(spark, folder), "tokens")
+    return terms.vocabulary(documents(spark, folder), words(F.col("text")))
 
 
 @query(f"WITH {tf_sql('documents')}, {idf_sql('documents')} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def doc_freq_idf(spark: SparkSession, folder: str) -> DataFrame:
-    idf = terms.inverse_document_frequency(tokenised(spark, folder), "tokens")
+    idf = terms.inverse_document_frequency(documents(spark, folder), words(F.col("text")))
     return idf.withColumn("idf", F.round("idf", 6))
 
 
@@ -85,7 +81,7 @@ def doc_freq_idf(spark: SparkSession, folder: str) -> DataFrame:
     SELECT doc_id, term, tf, round(idf, 6) AS idf, round(weight, 6) AS weight FROM weights"""
 )
 def tfidf_weights(spark: SparkSession, folder: str) -> DataFrame:
-    weights = terms.tfidf(tokenised(spark, folder), "doc_id", "tokens")
+    weights = terms.tfidf(documents(spark, folder), "doc_id", words(F.col("text")))
     return weights.select("doc_id", "term", "tf", F.round("idf", 6).alias("idf"), F.round("weight", 6).alias("weight"))
 
 
@@ -96,8 +92,7 @@ def tfidf_weights(spark: SparkSession, folder: str) -> DataFrame:
     GROUP BY gram"""
 )
 def bigram_counts(spark: SparkSession, folder: str) -> DataFrame:
-    grams = tokenised(spark, folder).select(F.explode(ngrams(F.col("tokens"), 2)).alias("gram"))
-    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return terms.ngram_counts(documents(spark, folder), words(F.col("text")), 2)
 
 
 @query(
@@ -109,7 +104,8 @@ def bigram_counts(spark: SparkSession, folder: str) -> DataFrame:
 )
 def ngram_profile(spark: SparkSession, folder: str) -> DataFrame:
     """Number of 1-, 2- and 3-grams per document and its last trigram."""
-    grams = tokenised(spark, folder).select(
+    tokens = documents(spark, folder).select("doc_id", words(F.col("text")).alias("tokens"))
+    grams = tokens.select(
         "doc_id", "tokens", ngrams(F.col("tokens"), 2).alias("two"), ngrams(F.col("tokens"), 3).alias("three"),
         ngram_range(F.col("tokens"), 1, 3).alias("all"),
     )
@@ -133,10 +129,8 @@ def ngram_profile(spark: SparkSession, folder: str) -> DataFrame:
 )
 def top_terms_by_polarity(spark: SparkSession, folder: str) -> DataFrame:
     """Ten leading TF-IDF words of each polarity: join, clean, tokenise, weigh, rank."""
-    docs = labelled(spark, folder).select(
-        "doc_id", "polarity_label", words(clean_text(F.col("text"))).alias("tokens")
-    )
-    weights = terms.tfidf(docs, "doc_id", "tokens", "polarity_label")
+    tokens = words(clean_text(F.col("text")))
+    weights = terms.tfidf(labelled(spark, folder), "doc_id", tokens, "polarity_label")
     return terms.top_terms(weights, "polarity_label")
 
 
@@ -149,7 +143,7 @@ def _unpacked(docs: DataFrame, weighting: str) -> DataFrame:
 @query(f"WITH {tf_sql('documents')} SELECT doc_id, term, CAST(tf AS DOUBLE) AS value FROM tf")
 def count_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Fitted bag-of-words vectors, unpacked."""
-    return _unpacked(table(spark, folder, "documents").select("doc_id", "text"), "count")
+    return _unpacked(documents(spark, folder).select("doc_id", "text"), "count")
 
 
 @query(
@@ -171,10 +165,9 @@ def tfidf_vectors(spark: SparkSession, folder: str) -> DataFrame:
 )
 def apply_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     """Weigh all documents with the vocabulary of the labelled ones; unseen terms drop out."""
-    everything = with_polarity(spark, folder).select("doc_id", "polarity_label", words(F.col("text")).alias("tokens"))
-    fitted_on = everything.na.drop(subset=["polarity_label"])
-    idf = terms.inverse_document_frequency(fitted_on, "tokens")
-    weights = terms.weigh(terms.term_counts(everything, "doc_id", "tokens"), idf, "doc_id")
+    tokens = words(F.col("text"))
+    idf = terms.inverse_document_frequency(labelled(spark, folder), tokens)
+    weights = terms.weigh(terms.term_counts(documents(spark, folder), "doc_id", tokens), idf, "doc_id")
     return weights.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("weight"), 6).alias("total")
     )

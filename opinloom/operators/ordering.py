@@ -53,13 +53,18 @@ def with_dense_ordinal(df: DataFrame, *keys: str) -> DataFrame:
     return read_with_ordinal(df.sparkSession, path)
 
 
-def key_at(df: DataFrame, key: str, position: int) -> tuple[int, int] | None:
+def key_bounds(df: DataFrame, key: str) -> tuple[int, int, int]:
+    """Smallest key, largest key and number of rows."""
+    return tuple(df.agg(F.min(key), F.max(key), F.count(key)).first())
+
+
+def key_at(df: DataFrame, key: str, position: int, bounds: tuple[int, int, int] | None = None) -> tuple[int, int] | None:
     """The integer key at a 0-based position and how many rows come before that key.
 
     Histogram refinement: each pass counts at most ``BINS`` bins of the key range that is left.
     Null if there are not that many rows.
     """
-    low, high, rows = df.agg(F.min(key), F.max(key), F.count(key)).first()
+    low, high, rows = bounds or key_bounds(df, key)
     if position < 0 or position >= rows:
         return None
     before = 0
@@ -79,16 +84,7 @@ def key_at(df: DataFrame, key: str, position: int) -> tuple[int, int] | None:
     return low, before
 
 
-def split_at(
-    df: DataFrame, rows: int, key: str = ORDINAL, positions: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """The first ``rows`` rows by key, and the rest.
-
-    ``positions`` may name a cheaper DataFrame with the same keys to look the cut up in. Rows
-    sharing the key at the cut (copies of one row made by a join) are ordered by their content, so
-    that both parts have exactly the right size.
-    """
-    cut = key_at(df if positions is None else positions, key, rows)
+def _cut(df: DataFrame, rows: int, key: str, cut: tuple[int, int] | None) -> tuple[DataFrame, DataFrame]:
     if cut is None:
         everything = rows > 0
         return df.where(F.lit(everything)), df.where(F.lit(not everything))
@@ -103,12 +99,26 @@ def split_at(
     return df.where(column < value).unionByName(first), df.where(column > value).unionByName(rest)
 
 
+def split_at(df: DataFrame, rows: int, key: str = ORDINAL) -> tuple[DataFrame, DataFrame]:
+    """The first ``rows`` rows by key, and the rest.
+
+    Rows sharing the key at the cut (copies of one row made by a join) are ordered by their
+    content, so that both parts have exactly the right size.
+    """
+    return _cut(df, rows, key, key_at(df, key, rows))
+
+
 def split_fraction(
-    df: DataFrame, fraction: float, key: str = ORDINAL, positions: DataFrame | None = None
+    df: DataFrame, fraction: float, key: str = ORDINAL, positions: DataFrame | None = None, least: int = 0
 ) -> tuple[DataFrame, DataFrame]:
-    """The first ``int(n * fraction)`` rows, and the rest."""
+    """The first ``int(n * fraction)`` rows (at least ``least``), and the rest.
+
+    ``positions`` may name a cheaper DataFrame with the same keys to look the cut up in.
+    """
     counted = df if positions is None else positions
-    return split_at(df, int(counted.count() * fraction), key, counted)
+    bounds = key_bounds(counted, key)
+    rows = max(least, int(bounds[2] * fraction))
+    return _cut(df, rows, key, key_at(counted, key, rows, bounds))
 
 
 def head_rows(df: DataFrame, rows: int, key: str = ORDINAL) -> DataFrame:
@@ -120,7 +130,7 @@ def top_fraction(df: DataFrame, fraction: float, key: str = ORDINAL) -> DataFram
     """The first ``max(1, int(n * fraction))`` rows by key."""
     if not 0 < fraction <= 1:
         raise ValueError("fraction must be in (0, 1]")
-    return split_at(df, max(1, int(df.count() * fraction)), key)[0]
+    return split_fraction(df, fraction, key, least=1)[0]
 
 
 def first_rows(df: DataFrame, rows: int, key: str = ORDINAL) -> DataFrame:

@@ -3,9 +3,9 @@
 ``tokens`` is a token column or expression. Term counts hash the short text over the tasks by
 document; counting terms within a document and normalising it then need no further shuffle, and
 the long table is never moved. Document frequencies need no grouping by document: each document
-contributes its distinct terms, so only ``term -> count`` partial sums are shuffled. Where the idf
-table is too large to broadcast, weights meet it through the salted join of ``joins``: a term
-found in every document is spread over many tasks.
+contributes its distinct terms, so only ``term -> count`` partial sums are shuffled. Where the
+fitted idf table is too large to broadcast, weights meet it through the salted join of ``joins``:
+a term found in every document is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from opinloom.operators.joins import is_broadcastable, salted_left_join
 from opinloom.operators.ordering import with_dense_ordinal
+from opinloom.session import work_path
 
 
 def _bind(df: DataFrame, tokens: Column | str) -> DataFrame:
@@ -84,6 +85,13 @@ def inverse_document_frequency(df: DataFrame, tokens: Column | str) -> DataFrame
     return document_frequency(df, tokens).withColumn("idf", smooth_idf(n, F.col("df")))
 
 
+def fit_idf(df: DataFrame, tokens: Column | str) -> DataFrame:
+    """The idf table as a written table: texts are read once for it, and its size is known."""
+    path = work_path(df.sparkSession, "idf")
+    inverse_document_frequency(df, tokens).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def weigh(counts: DataFrame, idf: DataFrame, doc: str) -> DataFrame:
     """L2-normalised tf-idf weights; terms without an idf are dropped, as when applying a fitted vocabulary."""
     values = idf.select("term", "idf")
@@ -100,7 +108,7 @@ def weigh(counts: DataFrame, idf: DataFrame, doc: str) -> DataFrame:
 def tfidf(df: DataFrame, doc: str, tokens: Column | str, *keep: str) -> DataFrame:
     """Long TF-IDF table: ``doc, *keep, term, tf, idf, weight``; each document has norm 1."""
     counts = term_counts(df, doc, tokens, *keep)
-    return weigh(counts, inverse_document_frequency(df, tokens), doc)
+    return weigh(counts, fit_idf(df, tokens), doc)
 
 
 def top_terms(weights: DataFrame, group: str, k: int = 10, digits: int = 6) -> DataFrame:

@@ -166,7 +166,7 @@ def tfidf_vectors(spark: SparkSession, folder: str) -> DataFrame:
 def apply_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     """Weigh all documents with the vocabulary of the labelled ones; unseen terms drop out."""
     tokens = words(F.col("text"))
-    idf = terms.inverse_document_frequency(labelled(spark, folder), tokens)
+    idf = terms.fit_idf(labelled(spark, folder), tokens)
     weights = terms.weigh(terms.term_counts(documents(spark, folder), "doc_id", tokens), idf, "doc_id")
     return weights.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("weight"), 6).alias("total")

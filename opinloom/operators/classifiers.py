@@ -19,11 +19,14 @@ from opinloom.contract import FOREST, LOGISTIC, PERCEPTRON, SEED, SVM
 LABEL, PREDICTION = "class_index", "class_prediction"
 
 
-def logistic_regression(n: int, features: str = "features", C: float = LOGISTIC["C"], max_iter: int = LOGISTIC["max_iter"]):
+def logistic_regression(
+    n: int, features: str = "features", C: float = LOGISTIC["C"], max_iter: int = LOGISTIC["max_iter"],
+    tol: float = LOGISTIC["tol"],
+):
     """Multinomial logistic regression with L2 penalty."""
     return LogisticRegression(
         featuresCol=features, labelCol=LABEL, predictionCol=PREDICTION, family="multinomial",
-        regParam=1 / (C * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter,
+        regParam=1 / (C * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol,
     )
 
 

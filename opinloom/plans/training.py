@@ -6,6 +6,7 @@ prediction, with the label list stored as its own stage.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -25,6 +26,7 @@ from opinloom.operators.projection import distinct_labels, require_columns, requ
 
 PREDICTED = "predicted_label"
 PERCEPTRON_TERMS = 1 << 11
+ROWS_PER_TASK = 2000
 
 # name -> (feature weighting, classifier)
 TEXT_MODELS = {
@@ -59,11 +61,17 @@ def _label_stages(labels: list[int]) -> list:
 
 
 def _fit(features: DataFrame, label: str, labels: list[int], kind: str, inputs: int, options: dict) -> list:
-    """Fit on a persisted (spilling) feature table, so text is vectorised once per fit."""
+    """Fit on a persisted (spilling) feature table, so text is vectorised once per fit.
+
+    Gradient solvers read a small table by few tasks: they run one job per step, and each task
+    sends a gradient as long as the vocabulary. Trees keep all tasks.
+    """
     ready = features.select(FEATURES, class_index(F.col(label), labels).alias(classifiers.LABEL))
     ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = _estimator(kind, ready.count(), inputs, len(labels), options).fit(ready)
+        n = ready.count()
+        estimator = _estimator(kind, n, inputs, len(labels), options)
+        model = estimator.fit(ready if kind == "forest" else ready.coalesce(math.ceil(n / ROWS_PER_TASK)))
     finally:
         ready.unpersist()
     return [model, *_label_stages(labels)]

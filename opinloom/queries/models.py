@@ -103,7 +103,7 @@ def trained_model_comparison(spark: SparkSession, folder: str) -> DataFrame:
     compared = None
     for task in TASKS:
         for model in ("count_logreg", "tfidf_logreg"):
-            part = held_out_predictions(spark, folder, model, task, max_iter=50).select(
+            part = held_out_predictions(spark, folder, model, task, max_iter=20).select(
                 F.lit(task).alias("task"), F.lit(model).alias("model"), "actual", training.PREDICTED
             )
             compared = part if compared is None else compared.unionByName(part)

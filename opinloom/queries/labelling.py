@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,9 @@ from opinloom.queries.evaluation import rounded
 from opinloom.queries.registry import LABELLED_SQL, documents, labelled, query, with_polarity
 from opinloom.sources.tables import table
 
+# The stand-in models travel with the query: workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"

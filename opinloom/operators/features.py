@@ -1,11 +1,13 @@
 """Sparse feature vectors: a fitted, saveable stage list with the semantics of the long tables.
 
-A vocabulary of up to ``max_terms`` words is used as it is; its size is counted before it is
+The texts are read once, for the table of document frequencies; the vectorizer is fitted on that
+table. A vocabulary of up to ``max_terms`` words is used as it is; its size is counted before it is
 collected. A larger one is hashed into ``max_terms`` slots, so no word is left out.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
     IDF,
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 from opinloom.functions.tokens import WORD, words
 from opinloom.operators.terms import document_frequency
+from opinloom.session import written
 
 MAX_TERMS = 1 << 20
 TOKENS, COUNTS, SCALED, FEATURES = "tokens", "counts", "scaled", "features"
@@ -37,26 +40,41 @@ def fit_vectorizer(df: DataFrame, text: str, weighting: str = "tfidf", max_terms
     """Fit bag-of-words (``count``) or TF-IDF (``tfidf``) features on a text column."""
     if weighting not in ("count", "tfidf"):
         raise ValueError("weighting is 'count' or 'tfidf'")
-    tokenised = df.select(words(F.col(text)).alias(TOKENS))
-    size = document_frequency(tokenised, TOKENS).count()
+    frequencies = written(document_frequency(df, words(F.col(text))), "vocabulary")
+    size = frequencies.count()
     if size == 0:
         raise ValueError("empty vocabulary")
-    if size <= max_terms:
-        counter = CountVectorizer(inputCol=TOKENS, outputCol=COUNTS, minDF=1.0, vocabSize=size).fit(tokenised)
+    exact = size <= max_terms
+    if exact:
+        each_term = frequencies.select(F.array("term").alias(TOKENS), "df")
+        counter = CountVectorizer(inputCol=TOKENS, outputCol=COUNTS, minDF=1.0, vocabSize=size).fit(each_term)
     else:
         counter = HashingTF(inputCol=TOKENS, outputCol=COUNTS, numFeatures=max_terms)
     if weighting == "count":
         return PipelineModel([_tokenizer(text), counter.setOutputCol(FEATURES)])
-    # Spark's idf is ln((n + 1) / (df + 1)); the smoothed form adds one.
-    idf = IDF(inputCol=COUNTS, outputCol=SCALED).fit(counter.transform(tokenised)).idf
+    idf = _exact_idf(counter.transform(each_term), df.count(), size) if exact else _hashed_idf(counter, df, text)
     return PipelineModel([
         _tokenizer(text),
         counter,
-        ElementwiseProduct(inputCol=COUNTS, outputCol=SCALED, scalingVec=Vectors.dense(idf.toArray() + 1)),
+        ElementwiseProduct(inputCol=COUNTS, outputCol=SCALED, scalingVec=Vectors.dense(idf)),
         Normalizer(inputCol=SCALED, outputCol=FEATURES, p=2.0),
     ])
 
 
+def _exact_idf(slotted: DataFrame, n: int, size: int) -> np.ndarray:
+    """ln((1 + n) / (1 + df)) + 1 in slot order; one row per term is collected."""
+    found = slotted.select(F.unwrap_udt(COUNTS)["indices"][0].alias("slot"), "df").toPandas()
+    frequency = np.zeros(size)
+    frequency[found["slot"]] = found["df"]
+    return np.log((1 + n) / (1 + frequency)) + 1
+
+
+def _hashed_idf(counter: HashingTF, df: DataFrame, text: str) -> np.ndarray:
+    """The same for hash slots; Spark's own idf lacks the added one."""
+    counts = counter.transform(df.select(words(F.col(text)).alias(TOKENS)))
+    return IDF(inputCol=COUNTS, outputCol=SCALED).fit(counts).idf.toArray() + 1
+
+
 def feature_width(vectorizer: PipelineModel) -> int:
     counter = vectorizer.stages[1]
     return len(counter.vocabulary) if isinstance(counter, CountVectorizerModel) else counter.getNumFeatures()

@@ -19,15 +19,17 @@ BINS = 4096
 BROADCAST_FILES = 100_000
 
 
-def read_with_ordinal(spark: SparkSession, path: str) -> DataFrame:
+def read_with_ordinal(spark: SparkSession, path: str, part_files: bool = False) -> DataFrame:
     """A Parquet table with its dense 0-based row number in file order.
 
+    Files are ordered by path, or by part number for a table Spark has written in order.
     The running total goes over one row per file; the offsets are broadcast while the file list
     is short enough.
     """
     table = spark.read.parquet(path)
     rows = table.select("*", "_metadata.file_path", "_metadata.row_index")
-    in_order = Window.orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.regexp_extract("file_path", r"part-(\d+)-[^/]*$", 1).cast("bigint")
+    in_order = Window.orderBy(part if part_files else F.col("file_path")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.groupBy("file_path")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -50,7 +52,7 @@ def with_dense_ordinal(df: DataFrame, *keys: str) -> DataFrame:
     """
     path = work_path(df.sparkSession, "sorted")
     df.orderBy(*keys).write.parquet(path)
-    return read_with_ordinal(df.sparkSession, path)
+    return read_with_ordinal(df.sparkSession, path, part_files=True)
 
 
 def key_bounds(df: DataFrame, key: str) -> tuple[int, int, int]:

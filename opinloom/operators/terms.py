@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from opinloom.operators.joins import is_broadcastable, salted_left_join
 from opinloom.operators.ordering import with_dense_ordinal
-from opinloom.session import work_path
+from opinloom.session import written
 
 
 def _bind(df: DataFrame, tokens: Column | str) -> DataFrame:
@@ -87,9 +87,7 @@ def inverse_document_frequency(df: DataFrame, tokens: Column | str) -> DataFrame
 
 def fit_idf(df: DataFrame, tokens: Column | str) -> DataFrame:
     """The idf table as a written table: texts are read once for it, and its size is known."""
-    path = work_path(df.sparkSession, "idf")
-    inverse_document_frequency(df, tokens).write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return written(inverse_document_frequency(df, tokens), "idf")
 
 
 def weigh(counts: DataFrame, idf: DataFrame, doc: str) -> DataFrame:

@@ -11,12 +11,17 @@ from opinloom.functions.cleaning import na_to_null
 _QUOTING = {"header": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
 
-def scan_csv(spark: SparkSession, path: str, schema: T.StructType, na_tokens: bool = False) -> DataFrame:
+def scan_csv(
+    spark: SparkSession, path: str, schema: T.StructType, na_tokens: bool = False, multi_line: bool = True
+) -> DataFrame:
     """A CSV file with quoted line breaks; a leading byte-order mark is skipped.
 
-    ``na_tokens`` reads the usual missing-value spellings in string columns as null.
+    ``na_tokens`` reads the usual missing-value spellings in string columns as null. A file whose
+    values hold no line breaks can be split over tasks with ``multi_line=False``; otherwise
+    parallelism comes from the number of files.
     """
-    df = spark.read.schema(schema).options(**_QUOTING, multiLine="true", enforceSchema="false").csv(path)
+    reader = spark.read.schema(schema).options(**_QUOTING, enforceSchema="false")
+    df = reader.option("multiLine", multi_line).csv(path)
     if not na_tokens:
         return df
     text = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]

@@ -10,8 +10,9 @@ from opinloom.contract import NA_TOKENS
 # --- fixed values: Unicode white space, incl. the information separators ---
 SPACE_CLASS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-INFINITE = r"^[+-]?(?i:inf|infinity)$"
+_DIGITS = r"(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
+NUMBER = rf"^ *[+-]?{_DIGITS} *$"
+PADDED_NUMBER = rf"^{SPACE_CLASS}*[+-]?({_DIGITS}|(?i:inf|infinity)){SPACE_CLASS}*$"
 
 
 def strip(text: Column) -> Column:
@@ -34,8 +35,8 @@ def parse_number(text: Column) -> Column:
 
     The pattern guards against spellings only the JVM takes for numbers (``3.7d``).
     """
-    bare = strip(text)
-    return F.when(bare.rlike(NUMBER) | bare.rlike(INFINITE), bare.try_cast("double"))
+    padded = F.when(text.rlike(PADDED_NUMBER), strip(text).try_cast("double"))
+    return F.when(text.rlike(NUMBER), text.try_cast("double")).otherwise(padded)
 
 
 def as_number(column: Column, is_text: bool) -> Column:

@@ -26,7 +26,7 @@ from opinloom.operators.projection import distinct_labels, require_columns, requ
 
 PREDICTED = "predicted_label"
 PERCEPTRON_TERMS = 1 << 11
-ROWS_PER_TASK = 2000
+ROWS_PER_TASK = 5000
 
 # name -> (feature weighting, classifier)
 TEXT_MODELS = {

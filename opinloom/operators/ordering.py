@@ -55,6 +55,23 @@ def with_dense_ordinal(df: DataFrame, *keys: str) -> DataFrame:
     return read_with_ordinal(df.sparkSession, path, part_files=True)
 
 
+def with_scan_ordinal(scan: DataFrame) -> DataFrame:
+    """Rows of a CSV or JSON-lines scan with their dense ordinal in file order.
+
+    Text files hold no row index, so the rows are sorted once by file, split and place in the split
+    (a scan always gives a split the same row numbers) and written to the shared folder.
+    """
+    place = ["__file", "__start", "__row"]
+    path = work_path(scan.sparkSession, "scanned")
+    scan.select(
+        "*",
+        F.col("_metadata.file_path").alias("__file"),
+        F.col("_metadata.file_block_start").alias("__start"),
+        F.monotonically_increasing_id().alias("__row"),
+    ).orderBy(*place).drop(*place).write.parquet(path)
+    return read_with_ordinal(scan.sparkSession, path, part_files=True)
+
+
 def key_bounds(df: DataFrame, key: str) -> tuple[int, int, int]:
     """Smallest key, largest key and number of rows."""
     return tuple(df.agg(F.min(key), F.max(key), F.count(key)).first())

@@ -27,10 +27,10 @@ def ensure_columns(df: DataFrame, columns: Iterable[str], fill: str | float) ->
 
 
 def require_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """Raise ``KeyError`` naming the columns that are missing."""
+    """Raise ``KeyError`` naming the columns not found."""
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise KeyError(f"Missing required columns: {missing}")
+        raise KeyError(f"columns not found: {', '.join(missing)}")
     return df
 
 

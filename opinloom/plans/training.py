@@ -16,12 +16,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinloom.contract import TEXT_COLUMNS
+from opinloom.contract import ENCODER_FRACTION, SVM, TEXT_COLUMNS
 from opinloom.functions.cleaning import document
 from opinloom.functions.labels import class_index
 from opinloom.operators import classifiers
 from opinloom.operators.features import FEATURES, MAX_TERMS, feature_width, fit_vectorizer
+from opinloom.operators.inference import encode
 from opinloom.operators.metrics import class_report, confusion
+from opinloom.operators.ordering import ORDINAL, head_rows, top_fraction
 from opinloom.operators.projection import distinct_labels, require_columns, require_rows
 
 PREDICTED = "predicted_label"
@@ -93,6 +95,19 @@ def fit_text_model(
     return PipelineModel([*vectorizer.stages, *fitted])
 
 
+def training_rows(train: DataFrame, model: str, key: str = ORDINAL, max_rows: int | None = None) -> DataFrame:
+    """The first ``max_rows`` rows; by default the published number for an SVM, all for the others."""
+    default = SVM["max_rows"] if TEXT_MODELS[model][1] == "svm" else 0
+    return head_rows(train, default if max_rows is None else max_rows, key)
+
+
+def encoded_rows(
+    df: DataFrame, text: str, make_encoder: Callable, fraction: float = ENCODER_FRACTION, key: str = ORDINAL
+) -> DataFrame:
+    """The first share of the rows with their embeddings, ready for a classifier head."""
+    return embedding_vector(encode(top_fraction(df, fraction, key), text, make_encoder), "embedding")
+
+
 def embedding_vector(df: DataFrame, embedding: str) -> DataFrame:
     return df.withColumn(FEATURES, array_to_vector(F.col(embedding)))
 

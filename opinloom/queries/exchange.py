@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinloom.operators.ordering import split_fraction
+from opinloom.operators.ordering import split_fraction, with_scan_ordinal
 from opinloom.queries.registry import query
 from opinloom.session import work_path
 from opinloom.sources.delimited import scan_csv, sink_csv
@@ -54,3 +54,12 @@ def split_exchange(spark: SparkSession, folder: str) -> DataFrame:
     return both.groupBy("split").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("price")
     )
+
+
+@query("SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY o_orderkey) - 1 AS ordinal FROM orders")
+def scan_ordinal(spark: SparkSession, folder: str) -> DataFrame:
+    """Row numbers in file order for a CSV table of several files."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
+    path = work_path(spark, "csv")
+    sink_csv(orders.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey"), path)
+    return with_scan_ordinal(scan_csv(spark, path, orders.schema))

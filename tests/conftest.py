@@ -12,11 +12,8 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    session = local_session(8, partitions=4, memory="6g")
-    if session.conf.get("spark.checkpoint.dir", None) is None:
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
-    return session
+def spark():
+    return local_session(8, partitions=4, memory="6g")
 
 
 @pytest.fixture

@@ -1,3 +1,4 @@
+import json
 import math
 import sys
 
@@ -5,14 +6,17 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from opinloom.contract import PREPARED_COLUMNS
+from opinloom.contract import PREPARED_COLUMNS, USER_SCAN_EXCLUDES
 from opinloom.functions.prompts import Example
 from opinloom.operators.features import fit_vectorizer, vector_terms
 from opinloom.operators.inference import complete, encode
+from opinloom.operators.ordering import with_scan_ordinal
 from opinloom.plans import labelling, training
 from opinloom.plans.prepare import prepare, prepare_split
 from opinloom.session import work_path
 from opinloom.sources import tables
+from opinloom.sources.delimited import scan_csv, sink_csv
+from opinloom.sources.jsonl import scan_jsonl
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers do not see the tests folder
 
@@ -195,6 +199,44 @@ def test_encode_keeps_rows_and_order_of_values(spark):
     assert sorted((r.t, r.embedding) for r in encode(df, "t", make).collect()) == [("banana", [6.0, 3.0]), ("x", [1.0, 0.0])]
 
 
+def test_training_and_encoded_rows(spark):
+    df = spark.range(30).select(F.col("id").alias("ordinal"), F.lit("abc").alias("t"))
+    assert training.training_rows(df, "tfidf_svm", max_rows=7).count() == 7
+    assert training.training_rows(df, "tfidf_svm").count() == training.training_rows(df, "tfidf_logreg").count() == 30
+
+    def make():
+        import numpy as np
+
+        return lambda texts: np.array([[len(t)] for t in texts], dtype=np.float32)
+
+    rows = training.encoded_rows(df, "t", make).collect()
+    assert sorted(r.ordinal for r in rows) == [0, 1, 2] and rows[0].embedding == [3.0]
+
+
+def test_raw_files_to_prepared(spark, tmp_path):
+    """JSON lines to CSV to the prepared table, in file order."""
+    files = {
+        "r": [{"business_id": "b", "user_id": "u", "stars": s, "text": f"t,{i}\n\"q\""} for i, s in enumerate([5, 3, 1, 4])],
+        "b": [{"business_id": "b", "name": "Bar", "state": "NA"}],
+        "u": [{"user_id": "u", "name": "None", "friends": "x, y", "fans": 3}],
+    }
+    tables_read = {}
+    for name, objects in files.items():
+        path = tmp_path / f"{name}.jsonl"
+        path.write_text("\n\n".join(json.dumps(o) for o in objects))
+        raw = scan_jsonl(spark, str(path), exclude=USER_SCAN_EXCLUDES if name == "u" else ())
+        out = work_path(spark, "csv")
+        sink_csv(raw, out)
+        tables_read[name] = scan_csv(spark, out, raw.schema, na_tokens=True)
+    prepared = prepare(with_scan_ordinal(tables_read["r"]), tables_read["b"], tables_read["u"])
+    found = prepared.orderBy("ordinal").collect()
+    assert [(r.review_text, r.score_label, r.polarity_label) for r in found] == [
+        ('t,0 "q"', 5, 1), ('t,1 "q"', 3, 0), ('t,2 "q"', 1, -1), ('t,3 "q"', 4, 1)
+    ]
+    # a state "NA" and a user "None" read as missing
+    assert {(r.business_name, r.business_state, r.user_name, r.user_fans) for r in found} == {("Bar", "", "", 3.0)}
+
+
 def test_with_document(spark):
     row = ("good", "Bar", "", "Rome", None, "Ann")
     df = spark.createDataFrame([row], ", ".join(f"{c} string" for c in PREPARED_COLUMNS[:6]))

@@ -1,7 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opinloom.operators import metrics
+from opinloom.operators.ordering import with_scan_ordinal
 from opinloom.session import shared_folder, work_path
 from opinloom.sources import delimited, jsonl, tables
 
@@ -82,5 +84,21 @@ def test_spread_only_small_tables(spark, monkeypatch):
     assert tables.spread(df, "doc_id") is df
 
 
-def test_shared_folder_comes_from_the_session(spark):
-    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+def test_shared_folder_comes_from_the_session(spark, monkeypatch):
+    assert shared_folder(spark) == shared_folder(spark)
+    settings = {"spark.checkpoint.dir": "hdfs:///shared"}
+    monkeypatch.setattr(spark.conf, "get", lambda key, default=None: settings.get(key, default), raising=False)
+    assert shared_folder(spark) == "hdfs:///shared"
+    assert work_path(spark, "x").startswith("hdfs:///shared/opinloom/x-")
+
+
+def test_scan_ordinal_over_many_csv_files(spark):
+    path = work_path(spark, "csv")
+    rows = spark.range(3000).withColumn("text", F.concat(F.lit("line\n"), F.col("id").cast("string")))
+    delimited.sink_csv(rows.repartitionByRange(5, "id").sortWithinPartitions("id"), path)
+    back = with_scan_ordinal(delimited.scan_csv(spark, path, rows.schema, na_tokens=True))
+    assert back.columns == ["id", "text", "ordinal"]
+    assert sorted((r.id, r.ordinal) for r in back.collect()) == [(i, i) for i in range(3000)]
+    jsonl.sink_jsonl(rows.repartitionByRange(3, "id").sortWithinPartitions("id"), path + "-json")
+    lines = with_scan_ordinal(jsonl.scan_jsonl(spark, path + "-json", rows.schema))
+    assert lines.where("id != ordinal").count() == 0 and lines.count() == 3000

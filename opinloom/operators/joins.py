@@ -11,25 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opinloom.operators.sizing import is_broadcastable
+
 SHARE = 1 / 1000
 _SALT = "__salt"
 _SALTS = "__salts"
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate for the plan, None if the session does not expose it."""
-    plan = getattr(df, "_jdf", None)
-    return None if plan is None else int(plan.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def is_broadcastable(df: DataFrame) -> bool:
-    """True if Spark would broadcast this side by its own size check."""
-    size = estimated_bytes(df)
-    if size is None:
-        return False
-    return size <= df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-
-
 def count_keys(facts: DataFrame, key: str) -> DataFrame:
     """Rows per key: ``key, n``."""
     return facts.groupBy(key).agg(F.count(F.lit(1)).alias("n"))

@@ -13,8 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opinloom.operators.joins import is_broadcastable, salted_left_join
+from opinloom.operators.joins import salted_left_join
 from opinloom.operators.ordering import with_dense_ordinal
+from opinloom.operators.sizing import cluster_by, is_broadcastable
 from opinloom.session import written
 
 
@@ -25,7 +26,7 @@ def _bind(df: DataFrame, tokens: Column | str) -> DataFrame:
 def term_counts(df: DataFrame, doc: str, tokens: Column | str, *keep: str) -> DataFrame:
     """Term frequency per document: ``doc, *keep, term, tf``."""
     return (
-        df.repartition(doc)
+        cluster_by(df, doc)
         .select(doc, *keep, F.explode(tokens).alias("term"))
         .groupBy(doc, *keep, "term")
         .agg(F.count(F.lit(1)).alias("tf"))

@@ -10,6 +10,7 @@ from opinloom.functions import cleaning
 from opinloom.functions.labels import class_index, class_label, to_polarity, to_score
 from opinloom.operators import ordering, projection
 from opinloom.operators.joins import salted_left_join
+from opinloom.operators.sizing import spread
 from opinloom.plans.prepare import prepare, prepare_split
 from opinloom.queries.registry import (
     LABELLED_SQL,
@@ -20,7 +21,7 @@ from opinloom.queries.registry import (
     query,
 )
 from opinloom.queries.text import clean_sql
-from opinloom.sources.tables import spread, table
+from opinloom.sources.tables import table
 
 _GIVEN = {
     "review_text": clean_sql("l_returnflag || ' ' || l_linestatus || '  ' || CAST(l_orderkey AS VARCHAR)"),

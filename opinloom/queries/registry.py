@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinloom.operators.joins import left_join
-from opinloom.sources.tables import spread, table
+from opinloom.operators.sizing import spread
+from opinloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}

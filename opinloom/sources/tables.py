@@ -6,29 +6,13 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinloom.operators.joins import estimated_bytes
 from opinloom.operators.metrics import class_report, render_report, report_averages
 
-SPLIT_BYTES = 128 << 20
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash a table over all cores if it is too small to be scanned by all of them.
-
-    Only below one scan split per core by the size estimate; a larger table is left as it is read.
-    """
-    session = df.sparkSession
-    cores = session.sparkContext.defaultParallelism
-    size = estimated_bytes(df)
-    if size is None or size >= cores * SPLIT_BYTES:
-        return df
-    return df.repartition(cores, *keys)
-
-
 def sink_split(train: DataFrame, test: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Both parts below one path, partitioned by ``split``."""
     both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opinloom.operators import metrics
+from opinloom.operators import metrics, sizing
 from opinloom.operators.ordering import with_scan_ordinal
 from opinloom.session import shared_folder, work_path
 from opinloom.sources import delimited, jsonl, tables
@@ -77,11 +77,19 @@ def test_report_sink(spark):
     assert sorted(r.label for r in spark.read.json(path).collect()) == ["-1", "1", "macro avg", "weighted avg"]
 
 
-def test_spread_only_small_tables(spark, monkeypatch):
+def test_sizes_decide(spark, monkeypatch):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    assert tables.spread(df, "doc_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    monkeypatch.setattr(tables, "SPLIT_BYTES", 1)
-    assert tables.spread(df, "doc_id") is df
+    assert sizing.spread(df, "doc_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    joined = df.join(labels, "doc_id", "left")
+    assert sizing.input_bytes(joined) == sizing.input_bytes(df) + sizing.input_bytes(labels)
+    unknown = spark.createDataFrame([(1,)], "doc_id int")
+    assert sizing.input_bytes(unknown) is None and not sizing.is_broadcastable(unknown)
+    assert sizing.spread(unknown, "doc_id") is unknown
+    assert sizing.needed_partitions(df) == 4 == sizing.size_shuffles(df, df)
+    monkeypatch.setattr(sizing, "PARTITION_BYTES", 1000)
+    assert sizing.spread(df, "doc_id") is df
+    assert sizing.cluster_by(df, "doc_id").rdd.getNumPartitions() == sizing.needed_partitions(df) > 4
 
 
 def test_shared_folder_comes_from_the_session(spark, monkeypatch):

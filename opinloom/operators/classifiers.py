@@ -30,7 +30,9 @@ def logistic_regression(
     )
 
 
-def linear_svm(n: int, features: str = "features", C: float = SVM["C"], max_iter: int = SVM["max_iter"], parallelism: int = 4):
+def linear_svm(
+    n: int, features: str = "features", C: float = SVM["C"], max_iter: int = SVM["max_iter"], parallelism: int = 4
+):
     """One linear SVM per class against the rest, fitted side by side."""
     one = LinearSVC(
         featuresCol=features, labelCol=LABEL, regParam=1 / (C * n), standardization=False,

@@ -75,9 +75,14 @@ def _hashed_idf(counter: HashingTF, df: DataFrame, text: str) -> np.ndarray:
     return IDF(inputCol=COUNTS, outputCol=SCALED).fit(counts).idf.toArray() + 1
 
 
+def is_exact(vectorizer: PipelineModel) -> bool:
+    """Whether each slot stands for one term (no hashing)."""
+    return isinstance(vectorizer.stages[1], CountVectorizerModel)
+
+
 def feature_width(vectorizer: PipelineModel) -> int:
     counter = vectorizer.stages[1]
-    return len(counter.vocabulary) if isinstance(counter, CountVectorizerModel) else counter.getNumFeatures()
+    return len(counter.vocabulary) if is_exact(vectorizer) else counter.getNumFeatures()
 
 
 def slot_terms(df: DataFrame, vectorizer: PipelineModel) -> DataFrame:

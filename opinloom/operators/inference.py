@@ -24,7 +24,8 @@ def complete(
     message goes to both columns, and the row then parses to nothing. ``requests`` bounds how many
     tasks call the model at a time.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField("raw_model_output", T.StringType()), T.StructField("error", T.StringType())])
+    added = [T.StructField(name, T.StringType()) for name in ("raw_model_output", "error")]
+    schema = T.StructType([*df.schema.fields, *added])
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         completer = make_completer()

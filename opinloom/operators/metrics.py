@@ -30,8 +30,13 @@ def _ratio(part, whole):
 def class_report(confusion_counts: DataFrame, *by: str) -> DataFrame:
     """``*by, label, precision, recall, f1, support`` for every true or predicted label; 0/0 is 0."""
     hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)
-    seen = F.struct(F.col("actual").alias("label"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("given"), hit.alias("hit"))
-    given = F.struct(F.col("predicted").alias("label"), F.lit(0).cast("bigint").alias("support"), F.col("n").alias("given"), F.lit(0).cast("bigint").alias("hit"))
+    none, n = F.lit(0).cast("bigint"), F.col("n")
+    seen = F.struct(
+        F.col("actual").alias("label"), n.alias("support"), none.alias("given"), hit.alias("hit")
+    )
+    given = F.struct(
+        F.col("predicted").alias("label"), none.alias("support"), n.alias("given"), none.alias("hit")
+    )
     totals = (
         confusion_counts.select(*by, F.inline(F.array(seen, given)))
         .groupBy(*by, "label")
@@ -79,7 +84,9 @@ def summary(confusion_counts: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def compare_models(predictions: DataFrame, actual: str, predicted: str, model: str = "model", task: str = "task") -> DataFrame:
+def compare_models(
+    predictions: DataFrame, actual: str, predicted: str, model: str = "model", task: str = "task"
+) -> DataFrame:
     """All models of a task ranked by accuracy, then macro F1, then name."""
     best = Window.partitionBy(task).orderBy(F.desc("accuracy"), F.desc("macro_f1"), model)
     scored = summary(confusion(predictions, actual, predicted, task, model), task, model)

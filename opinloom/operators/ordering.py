@@ -77,7 +77,9 @@ def key_bounds(df: DataFrame, key: str) -> tuple[int, int, int]:
     return tuple(df.agg(F.min(key), F.max(key), F.count(key)).first())
 
 
-def key_at(df: DataFrame, key: str, position: int, bounds: tuple[int, int, int] | None = None) -> tuple[int, int] | None:
+def key_at(
+    df: DataFrame, key: str, position: int, bounds: tuple[int, int, int] | None = None
+) -> tuple[int, int] | None:
     """The integer key at a 0-based position and how many rows come before that key.
 
     Histogram refinement: each pass counts at most ``BINS`` bins of the key range that is left.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from opinloom.functions.cleaning import clean_text, document
 from opinloom.functions.tokens import ngram_range, ngrams, words
 from opinloom.operators import terms
-from opinloom.operators.features import fit_vectorizer, slot_terms, vector_terms
+from opinloom.operators.features import fit_vectorizer, is_exact, slot_terms, vector_terms
 from opinloom.queries.registry import LABELLED_SQL, documents, labelled, query
 from opinloom.sources.tables import table
 
@@ -135,7 +135,14 @@ def top_terms_by_polarity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _unpacked(docs: DataFrame, weighting: str) -> DataFrame:
+    """Vector entries by term; hashed slots cannot be named, so then the long table gives the rows."""
     vectorizer = fit_vectorizer(docs, "text", weighting)
+    if not is_exact(vectorizer):
+        tokens = words(F.col("text"))
+        if weighting == "count":
+            counts = terms.term_counts(docs, "doc_id", tokens)
+            return counts.select("doc_id", "term", F.col("tf").cast("double").alias("value"))
+        return terms.tfidf(docs, "doc_id", tokens).select("doc_id", "term", F.col("weight").alias("value"))
     rows = vector_terms(vectorizer.transform(docs), "doc_id", "features")
     return rows.join(slot_terms(docs, vectorizer), "slot").drop("slot")
 

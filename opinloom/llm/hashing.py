@@ -34,12 +34,12 @@ def _power(name: str, n: int) -> np.ndarray:
     return _powers[name]
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin and end of every word, and the number of words before each text."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _BREAK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of every word, and the number of words before each text; ``breaks`` tells the bytes between words."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    inside = ~_BREAK[data]
+    inside = ~breaks[data]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
@@ -51,9 +51,16 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+def byte_values(same: dict[str, str] | None = None) -> np.ndarray:
+    """What each byte counts for in a hash: A-Z as a-z, and further characters as the ones they stand for."""
+    fold = _LOWER.copy()
+    for a, b in (same or {}).items():
+        fold[ord(a)] = ord(b)
+    return _BYTE[fold]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = byte_values()) -> np.ndarray:
     """A hash per word: a polynomial over its bytes, from sums that run over a chunk of the text."""
-    table = _BYTE[_LOWER] if lower else _BYTE
     out = np.empty(len(starts), np.uint64)
     first = 0
     while first < len(starts):

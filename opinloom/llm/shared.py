@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +25,19 @@ def labels(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/labels.parquet")
 
 
+def python_tasks(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package from where the driver has it, if they run beside the driver."""
+    root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(filter(None, [known.get("PYTHONPATH"), root]))
+    return spark
+
+
 class Work:
     """Tables of one job below the shared folder, each of which can be dropped when nothing reads it any more."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+        self.spark, self.paths = python_tasks(spark), {}
 
     def table(self, df: DataFrame, purpose: str) -> DataFrame:
         """The rows as a written table: computed once, without lineage, readable after the loss of an executor."""

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinloom.llm import jaccard
-from opinloom.llm.shared import documents
+from opinloom.llm import factorisation, jaccard, mixing, naming, outliers, packing, pieces, privacy, quotes, toxicity
+from opinloom.llm.shared import documents, held_out, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,3 +31,64 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 @query()
 def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, folder), width=3, num=90, den=100)
+
+
+@query("""
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+""")
+def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return naming.duplicates(documents(spark, folder))
+
+
+@query(f"""
+WITH {mixing.MIXTURE_SQL}
+SELECT doc_id, size, source_size, target, whole * size + greatest(0, least(size, more - before)) AS taken FROM reached
+""")
+def op8_mixing_to_target_weights(spark: SparkSession, folder: str) -> DataFrame:
+    plan = mixing.mixture(documents(spark, folder).select("doc_id", "source", "text"))
+    taken = F.col("whole") * F.col("size") + F.col("part")
+    return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+@query()
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text", "n_chars")
+    found = factorisation.scored(docs, factorisation.fit(docs, labels(spark, folder)))
+    return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@query()
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    found = toxicity.scored(docs, toxicity.fit(docs, labels(spark, folder)))
+    predicted = (F.col("score") >= 0.5).cast("int")
+    return found.select("doc_id", held_out().alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query()
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return outliers.judged(documents(spark, folder))
+
+
+@query()
+def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    shipped = pieces.ship(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.token_digests(documents(spark, folder), shipped)
+
+
+@query()
+def op6_token_id_output(spark: SparkSession, folder: str) -> DataFrame:
+    shipped = packing.ship(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.packed(documents(spark, folder), shipped)
+
+
+@query()
+def op9_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return quotes.reply_ordered(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
+@query()
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return privacy.span_digests(documents(spark, folder))

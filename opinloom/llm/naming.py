@@ -22,8 +22,9 @@ def _named(rows: DataFrame, *content: str) -> DataFrame:
     copies collapse to one row; the distinct contents of the salts are then numbered together. Both readers of the
     first sort need the same columns, so its exchange, the only one with all contents, runs once.
     """
-    group = F.pmod(F.xxhash64(*content), F.lit(GROUPS))
-    salt = F.pmod(F.xxhash64("doc_id", "text_sha256", "pos"), F.lit(SALTS))
+    # never null: else Spark filters the two readers differently
+    group = F.coalesce(F.pmod(F.xxhash64(*content), F.lit(GROUPS)), F.lit(0))
+    salt = F.coalesce(F.pmod(F.xxhash64("doc_id", "text_sha256", "pos"), F.lit(SALTS)), F.lit(0))
     order = Window.partitionBy("group", "salt").orderBy(*content, *KEY, "pos")
     same = F.lit(True)
     for c in content:

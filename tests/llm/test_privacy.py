@@ -16,7 +16,7 @@ PATTERNS = {
 def valid(kind, match):
     digits = [int(c) for c in match if c in "0123456789"]
     if kind == "ip":
-        return all(int(p) <= 255 for p in match.split("."))
+        return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in match.split("."))
     if kind == "card":
         total = sum(d if i % 2 == 0 else (2 * d if d < 5 else 2 * d - 9) for i, d in enumerate(digits[::-1]))
         return 12 <= len(digits) <= 19 and total % 10 == 0
@@ -53,7 +53,7 @@ def test_base_spans(spark):
 
 
 def test_terms_that_reveal_an_entity(spark):
-    rows = [(i, f"filler{i} Zaphod. writes from z.b@mail.example about common matters {i}", "", 0) for i in range(5)]
+    rows = [(i, f"common Zaphod. writes from z.b@mail.example about common matters {i}", "", 0) for i in range(5)]
     rows += [(100 + i, f"common matters writes from about number {i}", "", 0) for i in range(2000)]
     rows += [(5000 + i, "Copied words near one.copy@mail.example often", "", 0) for i in range(50)]
     frame = spark.createDataFrame(rows, SCHEMA)

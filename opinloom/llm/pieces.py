@@ -8,6 +8,7 @@ character; the table of last tokens is filled from left to right, and the ids ar
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from collections.abc import Iterator
@@ -24,8 +25,9 @@ from opinloom.llm.shared import plain_text, python_tasks, sliced
 
 SPACE = "▁"
 KEPT_WORDS = 300_000
-KEPT_PAIRS = 2_000_000
+KEPT_PAIRS = 1_000_000
 KEPT_LENGTH = 40
+ROWS_AT_ONCE = 256
 ENDLESS = float("inf")
 
 
@@ -54,12 +56,16 @@ class Codec:
             raise ValueError("pieces that hold a space after other characters are not supported")
         self.byte_id = {b: i for i, b in words.bytes.items()}
         self.vocabulary = words
-        self.shown = [p.replace(SPACE, " ") for p in words.pieces]
+        self.shown = [chr(words.bytes[i]) if i in words.bytes else p.replace(SPACE, " ") for i, p in enumerate(words.pieces)]
         self.cut = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
         self.parts: dict[str, tuple[str, str] | None] = {}
         self.spines: dict[tuple[str, int], list[tuple[str, float]]] = {}
         self.fits: dict[int, bool] = {}
         self.words: dict[str, list[int]] = {}
+        self.length = [len(p) for p in words.pieces]
+        self.characters = {p for p in self.ids if len(p) == 1}
+        # ids that need more than their own text to be shown
+        self.hard = {i for i, b in words.bytes.items() if b >= 128} | words.silent | {words.unknown}
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
             if len(p) == 1 or self.split(p) is not None:
@@ -139,8 +145,7 @@ class Codec:
     def run(self, text: str) -> list[int]:
         """Ids of a run of known characters: the table of last tokens, then back from its end."""
         n = len(text)
-        last, begin = [-1] * (n + 1), [0] * (n + 1)
-        fits = self.fits
+        last, fits = [-1] * (n + 1), self.fits
         for end, (piece, length) in self.automaton.iter(text):
             end += 1
             if last[end] >= 0:
@@ -155,11 +160,11 @@ class Codec:
                     ok = fits[key] = self.compatible(last[start], piece)
                 if not ok:
                     continue
-            last[end], begin[end] = piece, start
+            last[end] = piece
         out = []
         while n:
             out.append(last[n])
-            n = begin[n]
+            n -= self.length[last[n]]
         out.reverse()
         return out
 
@@ -168,6 +173,8 @@ class Codec:
         if text.count(SPACE) > 1:
             # pieces of several spaces share one score, so their merges have no order of ranks
             return [i for t in self.merged(text)[0] for i in self.known_or_bytes(t)]
+        if self.characters.issuperset(text):
+            return self.run(text)
         out: list[int] = []
         start = 0
         for i, c in enumerate(text):
@@ -204,8 +211,8 @@ class Codec:
     def decode(self, ids: list[int]) -> str:
         """The text of the ids: bytes joined to characters, control ids silent, the space put before the text removed."""
         shown, special, raw = [], self.vocabulary, bytearray()
-        if ids and min(ids) > max(special.bytes, default=-1):
-            text = "".join([self.shown[i] for i in ids])
+        if self.hard.isdisjoint(ids):
+            text = "".join(map(self.shown.__getitem__, ids))
         else:
             for i in ids:
                 if i in special.bytes:
@@ -282,19 +289,34 @@ def decoded(rows: DataFrame, shipped: Broadcast) -> DataFrame:
     own = [c for c in rows.columns if c != "decoded"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = codec(shipped)
+        of, at = codec(shipped), own.index("ids")
         for batch in batches:
-            texts = [of.decode(i or []) for i in batch.column(own.index("ids")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*own, "decoded"])
+            for first in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(first, ROWS_AT_ONCE)
+                texts = [of.decode(i.as_py() or []) for i in part.column(at)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*own, "decoded"])
 
     schema = rows.select(*own).withColumn("decoded", F.lit("")).schema
     return rows.select(*own).mapInArrow(read, schema)
 
 
 def token_digests(docs: DataFrame, shipped: Broadcast) -> DataFrame:
-    """doc_id, number of ids, and the hashes of the ids and of the text decoded from them."""
-    rows = decoded(encoded(docs.select("doc_id", "text"), shipped).drop("text"), shipped)
-    return rows.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    """doc_id, number of ids, and the hashes of the ids and of the text decoded from them, made text by text."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = codec(shipped)
+        number = [str(i) for i in range(len(of.length))]
+        for batch in sliced(batches, "text"):
+            counts, hashes, decodings = [], [], []
+            for text in batch.column(1):
+                ids = of.encode(text.as_py())
+                counts.append(len(ids))
+                hashes.append(hashlib.sha256(",".join(map(number.__getitem__, ids)).encode()).hexdigest())
+                decodings.append(hashlib.sha256(of.decode(ids).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decodings, pa.string())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return docs.select("doc_id", plain_text().alias("text")).mapInArrow(read, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -17,8 +17,8 @@ from opinloom.llm.shared import plain_text, python_tasks, sliced
 
 ROW_LENGTH = 2048
 PAD = 50256
-WINDOW_TOKENS = 1 << 22
-KEPT_WORDS = 400_000
+WINDOW_TOKENS = 1 << 21
+KEPT_WORDS = 150_000
 KEPT_LENGTH = 40
 
 

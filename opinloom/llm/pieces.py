@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from opinloom.llm.shared import plain_text, python_tasks, sliced
 
 SPACE = "▁"
-KEPT_WORDS = 300_000
-KEPT_PAIRS = 1_000_000
+KEPT_WORDS = 100_000
+KEPT_PAIRS = 500_000
 KEPT_LENGTH = 40
 ROWS_AT_ONCE = 256
 ENDLESS = float("inf")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from opinloom.session import work_path
 
 WORD_BREAKS = " \t\n\x0b\f\r"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

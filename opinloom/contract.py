@@ -66,6 +66,6 @@ ERROR_PREFIX = "__ERROR__: "
 LOGISTIC = {"C": 1.0, "max_iter": 200, "tol": 1e-4}
 SVM = {"C": 1.0, "tol": 1e-3, "max_iter": 2000, "max_rows": 100_000}
 FOREST = {"trees": 100, "depth": 30, "min_leaf": 2}
-PERCEPTRON = {"hidden": [128], "max_iter": 100}
-ENCODER_FRACTION = 0.1
+PERCEPTRON = {"hidden": [128, 256, 128], "max_iter": 100}
+ENCODER_FRACTION = 0.1  # asked for by name, see training.encoded_rows
 ENCODER_BATCH = 64

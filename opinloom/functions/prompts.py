@@ -58,6 +58,17 @@ FEW_SHOT_SCORE = Template(
 )
 
 
+def request(template: Template, review: Column, examples: Sequence[Example] = ()) -> Column:
+    """The whole request to a model: its system text and the prompt, as ``struct<system, prompt>``."""
+    return F.struct(F.lit(template.system).alias("system"), render(template, review, examples).alias("prompt"))
+
+
+def chat(request: Column) -> Column:
+    """A request as the JSON list of messages that chat models take."""
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    return F.to_json(F.array(message("system", request["system"]), message("user", request["prompt"])))
+
+
 def render(template: Template, review: Column, examples: Sequence[Example] = ()) -> Column:
     """The prompt column: constant text around the review."""
     if examples and not template.example:

@@ -1,58 +1,66 @@
-"""Sparse feature vectors: a fitted, saveable stage list with the semantics of the long tables.
+"""Feature vectors of texts.
 
-The texts are read once, for the table of document frequencies; the vectorizer is fitted on that
-table. A vocabulary of up to ``max_terms`` words is used as it is; its size is counted before it is
-collected. A larger one is hashed into ``max_terms`` slots, so no word is left out.
+``exact_vectors`` names every entry: its index is the term's place in the alphabetical vocabulary, at any size. The
+vocabulary is a table that is joined, so no part of it passes through the driver. Classifiers need vectors of a fixed
+width: ``fit_vectorizer`` hashes words into as many slots as asked for, whatever the vocabulary.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import (
-    IDF,
-    CountVectorizer,
-    CountVectorizerModel,
-    ElementwiseProduct,
-    HashingTF,
-    Normalizer,
-    RegexTokenizer,
-)
+from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, Normalizer, SQLTransformer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinloom.functions.tokens import WORD, words
-from opinloom.operators.terms import document_frequency
+from opinloom.operators import terms
 from opinloom.session import written
 
-MAX_TERMS = 1 << 20
 TOKENS, COUNTS, SCALED, FEATURES = "tokens", "counts", "scaled", "features"
 
 
-def _tokenizer(text: str) -> RegexTokenizer:
-    return RegexTokenizer(
-        inputCol=text, outputCol=TOKENS, pattern=WORD, gaps=False, toLowercase=True, minTokenLength=2
-    )
+def exact_vectors(df: DataFrame, doc: str, text: str, weighting: str = "tfidf") -> DataFrame:
+    """``doc, indices, values`` of each text with words, and ``size``, the number of terms of all texts."""
+    _known(weighting)
+    tokens = words(F.col(text))
+    index = written(terms.vocabulary(df, tokens), "vocabulary")
+    if weighting == "count":
+        rows = terms.term_counts(df, doc, tokens).select(doc, "term", F.col("tf").cast("double").alias("value"))
+    else:
+        rows = terms.tfidf(df, doc, tokens).select(doc, "term", F.col("weight").alias("value"))
+    placed = rows.join(index.select("term", "term_index"), "term")
+    entries = placed.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("term_index", "value"))).alias("entries"))
+    size = F.lit(index.count())
+    return entries.select(doc, size.alias("size"), F.col("entries.term_index").alias("indices"), F.col("entries.value").alias("values"))
 
 
-def fit_vectorizer(df: DataFrame, text: str, weighting: str = "tfidf", max_terms: int = MAX_TERMS) -> PipelineModel:
-    """Fit bag-of-words (``count``) or TF-IDF (``tfidf``) features on a text column."""
+def _known(weighting: str) -> None:
     if weighting not in ("count", "tfidf"):
         raise ValueError("weighting is 'count' or 'tfidf'")
-    frequencies = written(document_frequency(df, words(F.col(text))), "vocabulary")
-    size = frequencies.count()
-    if size == 0:
+
+
+def _tokenizer(text: str) -> SQLTransformer:
+    """The words of ``functions.tokens``, as a stage that can be saved."""
+    pattern = WORD.replace("\\", "\\\\")
+    return SQLTransformer(statement=f"SELECT *, regexp_extract_all(lower(`{text}`), '{pattern}', 0) AS {TOKENS} FROM __THIS__")
+
+
+def fit_vectorizer(df: DataFrame, text: str, weighting: str, width: int) -> PipelineModel:
+    """Fit hashed bag-of-words (``count``) or TF-IDF (``tfidf``) features of a fixed width on a text column.
+
+    No word is left out; words that share a slot share its weight. Of the texts, only document frequencies by slot
+    reach the driver: ``width`` numbers.
+    """
+    _known(weighting)
+    if df.select(F.explode(words(F.col(text)))).isEmpty():
         raise ValueError("empty vocabulary")
-    exact = size <= max_terms
-    if exact:
-        each_term = frequencies.select(F.array("term").alias(TOKENS), "df")
-        counter = CountVectorizer(inputCol=TOKENS, outputCol=COUNTS, minDF=1.0, vocabSize=size).fit(each_term)
-    else:
-        counter = HashingTF(inputCol=TOKENS, outputCol=COUNTS, numFeatures=max_terms)
     if weighting == "count":
-        return PipelineModel([_tokenizer(text), counter.setOutputCol(FEATURES)])
-    idf = _exact_idf(counter.transform(each_term), df.count(), size) if exact else _hashed_idf(counter, df, text)
+        return PipelineModel([_tokenizer(text), HashingTF(inputCol=TOKENS, outputCol=FEATURES, numFeatures=width)])
+    counter = HashingTF(inputCol=TOKENS, outputCol=COUNTS, numFeatures=width)
+    counts = counter.transform(df.select(words(F.col(text)).alias(TOKENS)))
+    # Spark's own idf lacks the added one
+    idf = IDF(inputCol=COUNTS, outputCol=SCALED).fit(counts).idf.toArray() + 1
     return PipelineModel([
         _tokenizer(text),
         counter,
@@ -61,33 +69,8 @@ def fit_vectorizer(df: DataFrame, text: str, weighting: str = "tfidf", max_terms
     ])
 
 
-def _exact_idf(slotted: DataFrame, n: int, size: int) -> np.ndarray:
-    """ln((1 + n) / (1 + df)) + 1 in slot order; one row per term is collected."""
-    found = slotted.select(F.unwrap_udt(COUNTS)["indices"][0].alias("slot"), "df").toPandas()
-    frequency = np.zeros(size)
-    frequency[found["slot"]] = found["df"]
-    return np.log((1 + n) / (1 + frequency)) + 1
-
-
-def _hashed_idf(counter: HashingTF, df: DataFrame, text: str) -> np.ndarray:
-    """The same for hash slots; Spark's own idf lacks the added one."""
-    counts = counter.transform(df.select(words(F.col(text)).alias(TOKENS)))
-    return IDF(inputCol=COUNTS, outputCol=SCALED).fit(counts).idf.toArray() + 1
-
-
-def is_exact(vectorizer: PipelineModel) -> bool:
-    """Whether each slot stands for one term (no hashing)."""
-    return isinstance(vectorizer.stages[1], CountVectorizerModel)
-
-
 def feature_width(vectorizer: PipelineModel) -> int:
-    counter = vectorizer.stages[1]
-    return len(counter.vocabulary) if is_exact(vectorizer) else counter.getNumFeatures()
-
-
-def slot_terms(df: DataFrame, vectorizer: PipelineModel) -> DataFrame:
-    """``slot, term`` of a fitted vocabulary (at most ``max_terms`` rows)."""
-    return df.sparkSession.createDataFrame(list(enumerate(vectorizer.stages[1].vocabulary)), "slot int, term string")
+    return vectorizer.stages[1].getNumFeatures()
 
 
 def vector_terms(df: DataFrame, doc: str, vector: str) -> DataFrame:

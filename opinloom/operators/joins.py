@@ -1,9 +1,8 @@
-"""Left joins of a large fact table to a dimension, safe against hot keys.
+"""Left joins of a large fact table to a dimension.
 
-A dimension that Spark itself can broadcast (its size estimate is below the session's
-``autoBroadcastJoinThreshold``) is joined without moving the facts. Otherwise both sides are
-shuffled, and every key that holds more than ``share`` of the facts is spread over several
-salts, so no task gets more than about that share whatever the key distribution.
+Spark broadcasts a dimension below its own size threshold, without moving the facts. Otherwise both sides are shuffled
+on the key, and adaptive execution divides a partition that a hot key makes large: the facts are split, the dimension's
+rows of that partition read by each part.
 """
 
 from __future__ import annotations
@@ -11,57 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinloom.operators.sizing import is_broadcastable
 
-SHARE = 1 / 1000
-_SALT = "__salt"
-_SALTS = "__salts"
-
-
-def count_keys(facts: DataFrame, key: str) -> DataFrame:
-    """Rows per key: ``key, n``."""
-    return facts.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-
-
-def hot_keys(key_counts: DataFrame, key: str, share: float = SHARE) -> DataFrame:
-    """From ``key, n``: keys with more than ``share`` of all rows and the number of salts each gets.
-
-    At most ``1 / share`` rows by construction, so the result may always be broadcast.
-    """
-    allowed = key_counts.agg(F.greatest(F.sum("n") * share, F.lit(1.0)).alias("n")).scalar()
-    return key_counts.where(F.col("n") > allowed).select(
-        F.col(key).alias("__hot"), F.ceil(F.col("n") / allowed).cast("int").alias(_SALTS)
-    )
-
-
-def salted_left_join(
-    facts: DataFrame, dimension: DataFrame, key: str, spread_by: list[str], key_counts: DataFrame | None = None
-) -> DataFrame:
-    """Left join on a null-safe key with hot keys spread over salts.
-
-    The salt is a hash of ``spread_by``, columns that tell rows of one key apart (an ordinal), so a
-    task run again gives each row the same salt. Only the dimension rows of hot keys are repeated,
-    at most ``2 / SHARE`` times in all for a unique key. ``key_counts`` saves counting the facts.
-    """
-    hot = F.broadcast(hot_keys(count_keys(facts, key) if key_counts is None else key_counts, key))
-    spread = F.coalesce(F.col(_SALTS), F.lit(1))
-    salted_facts = facts.join(hot, F.col(key).eqNullSafe(F.col("__hot")), "left").select(
-        *facts.columns, F.pmod(F.xxhash64(*spread_by), spread).cast("int").alias(_SALT)
-    )
-    salted_dimension = (
-        dimension.withColumnRenamed(key, "__key")
-        .join(hot, F.col("__key").eqNullSafe(F.col("__hot")), "left")
-        .withColumn("__dim_salt", F.explode(F.sequence(F.lit(0), spread - 1)))
-        .drop("__hot", _SALTS)
-    )
-    same = F.col(key).eqNullSafe(F.col("__key")) & (F.col(_SALT) == F.col("__dim_salt"))
-    return salted_facts.join(salted_dimension, same, "left").drop("__key", "__dim_salt", _SALT)
-
-
-def left_join(facts: DataFrame, dimension: DataFrame, key: str, spread_by: list[str]) -> DataFrame:
+def left_join(facts: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     """Left join on a null-safe key; copies on the right fan out, null keys match null keys."""
-    if not is_broadcastable(dimension):
-        return salted_left_join(facts, dimension, key, spread_by)
     right = dimension.withColumnRenamed(key, "__key")
     return facts.join(right, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
 

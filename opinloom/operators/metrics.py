@@ -94,9 +94,11 @@ def compare_models(
 
 
 def answer_rate(df: DataFrame, predicted: str) -> DataFrame:
-    """How many rows were asked for, and how many gave a valid prediction."""
+    """How many rows were asked for, how many calls came back, and how many gave a valid prediction."""
+    answered = F.col("error").isNull() if "error" in df.columns else F.lit(True)
     return df.agg(
-        F.count(F.lit(1)).alias("predicted_rows"),
+        F.count(F.lit(1)).alias("requested_rows"),
+        F.count_if(answered).alias("predicted_rows"),
         F.count_if(F.col(predicted).isNotNull()).alias("valid_rows"),
         _ratio(F.count_if(F.col(predicted).isNotNull()), F.count(F.lit(1))).alias("valid_rate"),
     )

@@ -9,34 +9,34 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opinloom.session import work_path
 
 ORDINAL = "ordinal"
 BINS = 4096
-BROADCAST_FILES = 100_000
 
 
 def read_with_ordinal(spark: SparkSession, path: str, part_files: bool = False) -> DataFrame:
     """A Parquet table with its dense 0-based row number in file order.
 
     Files are ordered by path, or by part number for a table Spark has written in order.
-    The running total goes over one row per file; the offsets are broadcast while the file list
-    is short enough.
+    The running total goes over one row per file. Spark broadcasts the offsets by their size; beyond that the join
+    is shuffled by file.
     """
     table = spark.read.parquet(path)
     rows = table.select("*", "_metadata.file_path", "_metadata.row_index")
     part = F.regexp_extract("file_path", r"part-(\d+)-[^/]*$", 1).cast("bigint")
-    in_order = Window.orderBy(part if part_files else F.col("file_path")).rowsBetween(Window.unboundedPreceding, -1)
+    # a task that writes several files gives them one part number and rising names
+    order = [part, F.col("file_path")] if part_files else [F.col("file_path")]
+    in_order = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.groupBy("file_path")
         .agg(F.count(F.lit(1)).alias("n"))
         .select("file_path", F.coalesce(F.sum("n").over(in_order), F.lit(0)).alias("offset"))
     )
-    if len(table.inputFiles()) <= BROADCAST_FILES:
-        offsets = F.broadcast(offsets)
     return (
         rows.join(offsets, "file_path")
         .withColumn(ORDINAL, F.col("offset") + F.col("row_index"))
@@ -72,21 +72,21 @@ def with_scan_ordinal(scan: DataFrame) -> DataFrame:
     return read_with_ordinal(scan.sparkSession, path, part_files=True)
 
 
-def key_bounds(df: DataFrame, key: str) -> tuple[int, int, int]:
-    """Smallest key, largest key and number of rows."""
-    return tuple(df.agg(F.min(key), F.max(key), F.count(key)).first())
+def key_bounds(df: DataFrame, key: str) -> tuple[int, int, int, int]:
+    """Smallest key, largest key, number of rows and of rows whose key is known."""
+    return tuple(df.agg(F.min(key), F.max(key), F.count(F.lit(1)), F.count(key)).first())
 
 
 def key_at(
-    df: DataFrame, key: str, position: int, bounds: tuple[int, int, int] | None = None
+    df: DataFrame, key: str, position: int, bounds: tuple[int, int, int, int] | None = None
 ) -> tuple[int, int] | None:
     """The integer key at a 0-based position and how many rows come before that key.
 
     Histogram refinement: each pass counts at most ``BINS`` bins of the key range that is left.
-    Null if there are not that many rows.
+    Null if there are not that many rows, or if the position lies among the null keys, which come last.
     """
-    low, high, rows = bounds or key_bounds(df, key)
-    if position < 0 or position >= rows:
+    low, high, rows, known = bounds or key_bounds(df, key)
+    if position < 0 or position >= known:
         return None
     before = 0
     while low < high:
@@ -105,41 +105,78 @@ def key_at(
     return low, before
 
 
-def _cut(df: DataFrame, rows: int, key: str, cut: tuple[int, int] | None) -> tuple[DataFrame, DataFrame]:
-    if cut is None:
-        everything = rows > 0
-        return df.where(F.lit(everything)), df.where(F.lit(not everything))
-    value, before = cut
+def _content(df: DataFrame, key: str) -> list:
+    """An order of rows that share a key; a map, which has no order, counts as its JSON with sorted entries."""
+
+    def comparable(field) -> Column:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.MapType):
+            return F.to_json(F.array_sort(F.map_entries(column)))
+        return column if not _holds_map(field.dataType) else F.to_json(column)
+
+    return [comparable(f) for f in df.schema.fields if f.name != key]
+
+
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and _holds_map(kind.elementType)
+
+
+def _in_first(df: DataFrame, rows: int, total: int, key: str, cut: tuple[int, int] | None) -> DataFrame:
+    """The rows with a boolean ``__first``: whether they are among the first ``rows`` by key, null keys last."""
     column = F.col(key)
+    if rows <= 0 or rows >= total:
+        return df.withColumn("__first", F.lit(rows > 0))
+    if cut is None:
+        value, before = None, df.where(column.isNotNull()).count()
+        tied, sooner = column.isNull(), column.isNotNull()
+    else:
+        value, before = cut
+        tied, sooner = column == value, column < value
     if before == rows:
-        return df.where(column < value), df.where(column >= value)
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*[c for c in df.columns if c != key]))
-    tied = df.where(column == value).withColumn("__place", place)
-    first = tied.where(F.col("__place") <= rows - before).drop("__place")
-    rest = tied.where(F.col("__place") > rows - before).drop("__place")
-    return df.where(column < value).unionByName(first), df.where(column > value).unionByName(rest)
+        return df.withColumn("__first", F.coalesce(sooner, F.lit(False)))
+    tied = F.coalesce(tied, F.lit(False))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*_content(df, key)))
+    level = df.where(tied).withColumn("__place", place).withColumn("__first", F.col("__place") <= rows - before)
+    others = df.where(~tied).withColumn("__first", F.coalesce(sooner, F.lit(False)))
+    return others.unionByName(level.drop("__place"))
 
 
-def split_at(df: DataFrame, rows: int, key: str = ORDINAL) -> tuple[DataFrame, DataFrame]:
-    """The first ``rows`` rows by key, and the rest.
+def with_split(
+    df: DataFrame, fraction: float, key: str = ORDINAL, positions: DataFrame | None = None, least: int = 0
+) -> DataFrame:
+    """The rows with ``split``: ``train`` for the first ``int(n * fraction)`` (at least ``least``), else ``test``.
 
-    Rows sharing the key at the cut (copies of one row made by a join) are ordered by their
-    content, so that both parts have exactly the right size.
+    Rows sharing the key at the cut (copies of one row made by a join) are ordered by their content, so that both
+    parts have exactly the right size; null keys come last. ``positions`` may name a cheaper DataFrame with the same
+    keys to look the cut up in.
     """
-    return _cut(df, rows, key, key_at(df, key, rows))
+    counted = df if positions is None else positions
+    bounds = key_bounds(counted, key)
+    rows = max(least, int(bounds[2] * fraction))
+    placed = _in_first(df, rows, bounds[2], key, key_at(counted, key, rows, bounds))
+    return placed.withColumn("split", F.when(F.col("__first"), "train").otherwise("test")).drop("__first")
+
+
+def _parts(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return placed.where("__first").drop("__first"), placed.where("not __first").drop("__first")
+
+
+def split_at(df: DataFrame, rows: int, key: str = ORDINAL) -> tuple[DataFrame, DataFrame]:
+    """The first ``rows`` rows by key, and the rest; see ``with_split``."""
+    bounds = key_bounds(df, key)
+    return _parts(_in_first(df, rows, bounds[2], key, key_at(df, key, rows, bounds)))
 
 
 def split_fraction(
     df: DataFrame, fraction: float, key: str = ORDINAL, positions: DataFrame | None = None, least: int = 0
 ) -> tuple[DataFrame, DataFrame]:
-    """The first ``int(n * fraction)`` rows (at least ``least``), and the rest.
-
-    ``positions`` may name a cheaper DataFrame with the same keys to look the cut up in.
-    """
+    """The first ``int(n * fraction)`` rows (at least ``least``), and the rest; see ``with_split``."""
     counted = df if positions is None else positions
     bounds = key_bounds(counted, key)
     rows = max(least, int(bounds[2] * fraction))
-    return _cut(df, rows, key, key_at(counted, key, rows, bounds))
+    return _parts(_in_first(df, rows, bounds[2], key, key_at(counted, key, rows, bounds)))
 
 
 def head_rows(df: DataFrame, rows: int, key: str = ORDINAL) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Decisions by size: broadcasting, partition counts, spreading small inputs."""
+"""Decisions by size: partition counts."""
 
 from __future__ import annotations
 
@@ -32,14 +32,6 @@ def input_bytes(df: DataFrame) -> int | None:
     return _known(sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())))
 
 
-def is_broadcastable(df: DataFrame) -> bool:
-    """True if Spark would broadcast this side by its own size check."""
-    size = estimated_bytes(df)
-    if size is None:
-        return False
-    return size <= df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-
-
 def needed_partitions(*inputs: DataFrame) -> int:
     """Partitions of about 128 MiB of input, at least the session's shuffle partitions."""
     configured = int(inputs[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -60,13 +52,6 @@ def cluster_by(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(partitions, key) if partitions > configured else df.repartition(key)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash a table over all cores if it is too small to be scanned by all of them.
-
-    Only below one scan split per core by the size estimate; a larger table is left as it is read.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = input_bytes(df)
-    if size is None or size >= cores * PARTITION_BYTES:
-        return df
-    return df.repartition(cores, *keys)
+def fit_partitions(df: DataFrame) -> int:
+    """Partitions for the table a model is fitted on: by its bytes, at least one for each core."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, math.ceil((input_bytes(df) or 0) / PARTITION_BYTES))

@@ -1,11 +1,10 @@
 """Bag-of-words and TF-IDF as long tables.
 
-``tokens`` is a token column or expression. Term counts hash the short text over the tasks by
-document; counting terms within a document and normalising it then need no further shuffle, and
-the long table is never moved. Document frequencies need no grouping by document: each document
-contributes its distinct terms, so only ``term -> count`` partial sums are shuffled. Where the
-fitted idf table is too large to broadcast, weights meet it through the salted join of ``joins``:
-a term found in every document is spread over many tasks.
+``tokens`` is a token column or expression. Terms are counted within the row, so counting moves nothing. Document
+frequencies need no grouping by document: each document contributes its distinct terms, so only ``term -> count``
+partial sums are shuffled. TF-IDF reads the texts once, into a written table of counts by document; the norm needs the
+rows of a document together, for which this compact table, not the text, is hashed by document. Where the fitted idf
+table is too large to broadcast, the long rows meet it in a shuffled join, whose hot terms adaptive execution divides.
 """
 
 from __future__ import annotations
@@ -13,9 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opinloom.operators.joins import salted_left_join
 from opinloom.operators.ordering import with_dense_ordinal
-from opinloom.operators.sizing import cluster_by, is_broadcastable
+from opinloom.operators.sizing import cluster_by
 from opinloom.session import written
 
 
@@ -23,14 +21,33 @@ def _bind(df: DataFrame, tokens: Column | str) -> DataFrame:
     return df.select((F.col(tokens) if isinstance(tokens, str) else tokens).alias("tokens"))
 
 
+def counted_terms(df: DataFrame, doc: str, tokens: Column | str, *keep: str) -> DataFrame:
+    """Each document with its distinct terms and their frequencies, as an array ``terms`` of (term, tf).
+
+    Run lengths of the sorted tokens: linear after the sort, and no token is compared with all others.
+    """
+    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
+    ordered = df.select(doc, *keep, F.sort_array(tokens).alias("tokens"))
+    n, t = F.size("tokens"), F.col("tokens")
+    starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(t, i - 1) != F.get(t, i - 2)))
+    found = ordered.select(doc, *keep, "tokens", F.when(n > 0, starts).otherwise(F.array().cast("array<int>")).alias("starts"))
+    begin = F.col("starts")
+    run = lambda s, i: F.struct(
+        F.get(t, s - 1).alias("term"), (F.coalesce(F.get(begin, i + 1), n + 1) - s).cast("long").alias("tf"))
+    return found.select(doc, *keep, F.transform(begin, run).alias("terms"))
+
+
 def term_counts(df: DataFrame, doc: str, tokens: Column | str, *keep: str) -> DataFrame:
-    """Term frequency per document: ``doc, *keep, term, tf``."""
-    return (
-        cluster_by(df, doc)
-        .select(doc, *keep, F.explode(tokens).alias("term"))
-        .groupBy(doc, *keep, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    """Term frequency per document: ``doc, *keep, term, tf``; ``doc`` tells documents apart. No shuffle."""
+    return _long(counted_terms(df, doc, tokens, *keep), doc, *keep)
+
+
+def _long(counts: DataFrame, doc: str, *keep: str) -> DataFrame:
+    """A row for each counted term.
+
+    The outer form, since for the inner one Spark first filters on the size of the array and computes it twice.
+    """
+    return counts.select(doc, *keep, F.inline_outer("terms")).where(F.col("term").isNotNull())
 
 
 def document_frequency(df: DataFrame, tokens: Column | str) -> DataFrame:
@@ -80,10 +97,13 @@ def smooth_idf(n_documents, df) -> F.Column:
     return F.log((1 + n_documents) / (1 + df)) + 1
 
 
+def _with_idf(frequencies: DataFrame, n) -> DataFrame:
+    return frequencies.withColumn("idf", smooth_idf(n, F.col("df")))
+
+
 def inverse_document_frequency(df: DataFrame, tokens: Column | str) -> DataFrame:
     """Smoothed inverse document frequency: ``term, df, idf``."""
-    n = df.agg(F.count(F.lit(1))).scalar()
-    return document_frequency(df, tokens).withColumn("idf", smooth_idf(n, F.col("df")))
+    return _with_idf(document_frequency(df, tokens), df.agg(F.count(F.lit(1))).scalar())
 
 
 def fit_idf(df: DataFrame, tokens: Column | str) -> DataFrame:
@@ -93,12 +113,7 @@ def fit_idf(df: DataFrame, tokens: Column | str) -> DataFrame:
 
 def weigh(counts: DataFrame, idf: DataFrame, doc: str) -> DataFrame:
     """L2-normalised tf-idf weights; terms without an idf are dropped, as when applying a fitted vocabulary."""
-    values = idf.select("term", "idf")
-    if is_broadcastable(values):
-        joined = counts.join(values, "term")
-    else:
-        rows_per_term = idf.select("term", F.col("df").alias("n"))
-        joined = salted_left_join(counts, values, "term", [doc], rows_per_term).where(F.col("idf").isNotNull())
+    joined = counts.join(idf.select("term", "idf"), "term")
     raw = F.col("tf") * F.col("idf")
     norm = F.sqrt(F.sum(raw * raw).over(Window.partitionBy(doc)))
     return joined.withColumn("weight", raw / norm)
@@ -106,8 +121,10 @@ def weigh(counts: DataFrame, idf: DataFrame, doc: str) -> DataFrame:
 
 def tfidf(df: DataFrame, doc: str, tokens: Column | str, *keep: str) -> DataFrame:
     """Long TF-IDF table: ``doc, *keep, term, tf, idf, weight``; each document has norm 1."""
-    counts = term_counts(df, doc, tokens, *keep)
-    return weigh(counts, fit_idf(df, tokens), doc)
+    counts = written(counted_terms(df, doc, tokens, *keep), "counts")
+    frequencies = counts.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = written(_with_idf(frequencies, counts.agg(F.count(F.lit(1))).scalar()), "idf")
+    return weigh(_long(cluster_by(counts, doc), doc, *keep), idf, doc)
 
 
 def top_terms(weights: DataFrame, group: str, k: int = 10, digits: int = 6) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinloom.contract import LABELLING_LIMIT, POLARITIES, POLARITY, SCORE
+from opinloom.contract import POLARITIES, POLARITY, POLARITY_WORDS, SCORE
 from opinloom.functions.answers import (
     aspect_scores,
     extract_label,
@@ -23,30 +24,46 @@ from opinloom.functions.prompts import (
     ZERO_SHOT_POLARITY,
     ZERO_SHOT_SCORE,
     Example,
-    render,
+    chat,
+    request,
 )
 from opinloom.operators.inference import Completer, complete
-from opinloom.operators.ordering import ORDINAL, first_rows
+from opinloom.operators.ordering import ORDINAL, head_rows
 from opinloom.operators.projection import require_columns, require_rows, valid_predictions
 
 PROMPT = "prompt"
 
 
-def pick_examples(labelled: DataFrame, text: str, label: str, key: str = ORDINAL) -> list[Example]:
-    """The first non-blank review of each label, as worked examples (one row per label is read)."""
+def polarity_answer(label: int) -> str:
+    """The word that reads back as this polarity."""
+    return next(word for word, value in POLARITY_WORDS.items() if value == label)
+
+
+def score_answer(label: int) -> str:
+    """The JSON object that reads back as this score; an example names no aspects."""
+    return json.dumps({"overall_score": label, "aspects": {}})
+
+
+def pick_examples(
+    labelled: DataFrame, text: str, label: str, key: str = ORDINAL, answer: Callable[[int], str] = polarity_answer
+) -> list[Example]:
+    """The first non-blank review of each label, as worked examples (one row per label is read).
+
+    ``answer`` words a label as the model is to answer: ``polarity_answer`` or ``score_answer``.
+    """
     first = (
-        labelled.where(F.trim(text) != "")
+        labelled.where((F.trim(text) != "") & F.col(label).isNotNull())
         .groupBy(label)
         .agg(F.min_by(text, key).alias("review"))
         .orderBy(label)
     )
-    return [Example(r.review, str(r[label])) for r in first.collect()]
+    return [Example(r.review, answer(r[label])) for r in first.collect()]
 
 
 def _ask(df, text, key, limit, template, examples, make_completer, requests) -> DataFrame:
-    rows = require_rows(first_rows(df, limit, key) if limit else df)
-    prompted = rows.withColumn(PROMPT, render(template, F.coalesce(F.col(text), F.lit("")), examples))
-    return complete(prompted, PROMPT, make_completer, requests).drop(PROMPT)
+    rows = require_rows(head_rows(df, limit, key))
+    asked = request(template, F.coalesce(F.col(text), F.lit("")), examples)
+    return complete(rows.withColumn(PROMPT, chat(asked)), PROMPT, make_completer, requests).drop(PROMPT)
 
 
 def read_polarity(answered: DataFrame) -> DataFrame:
@@ -75,11 +92,15 @@ def label_polarity(
     make_completer: Callable[[], Completer],
     text: str = "review_text",
     key: str = ORDINAL,
-    limit: int = LABELLING_LIMIT,
+    limit: int = 0,
     examples: Sequence[Example] = (),
     requests: int | None = None,
 ) -> DataFrame:
-    """Zero-shot (few-shot with examples) polarity of the first ``limit`` rows; 0 means all."""
+    """Zero-shot (few-shot with examples) polarity of all rows, or of the first ``limit`` if one is given.
+
+    The model is asked with the JSON list of a system and a user message. The rows stay dealt as they are, so calls run
+    side by side; ``requests`` sets how many.
+    """
     require_columns(df, [text, POLARITY])
     template = FEW_SHOT_POLARITY if examples else ZERO_SHOT_POLARITY
     return read_polarity(_ask(df, text, key, limit, template, examples, make_completer, requests))
@@ -90,11 +111,11 @@ def label_scores(
     make_completer: Callable[[], Completer],
     text: str = "review_text",
     key: str = ORDINAL,
-    limit: int = LABELLING_LIMIT,
+    limit: int = 0,
     examples: Sequence[Example] = (),
     requests: int | None = None,
 ) -> DataFrame:
-    """Zero-shot (few-shot with examples) score and aspect scores of the first ``limit`` rows."""
+    """Zero-shot (few-shot with examples) score and aspect scores; see ``label_polarity``."""
     require_columns(df, [text, SCORE])
     template = FEW_SHOT_SCORE if examples else ZERO_SHOT_SCORE
     return read_scores(_ask(df, text, key, limit, template, examples, make_completer, requests))

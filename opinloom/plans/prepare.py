@@ -19,7 +19,7 @@ from opinloom.contract import (
 from opinloom.functions.cleaning import clean_text
 from opinloom.functions.labels import to_polarity, to_score
 from opinloom.operators.joins import has_unique_key, left_join
-from opinloom.operators.ordering import ORDINAL, split_fraction
+from opinloom.operators.ordering import ORDINAL, split_fraction, with_split
 from opinloom.operators.projection import (
     drop_unlabelled,
     ensure_columns,
@@ -53,8 +53,8 @@ def prepare(reviews: DataFrame, business: DataFrame, users: DataFrame) -> DataFr
     """
     businesses = _coerced(keep_prefixed(rename(business, BUSINESS_NAMES), "business_id", "business_"))
     people = _coerced(keep_prefixed(rename(users, USER_NAMES), "user_id", "user_"))
-    merged = left_join(_coerced(labelled_reviews(reviews)), businesses, "business_id", [ORDINAL])
-    merged = left_join(merged, people, "user_id", [ORDINAL])
+    merged = left_join(_coerced(labelled_reviews(reviews)), businesses, "business_id")
+    merged = left_join(merged, people, "user_id")
     merged = ensure_columns(ensure_columns(merged, TEXT_COLUMNS, ""), NUMERIC_COLUMNS, 0.0)
     return merged.select(
         ORDINAL,
@@ -65,14 +65,23 @@ def prepare(reviews: DataFrame, business: DataFrame, users: DataFrame) -> DataFr
     ).select(ORDINAL, *PREPARED_COLUMNS)
 
 
+def _cut_of(reviews: DataFrame, business: DataFrame, users: DataFrame, prepared: DataFrame) -> DataFrame:
+    """Where to look the cut up: with unique dimension keys the joins keep the positions, so in the reviews alone."""
+    unique = has_unique_key(business, "business_id") and has_unique_key(users, "user_id")
+    return labelled_reviews(reviews) if unique else prepared
+
+
 def prepare_split(
     reviews: DataFrame, business: DataFrame, users: DataFrame, fraction: float = TRAIN_FRACTION
 ) -> tuple[DataFrame, DataFrame]:
-    """Prepared training and test rows, cut by review position.
+    """Prepared training and test rows, cut by review position; the filter applies below the joins."""
+    prepared = prepare(reviews, business, users)
+    return split_fraction(prepared, fraction, positions=_cut_of(reviews, business, users, prepared))
 
-    With unique dimension keys the joins keep the review positions, so the cut is looked up in the
-    reviews alone and the filter applies below the joins.
-    """
+
+def prepare_with_split(
+    reviews: DataFrame, business: DataFrame, users: DataFrame, fraction: float = TRAIN_FRACTION
+) -> DataFrame:
+    """The prepared rows with a column ``split`` of ``train`` and ``test``: both parts in one pass."""
     prepared = prepare(reviews, business, users)
-    unique = has_unique_key(business, "business_id") and has_unique_key(users, "user_id")
-    return split_fraction(prepared, fraction, positions=labelled_reviews(reviews) if unique else prepared)
+    return with_split(prepared, fraction, positions=_cut_of(reviews, business, users, prepared))

@@ -6,7 +6,6 @@ prediction, with the label list stored as its own stage.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -16,19 +15,21 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinloom.contract import ENCODER_FRACTION, SVM, TEXT_COLUMNS
+from opinloom.contract import SCORE, SCORES, SVM, TEXT_COLUMNS
 from opinloom.functions.cleaning import document
 from opinloom.functions.labels import class_index
 from opinloom.operators import classifiers
-from opinloom.operators.features import FEATURES, MAX_TERMS, feature_width, fit_vectorizer
+from opinloom.operators.features import FEATURES, feature_width, fit_vectorizer
 from opinloom.operators.inference import encode
 from opinloom.operators.metrics import class_report, confusion
 from opinloom.operators.ordering import ORDINAL, head_rows, top_fraction
-from opinloom.operators.projection import distinct_labels, require_columns, require_rows
+from opinloom.operators.projection import distinct_labels, require_columns, require_range, require_rows
+from opinloom.operators.sizing import fit_partitions
 
 PREDICTED = "predicted_label"
-PERCEPTRON_TERMS = 1 << 11
-ROWS_PER_TASK = 5000
+# Slots that words are hashed to, by classifier, at any size of the vocabulary. A tree bins every slot of every row,
+# and a perceptron has a weight per slot and unit of its first layer, so these two take fewer.
+WIDTHS = {"logreg": 1 << 16, "svm": 1 << 16, "forest": 1 << 12, "mlp": 1 << 11}
 
 # name -> (feature weighting, classifier)
 TEXT_MODELS = {
@@ -65,31 +66,42 @@ def _label_stages(labels: list[int]) -> list:
 def _fit(features: DataFrame, label: str, labels: list[int], kind: str, inputs: int, options: dict) -> list:
     """Fit on a persisted (spilling) feature table, so text is vectorised once per fit.
 
-    Gradient solvers read a small table by few tasks: they run one job per step, and each task
-    sends a gradient as long as the vocabulary. Trees keep all tasks.
+    The table is dealt to as many tasks as its bytes need, at least one for each core: a gradient solver runs a job
+    per step over all of them.
     """
     ready = features.select(FEATURES, class_index(F.col(label), labels).alias(classifiers.LABEL))
-    ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
+    ready = ready.repartition(fit_partitions(features)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = ready.count()
-        estimator = _estimator(kind, n, inputs, len(labels), options)
-        model = estimator.fit(ready if kind == "forest" else ready.coalesce(math.ceil(n / ROWS_PER_TASK)))
+        model = _estimator(kind, n, inputs, len(labels), options).fit(ready)
     finally:
         ready.unpersist()
     return [model, *_label_stages(labels)]
 
 
-def fit_text_model(
-    train: DataFrame, text: str, label: str, model: str, max_terms: int | None = None, **options
-) -> PipelineModel:
-    """Fit one of ``TEXT_MODELS`` on a text column and an integer label.
+def used_labels(train: DataFrame, label: str) -> list[int]:
+    """The sorted labels of the training rows; scores must be in range. Raises if there are none."""
+    if label == SCORE:
+        require_range(train, label, SCORES[0], SCORES[-1])
+    labels = distinct_labels(train, label).first().labels
+    if not labels:
+        raise ValueError("no labelled rows to learn from")
+    return labels
 
-    The perceptron needs a dense input layer, so it hashes a large vocabulary into few slots.
-    """
+
+def fit_text_vectorizer(train: DataFrame, text: str, model: str) -> PipelineModel:
+    """The features of a model, to be shared by all models of its weighting and width."""
     weighting, kind = TEXT_MODELS[model]
-    labels = require_rows(distinct_labels(train, label)).first().labels
-    limit = max_terms or (PERCEPTRON_TERMS if kind == "mlp" else MAX_TERMS)
-    vectorizer = fit_vectorizer(train, text, weighting, limit)
+    return fit_vectorizer(train, text, weighting, WIDTHS[kind])
+
+
+def fit_text_model(
+    train: DataFrame, text: str, label: str, model: str, vectorizer: PipelineModel | None = None, **options
+) -> PipelineModel:
+    """Fit one of ``TEXT_MODELS`` on a text column and an integer label, on its own or on shared features."""
+    kind = TEXT_MODELS[model][1]
+    labels = used_labels(train, label)
+    vectorizer = vectorizer or fit_text_vectorizer(train, text, model)
     inputs = feature_width(vectorizer) if kind == "mlp" else 0
     fitted = _fit(vectorizer.transform(train.select(text, label)), label, labels, kind, inputs, options)
     return PipelineModel([*vectorizer.stages, *fitted])
@@ -102,10 +114,14 @@ def training_rows(train: DataFrame, model: str, key: str = ORDINAL, max_rows: in
 
 
 def encoded_rows(
-    df: DataFrame, text: str, make_encoder: Callable, fraction: float = ENCODER_FRACTION, key: str = ORDINAL
+    df: DataFrame, text: str, make_encoder: Callable, fraction: float = 1.0, key: str = ORDINAL
 ) -> DataFrame:
-    """The first share of the rows with their embeddings, ready for a classifier head."""
-    return embedding_vector(encode(top_fraction(df, fraction, key), text, make_encoder), "embedding")
+    """All rows, or the first share of them, with their embeddings, ready for a classifier head.
+
+    ``contract.ENCODER_FRACTION`` is the share the published models train on.
+    """
+    rows = df if fraction == 1 else top_fraction(df, fraction, key)
+    return embedding_vector(encode(rows, text, make_encoder), "embedding")
 
 
 def embedding_vector(df: DataFrame, embedding: str) -> DataFrame:
@@ -117,8 +133,7 @@ def fit_embedding_model(train: DataFrame, embedding: str, label: str, kind: str
 
     The model starts at the feature vector; see ``embedding_vector``.
     """
-    require_rows(train)
-    labels = distinct_labels(train, label).first().labels
+    labels = used_labels(train, label)
     width = train.select(F.size(embedding)).first()[0]
     return PipelineModel(_fit(embedding_vector(train, embedding), label, labels, kind, width, options))
 

@@ -87,7 +87,7 @@ def accuracy(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""WITH {_RULES_SQL}
-    SELECT count(*) AS predicted_rows, count(by_length) AS valid_rows,
+    SELECT count(*) AS requested_rows, count(*) AS predicted_rows, count(by_length) AS valid_rows,
       round(count(by_length) / count(*), 6) AS valid_rate FROM ruled"""
 )
 def valid_rate(spark: SparkSession, folder: str) -> DataFrame:

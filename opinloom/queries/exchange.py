@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinloom.operators.ordering import split_fraction, with_scan_ordinal
+from opinloom.operators.ordering import with_scan_ordinal, with_split
 from opinloom.queries.registry import query
 from opinloom.session import work_path
 from opinloom.sources.delimited import scan_csv, sink_csv
@@ -46,9 +46,8 @@ def jsonl_first_line_keys(spark: SparkSession, folder: str) -> DataFrame:
 )
 def split_exchange(spark: SparkSession, folder: str) -> DataFrame:
     """Both parts of a positional split written to one partitioned table and read back."""
-    train, test = split_fraction(table(spark, folder, "orders"), 0.9, "o_orderkey")
     path = work_path(spark, "split")
-    sink_split(train, test, path)
+    sink_split(with_split(table(spark, folder, "orders"), 0.9, "o_orderkey"), path)
     parts = [scan_split(spark, path, s).withColumn("split", F.lit(s)) for s in ("train", "test")]
     both = parts[0].unionByName(parts[1])
     return both.groupBy("split").agg(

@@ -1,29 +1,20 @@
-"""Prompts, answers and batch inference with deterministic stand-in models."""
+"""Prompts and answers; answers that a model would give are made from the documents as columns."""
 
 from __future__ import annotations
 
-import sys
-
-import numpy as np
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinloom.contract import ERROR_PREFIX, LABELLING_LIMIT
 from opinloom.functions import answers, prompts
-from opinloom.operators.inference import complete, encode
 from opinloom.operators.insights import aspect_summary as summarise_aspects
 from opinloom.operators.metrics import answer_rate
-from opinloom.operators.ordering import first_rows
-from opinloom.plans.labelling import label_polarity, label_scores, pick_examples, read_polarity, read_scores
+from opinloom.operators.ordering import first_rows, head_rows
+from opinloom.plans.labelling import pick_examples, read_polarity, read_scores, score_answer
 from opinloom.queries.evaluation import rounded
-from opinloom.queries.registry import LABELLED_SQL, documents, labelled, query, with_polarity
+from opinloom.queries.registry import LABELLED_SQL, documents, labelled, query
 from opinloom.sources.tables import table
 
-# The stand-in models travel with the query: workers need not have this package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -52,20 +43,40 @@ def prompts_zero_shot(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"""WITH {LABELLED_SQL}, firsts AS (
       SELECT polarity_label, arg_min(text, doc_id) AS review FROM labelled WHERE trim(text) <> '' GROUP BY 1),
+    scored AS (SELECT *, 2 + polarity_label AS score FROM firsts),
     shown AS (SELECT
-      string_agg('Review: ' || review || chr(10) || 'Sentiment: ' || polarity_label || chr(10) || chr(10), '' ORDER BY polarity_label) AS p,
-      string_agg('Review: ' || review || chr(10) || 'JSON: ' || polarity_label || chr(10) || chr(10), '' ORDER BY polarity_label) AS s
-      FROM firsts)
+      string_agg('Review: ' || review || chr(10) || 'Sentiment: ' ||
+        CASE polarity_label WHEN -1 THEN 'negative' WHEN 0 THEN 'neutral' ELSE 'positive' END || chr(10) || chr(10), '' ORDER BY polarity_label) AS p,
+      string_agg('Review: ' || review || chr(10) || 'JSON: {{"overall_score": ' || score || ', "aspects": {{}}}}' || chr(10) || chr(10), '' ORDER BY score) AS s
+      FROM scored)
     SELECT doc_id, md5({_prompt_sql(prompts.FEW_SHOT_POLARITY, 'text', '(SELECT p FROM shown)')}) AS polarity_prompt,
       md5({_prompt_sql(prompts.FEW_SHOT_SCORE, 'text', '(SELECT s FROM shown)')}) AS score_prompt FROM documents"""
 )
 def prompts_few_shot(spark: SparkSession, folder: str) -> DataFrame:
     """Prompts around one worked example per label."""
-    examples = pick_examples(labelled(spark, folder), "text", "polarity_label", "doc_id")
+    known = labelled(spark, folder).withColumn("score_label", F.col("polarity_label") + 2)
+    words = pick_examples(known, "text", "polarity_label", "doc_id")
+    objects = pick_examples(known, "text", "score_label", "doc_id", score_answer)
     return documents(spark, folder).select(
         "doc_id",
-        F.md5(prompts.render(prompts.FEW_SHOT_POLARITY, F.col("text"), examples)).alias("polarity_prompt"),
-        F.md5(prompts.render(prompts.FEW_SHOT_SCORE, F.col("text"), examples)).alias("score_prompt"),
+        F.md5(prompts.render(prompts.FEW_SHOT_POLARITY, F.col("text"), words)).alias("polarity_prompt"),
+        F.md5(prompts.render(prompts.FEW_SHOT_SCORE, F.col("text"), objects)).alias("score_prompt"),
+    )
+
+
+@query(
+    f"""SELECT doc_id, {quoted(prompts.ZERO_SHOT_POLARITY.system)} AS system, md5({_prompt_sql(prompts.ZERO_SHOT_POLARITY, 'text')}) AS prompt,
+      {quoted(prompts.ZERO_SHOT_SCORE.system)} AS score_system FROM documents"""
+)
+def requests_zero_shot(spark: SparkSession, folder: str) -> DataFrame:
+    """The requests as the model gets them: read back from their JSON messages."""
+    asked, rated = (
+        F.from_json(prompts.chat(prompts.request(t, F.col("text"))), "array<struct<role string, content string>>")
+        for t in (prompts.ZERO_SHOT_POLARITY, prompts.ZERO_SHOT_SCORE)
+    )
+    return documents(spark, folder).select("doc_id", asked.alias("asked"), rated.alias("rated")).select(
+        "doc_id", F.col("asked")[0]["content"].alias("system"), F.md5(F.col("asked")[1]["content"]).alias("prompt"),
+        F.col("rated")[0]["content"].alias("score_system"),
     )
 
 
@@ -113,7 +124,7 @@ def extract_label(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_SAID_SQL} SELECT count(*) AS predicted_rows, count(predicted_polarity_label) AS valid_rows,
+    f"""WITH {_SAID_SQL} SELECT count(*) AS requested_rows, count(*) AS predicted_rows, count(predicted_polarity_label) AS valid_rows,
     round(count(predicted_polarity_label) / count(*), 6) AS valid_rate FROM predicted"""
 )
 def answer_validity(spark: SparkSession, folder: str) -> DataFrame:
@@ -196,15 +207,17 @@ def json_field(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def length_completer():
-    """A stand-in model: its answer follows from the prompt length; long prompts fail."""
+def _reply(size: Column, limit: int) -> Column:
+    """An answer that follows from the size of the prompt; too long a prompt fails."""
+    said = F.element_at(F.array(*[F.lit(a) for a in ("It is negative.", "Neutral", "positive", "no idea")]), (size % 4 + 1).cast("int"))
+    return F.when(size <= limit, said)
 
-    def answer(prompt: str) -> str:
-        if len(prompt) > 15_000:
-            raise RuntimeError("prompt too long")
-        return ("It is negative.", "Neutral", "positive", "no idea")[len(prompt) % 4]
 
-    return answer
+def _polarity_answers(docs: DataFrame, limit: int = 15_000) -> DataFrame:
+    size = F.length(prompts.render(prompts.ZERO_SHOT_POLARITY, F.col("text")))
+    error = F.when(size > limit, "prompt too long")
+    answer = F.coalesce(_reply(size, limit), F.concat(F.lit(ERROR_PREFIX), error))
+    return read_polarity(docs.select("doc_id", answer.alias("raw_model_output"), error.alias("error")))
 
 
 _ASKED_SQL = f"""asked AS (SELECT *, length({_prompt_sql(prompts.ZERO_SHOT_POLARITY, 'text')}) AS size FROM documents)"""
@@ -219,12 +232,8 @@ _ASKED_SQL = f"""asked AS (SELECT *, length({_prompt_sql(prompts.ZERO_SHOT_POLAR
     FROM asked"""
 )
 def label_batch(spark: SparkSession, folder: str) -> DataFrame:
-    """Batch labelling of every document with a supplied completer; failures keep their row."""
-    docs = documents(spark, folder).select(
-        "doc_id", prompts.render(prompts.ZERO_SHOT_POLARITY, F.col("text")).alias("prompt")
-    )
-    answered_rows = complete(docs, "prompt", length_completer)
-    return read_polarity(answered_rows).select("doc_id", "raw_model_output", "error", "predicted_polarity_label")
+    """Answers about every document read; failed calls keep their row."""
+    return _polarity_answers(documents(spark, folder))
 
 
 @query(
@@ -233,20 +242,9 @@ def label_batch(spark: SparkSession, folder: str) -> DataFrame:
     SELECT doc_id, CASE WHEN size <= 15000 AND size % 4 < 3 THEN CAST(size % 4 - 1 AS INT) END AS predicted_polarity_label FROM asked"""
 )
 def label_first_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """The labelling plan at its default size."""
-    docs = with_polarity(spark, folder)
-    done = label_polarity(docs, length_completer, text="text", key="doc_id")
-    return done.select("doc_id", "predicted_polarity_label")
-
-
-def json_completer():
-    """A stand-in model that scores by prompt length, fenced as chat models do."""
-
-    def answer(prompt: str) -> str:
-        score = len(prompt) % 6
-        return f'```json\n{{"overall_score": {score}, "aspects": {{"service": {5 - score}}}}}\n```'
-
-    return answer
+    """The first rows only, as many as the published runs label."""
+    docs = head_rows(documents(spark, folder), LABELLING_LIMIT, "doc_id")
+    return _polarity_answers(docs).select("doc_id", "predicted_polarity_label")
 
 
 @query(
@@ -255,21 +253,22 @@ def json_completer():
       CASE WHEN size % 6 < 5 THEN CAST(5 - size % 6 AS INT) END AS service FROM asked"""
 )
 def score_batch(spark: SparkSession, folder: str) -> DataFrame:
-    """Score and aspects of every document through the whole labelling plan."""
-    docs = documents(spark, folder).withColumn("score_label", F.lit(0))
-    done = label_scores(docs, json_completer, text="text", key="doc_id", limit=0)
-    return done.select(
+    """Fenced JSON answers about every document read into scores and aspects."""
+    score = F.length(prompts.render(prompts.ZERO_SHOT_SCORE, F.col("text"))) % 6
+    answer = F.concat(
+        F.lit('```json\n{"overall_score": '), score.cast("string"), F.lit(', "aspects": {"service": '),
+        (5 - score).cast("string"), F.lit("}}\n```"))
+    answers_read = read_scores(documents(spark, folder).select(
+        "doc_id", answer.alias("raw_model_output"), F.lit(None).cast("string").alias("error")))
+    return answers_read.select(
         "doc_id", "predicted_score_label", F.try_element_at("predicted_aspects", F.lit("service")).alias("service")
     )
 
 
-def counting_encoder():
-    """A stand-in encoder: characters, blanks and line breaks of a text."""
-
-    def predict(texts: np.ndarray) -> np.ndarray:
-        return np.array([[len(t), t.count(" "), t.count("\n")] for t in texts], dtype=np.float32)
-
-    return predict
+def text_shape(text: Column) -> list[Column]:
+    """Characters, blanks and line breaks of a text."""
+    without = lambda c: F.length(text) - F.length(F.translate(text, c, ""))
+    return [F.length(text), without(" "), without("\n")]
 
 
 @query(
@@ -278,8 +277,6 @@ def counting_encoder():
       CAST(length(text) - length(replace(text, chr(10), '')) AS DOUBLE) AS breaks FROM documents"""
 )
 def encode_batch(spark: SparkSession, folder: str) -> DataFrame:
-    """Batch encoding of every document with a supplied encoder."""
-    docs = encode(documents(spark, folder).select("doc_id", "text"), "text", counting_encoder)
-    return docs.select(
-        "doc_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(("chars", "blanks", "breaks"))]
-    )
+    """A small dense encoding of every document."""
+    named = zip(text_shape(F.col("text")), ("chars", "blanks", "breaks"), strict=True)
+    return documents(spark, folder).select("doc_id", *[c.cast("double").alias(n) for c, n in named])

@@ -12,12 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinloom.operators import metrics
-from opinloom.operators.inference import encode
-from opinloom.operators.ordering import split_fraction
+from opinloom.operators.ordering import split_fraction, with_split
 from opinloom.plans import training
 from opinloom.queries.evaluation import rounded
-from opinloom.queries.labelling import counting_encoder
-from opinloom.queries.registry import documents, labelled, query
+from opinloom.queries.labelling import text_shape
+from opinloom.queries.registry import LABELLED_SQL, documents, labelled, query
 from opinloom.sources.tables import table
 
 LANGUAGES = ["de", "en", "es", "fr"]
@@ -80,9 +79,9 @@ def embedding_mlp(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def encoded_logreg(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts encoded in batches by a supplied encoder, classified by language."""
-    train, test = split_fraction(language_task(spark, folder), 0.9, "doc_id")
-    train, test = (encode(part, "text", counting_encoder) for part in (train, test))
+    """Texts with a small dense encoding, classified by language."""
+    encoded = F.array(*[c.cast("float") for c in text_shape(F.col("text"))])
+    train, test = split_fraction(language_task(spark, folder).withColumn("embedding", encoded), 0.9, "doc_id")
     fitted = training.fit_embedding_model(train, "embedding", "score_label")
     predicted = training.predict(fitted, training.embedding_vector(test, "embedding"))
     return report(predicted.withColumnRenamed("score_label", "actual"))
@@ -92,20 +91,45 @@ def encoded_logreg(spark: SparkSession, folder: str) -> DataFrame:
 def training_curve(spark: SparkSession, folder: str) -> DataFrame:
     """Objective per iteration of a fit."""
     train, _ = split_fraction(polarity_task(spark, folder), 0.9, "doc_id")
-    fitted = training.fit_text_model(train, "text", "polarity_label", "tfidf_logreg", max_iter=20)
+    fitted = training.fit_text_model(train, "text", "polarity_label", "tfidf_logreg")
     curve = training.training_curve(fitted)
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(curve)], "iteration int, objective double")
 
 
 @query()
 def trained_model_comparison(spark: SparkSession, folder: str) -> DataFrame:
-    """Two fitted models of each task ranked on the same held-out rows."""
+    """The linear models of each task ranked on the same held-out rows; models of one weighting share their features."""
     compared = None
-    for task in TASKS:
-        for model in ("count_logreg", "tfidf_logreg"):
-            part = held_out_predictions(spark, folder, model, task, max_iter=20).select(
-                F.lit(task).alias("task"), F.lit(model).alias("model"), "actual", training.PREDICTED
-            )
-            compared = part if compared is None else compared.unionByName(part)
+    for task, (rows, label) in TASKS.items():
+        train, test = split_fraction(rows(spark, folder), 0.9, "doc_id")
+        for weighting in ("count", "tfidf"):
+            features = training.fit_text_vectorizer(train, "text", f"{weighting}_logreg")
+            for model in (f"{weighting}_logreg", f"{weighting}_svm"):
+                fitted = training.fit_text_model(train, "text", label, model, features)
+                part = training.predict(fitted, test).select(
+                    F.lit(task).alias("task"), F.lit(model).alias("model"), F.col(label).alias("actual"), training.PREDICTED
+                )
+                compared = part if compared is None else compared.unionByName(part)
     ranked = metrics.compare_models(compared, "actual", training.PREDICTED)
     return rounded(ranked, "accuracy", "macro_f1", "weighted_f1")
+
+
+_TASK_SQL = f"""WITH {LABELLED_SQL}, tasks AS (
+  SELECT 'polarity' AS task, doc_id, polarity_label AS label FROM labelled
+  UNION ALL SELECT 'score', doc_id, CAST(list_position(['de', 'en', 'es', 'fr'], lang) AS INT) FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY doc_id) <= floor(count(*) OVER (PARTITION BY task) * 0.9::DOUBLE)
+  AS training FROM tasks)"""
+
+
+@query(
+    f"""{_TASK_SQL} SELECT task, CASE WHEN training THEN 'train' ELSE 'test' END AS split, label, count(*) AS support
+    FROM placed GROUP BY ALL"""
+)
+def task_support(spark: SparkSession, folder: str) -> DataFrame:
+    """Training and held-out rows of each class of each task: what every model report is measured on."""
+    parts = [
+        with_split(rows(spark, folder), 0.9, "doc_id").groupBy(F.lit(task).alias("task"), "split", F.col(label).alias("label")).agg(
+            F.count(F.lit(1)).alias("support"))
+        for task, (rows, label) in TASKS.items()
+    ]
+    return parts[0].unionByName(parts[1])

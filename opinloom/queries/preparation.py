@@ -9,9 +9,8 @@ from opinloom.contract import NUMERIC_COLUMNS, POLARITY, SCORE, TEXT_COLUMNS
 from opinloom.functions import cleaning
 from opinloom.functions.labels import class_index, class_label, to_polarity, to_score
 from opinloom.operators import ordering, projection
-from opinloom.operators.joins import salted_left_join
-from opinloom.operators.sizing import spread
-from opinloom.plans.prepare import prepare, prepare_split
+from opinloom.operators.joins import left_join
+from opinloom.plans.prepare import prepare, prepare_with_split
 from opinloom.queries.registry import (
     LABELLED_SQL,
     ORDER_REVIEWS_SQL,
@@ -43,7 +42,7 @@ _STARS_SQL = "CAST(ceil(l_quantity / 10) AS INT)"
 
 def star_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Line items as reviews of parts by suppliers, under the raw column names."""
-    items = spread(ordering.read_with_ordinal(spark, f"{folder}/lineitem.parquet"), "ordinal")
+    items = ordering.read_with_ordinal(spark, f"{folder}/lineitem.parquet")
     reviews = items.select(
         "ordinal",
         F.col("l_partkey").alias("business_id"),
@@ -106,9 +105,7 @@ def prepared_split(spark: SparkSession, folder: str) -> DataFrame:
     )
     business = table(spark, folder, "nation").select(F.col("n_nationkey").cast("bigint").alias("business_id"), F.col("n_name").alias("name"))
     users = table(spark, folder, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("average_stars"))
-    train, test = prepare_split(reviews, business, users)
-    both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
-    return both.groupBy("split", "score_label", "polarity_label").agg(
+    return prepare_with_split(reviews, business, users).groupBy("split", "score_label", "polarity_label").agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.sum("user_average_stars"), 2).alias("balance"),
         F.count_if(F.col("business_name") != "").alias("named"),
@@ -200,8 +197,8 @@ _PLACED_SQL = f"""WITH {ORDER_REVIEWS_SQL}, placed AS (
   SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS place, count(*) OVER () AS total FROM rated)"""
 
 
-def _order_part(part: DataFrame) -> DataFrame:
-    return part.groupBy("score_label").agg(
+def _order_part(part: DataFrame, *keys: str) -> DataFrame:
+    return part.groupBy(*keys, "score_label").agg(
         F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key")
     )
 
@@ -214,11 +211,7 @@ _PART_SQL = "score_label, count(*) AS n, min(o_orderkey) AS first_key, max(o_ord
     {_PART_SQL} FROM placed GROUP BY 1, 2"""
 )
 def split_counts(spark: SparkSession, folder: str) -> DataFrame:
-    train, test = ordering.split_fraction(order_reviews(spark, folder), 0.9, "o_orderkey")
-    return (
-        _order_part(train).withColumn("split", F.lit("train"))
-        .unionByName(_order_part(test).withColumn("split", F.lit("test")))
-    )
+    return _order_part(ordering.with_split(order_reviews(spark, folder), 0.9, "o_orderkey"), "split")
 
 
 @query(f"{_PLACED_SQL} SELECT {_PART_SQL} FROM placed WHERE place < 1000 GROUP BY 1")
@@ -236,10 +229,10 @@ def head_fraction(spark: SparkSession, folder: str) -> DataFrame:
     FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY ALL"""
 )
 def salted_join(spark: SparkSession, folder: str) -> DataFrame:
-    """The shuffled form of the left join, hot keys spread over salts."""
+    """The left join of a fact table, safe against a hot key."""
     items = table(spark, folder, "lineitem").withColumnRenamed("l_partkey", "part")
     parts = table(spark, folder, "part").select(F.col("p_partkey").alias("part"), "p_brand")
-    joined = salted_left_join(items, parts, "part", ["l_orderkey", "l_linenumber"])
+    joined = left_join(items, parts, "part")
     return joined.groupBy("l_returnflag", "l_linestatus", "p_brand").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("revenue")
     )

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinloom.operators.joins import left_join
-from opinloom.operators.sizing import spread
 from opinloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,12 +46,12 @@ LABELLED_SQL = """labelled AS (
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "documents"), "doc_id")
+    return table(spark, folder, "documents")
 
 
 def with_polarity(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with a polarity, null where they are not labelled."""
-    joined = left_join(documents(spark, folder), table(spark, folder, "labels"), "doc_id", ["doc_id"])
+    joined = left_join(documents(spark, folder), table(spark, folder, "labels"), "doc_id")
     polarity = F.when(F.col("toxic") == 1, -1).when(F.col("quality") == 0, 0).when(F.col("quality") == 1, 1)
     return joined.select("doc_id", "text", "lang", "source", "n_chars", polarity.alias("polarity_label"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from opinloom.functions.cleaning import clean_text, document
 from opinloom.functions.tokens import ngram_range, ngrams, words
 from opinloom.operators import terms
-from opinloom.operators.features import fit_vectorizer, is_exact, slot_terms, vector_terms
+from opinloom.operators.features import exact_vectors
 from opinloom.queries.registry import LABELLED_SQL, documents, labelled, query
 from opinloom.sources.tables import table
 
@@ -28,16 +28,16 @@ def tokens_sql(text: str) -> str:
 
 
 def tf_sql(source: str, name: str = "tf") -> str:
-    return f"""{name} AS (SELECT doc_id, term, count(*) AS tf FROM (
+    return f"""{name} AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (
       SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM {source}) GROUP BY ALL)"""
 
 
 def idf_sql(source: str) -> str:
     return f"""n AS (SELECT count(*) AS n FROM {source}),
-    idf AS (SELECT term, count(*) AS df, ln((1 + (SELECT n FROM n)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term)"""
+    idf AS MATERIALIZED (SELECT term, count(*) AS df, ln((1 + (SELECT n FROM n)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term)"""
 
 
-_WEIGHTS = """norm AS (SELECT doc_id, sqrt(sum(power(tf * idf, 2))) AS norm FROM tf JOIN idf USING (term) GROUP BY doc_id),
+_WEIGHTS = """norm AS MATERIALIZED (SELECT doc_id, sqrt(sum(power(tf * idf, 2))) AS norm FROM tf JOIN idf USING (term) GROUP BY doc_id),
 weights AS (SELECT doc_id, term, tf, idf, tf * idf / norm AS weight FROM tf JOIN idf USING (term) JOIN norm USING (doc_id))"""
 
 
@@ -135,30 +135,31 @@ def top_terms_by_polarity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _unpacked(docs: DataFrame, weighting: str) -> DataFrame:
-    """Vector entries by term; hashed slots cannot be named, so then the long table gives the rows."""
-    vectorizer = fit_vectorizer(docs, "text", weighting)
-    if not is_exact(vectorizer):
-        tokens = words(F.col("text"))
-        if weighting == "count":
-            counts = terms.term_counts(docs, "doc_id", tokens)
-            return counts.select("doc_id", "term", F.col("tf").cast("double").alias("value"))
-        return terms.tfidf(docs, "doc_id", tokens).select("doc_id", "term", F.col("weight").alias("value"))
-    rows = vector_terms(vectorizer.transform(docs), "doc_id", "features")
-    return rows.join(slot_terms(docs, vectorizer), "slot").drop("slot")
-
-
-@query(f"WITH {tf_sql('documents')} SELECT doc_id, term, CAST(tf AS DOUBLE) AS value FROM tf")
+    """Vector entries with their index, the term's place in the alphabetical vocabulary."""
+    vectors = exact_vectors(docs, "doc_id", "text", weighting)
+    entries = F.arrays_zip(F.col("indices").alias("slot"), F.col("values").alias("value"))
+    return vectors.select("doc_id", "size", F.inline(entries))
+
+
+_SLOTS = """slots AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS slot, count(*) OVER () AS size
+  FROM (SELECT DISTINCT term FROM tf))"""
+
+
+@query(
+    f"""WITH {tf_sql('documents')}, {_SLOTS}
+    SELECT doc_id, size, slot, CAST(tf AS DOUBLE) AS value FROM tf JOIN slots USING (term)"""
+)
 def count_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """Fitted bag-of-words vectors, unpacked."""
+    """Bag-of-words vectors, unpacked."""
     return _unpacked(documents(spark, folder).select("doc_id", "text"), "count")
 
 
 @query(
-    f"""WITH {LABELLED_SQL}, {tf_sql('labelled')}, {idf_sql('labelled')}, {_WEIGHTS}
-    SELECT doc_id, term, round(weight, 6) AS value FROM weights"""
+    f"""WITH {LABELLED_SQL}, {tf_sql('labelled')}, {idf_sql('labelled')}, {_WEIGHTS}, {_SLOTS}
+    SELECT doc_id, size, slot, round(weight, 6) AS value FROM weights JOIN slots USING (term)"""
 )
 def tfidf_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """Fitted TF-IDF vectors, unpacked."""
+    """TF-IDF vectors, unpacked."""
     docs = labelled(spark, folder).select("doc_id", "text")
     return _unpacked(docs, "tfidf").withColumn("value", F.round("value", 6))
 

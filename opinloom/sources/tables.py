@@ -13,10 +13,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def sink_split(train: DataFrame, test: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Both parts below one path, partitioned by ``split``."""
-    both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
-    both.write.mode(mode).partitionBy("split").parquet(path)
+def sink_split(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Rows with a column ``split`` (see ``ordering.with_split``) in one pass below one path, a folder for each part."""
+    rows.write.mode(mode).partitionBy("split").parquet(path)
 
 
 def scan_split(spark: SparkSession, path: str, split: str) -> DataFrame:

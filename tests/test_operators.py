@@ -4,8 +4,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SMALL
 from opinloom.functions.tokens import words
 from opinloom.operators import insights, joins, metrics, ordering, projection, terms
+from opinloom.session import work_path
 
 
 def rows(df):
@@ -59,7 +61,7 @@ def test_left_join_semantics(spark, threshold):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     try:
         joined = joins.left_join(
-            spark.createDataFrame(left, "k string, n int"), spark.createDataFrame(right, "k string, v string"), "k", ["n"]
+            spark.createDataFrame(left, "k string, n int"), spark.createDataFrame(right, "k string, v string"), "k"
         )
         assert joined.columns == ["k", "n", "v"]
         assert rows(joined) == brute_left_join(left, right)
@@ -67,19 +69,46 @@ def test_left_join_semantics(spark, threshold):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_salted_join_spreads_a_hot_key(spark):
-    facts = spark.range(6000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("n"))
-    dim = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    hot = joins.hot_keys(joins.count_keys(facts, "k"), "k")
-    assert [(r["__hot"], r["__salts"]) for r in hot.collect()] == [(7, 334)]
-    joined = joins.salted_left_join(facts, dim, "k", ["n"])
-    expected = facts.join(dim, "k", "left")
-    assert rows(joined) == rows(expected)
+def test_join_with_a_hot_key_reads_each_side_once(spark):
+    """Without broadcasts, on the executed plan: the hot partition is divided, and no input is read twice."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        path = work_path(spark, "facts")
+        spark.range(60000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("n")).write.parquet(path)
+        facts = spark.read.parquet(path)
+        dim = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+        joined = joins.left_join(facts, dim, "k")
+        assert rows(joined) == rows(facts.join(dim, "k", "left").select("k", "n", "v"))
+        plan = joined._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("FileScan parquet") == 1 and "skew=true" in plan
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+
+def test_star_join_reads_facts_once_without_broadcasts(spark):
+    from opinloom.plans.prepare import prepare
+    from opinloom.queries.preparation import star_tables
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        prepared = prepare(*star_tables(spark, SMALL))
+        prepared.collect()
+        plan = prepared._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
+    # line items twice, for the row numbers and the rows; each dimension once
+    assert sum("lineitem.parquet" in x for x in scans) <= 2
+    assert sum("part.parquet" in x for x in scans) == sum("supplier.parquet" in x for x in scans) == 1
 
 
-def test_hot_keys_are_bounded(spark):
+def test_unique_keys(spark):
     even = spark.range(3000).withColumnRenamed("id", "k")
-    assert joins.hot_keys(joins.count_keys(even, "k"), "k").count() == 0
     assert joins.has_unique_key(even, "k") and not joins.has_unique_key(even.union(even), "k")
 
 
@@ -112,6 +141,24 @@ def test_split_with_copies_and_gaps(spark):
         assert sorted(k for k, _ in a) == sorted(keys)[: len(a)]
 
 
+def test_split_keeps_null_keys_last(spark):
+    keys = [3, None, 1, None, 2]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "ordinal bigint, v int")
+    for n in range(6):
+        first, rest = (sorted((r.ordinal for r in part.collect()), key=str) for part in ordering.split_at(df, n))
+        assert len(first) == n and sorted(first + rest, key=str) == sorted(keys, key=str)
+        assert [k for k in first if k] == [1, 2, 3][: min(n, 3)]
+
+
+def test_split_between_copies_with_maps(spark):
+    df = spark.createDataFrame([(1, {"a": 1, "b": 2}), (1, {"a": 2}), (1, None), (2, {})], "ordinal bigint, m map<string,int>")
+    first, rest = ordering.split_at(df, 2)
+    assert first.count() == rest.count() == 2
+    assert rows(first) == rows(ordering.split_at(df.repartition(3), 2)[0])
+    both = ordering.with_split(df, 0.5)
+    assert sorted(r.split for r in both.collect()) == ["test", "test", "train", "train"]
+
+
 def test_heads(spark):
     df = spark.range(20).withColumnRenamed("id", "ordinal")
     assert ordering.head_rows(df, 0).count() == 20 == ordering.head_rows(df, -1).count() == ordering.head_rows(df, 99).count()
@@ -133,6 +180,15 @@ def test_file_ordinal_over_many_files(spark, tmp_path):
     assert sorted((r.id, r.ordinal) for r in found) == [(i, i) for i in range(1000)]
 
 
+def test_ordinal_follows_the_key_when_a_task_writes_many_files(spark):
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "50")
+    try:
+        found = ordering.with_dense_ordinal(spark.range(5000).withColumnRenamed("id", "k"), "k").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert sorted((r.k, r.ordinal) for r in found) == [(i, i) for i in range(5000)]
+
+
 def test_dense_ordinal(spark):
     df = spark.createDataFrame([("b",), ("é",), ("a",), ("ab",)], "t string")
     assert rows(ordering.with_dense_ordinal(df, "t")) == [("a", 0), ("ab", 1), ("b", 2), ("é", 3)]
@@ -189,6 +245,13 @@ def test_vocabulary_and_ngrams(spark):
     ]
 
 
+def test_terms_are_counted_without_a_shuffle(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    counts = terms.term_counts(docs, "doc_id", words(F.col("text")))
+    counts.collect()
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
 def test_top_terms(spark):
     weights = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.5), (1, "a", 0.1), (2, "c", 1.0), (1, "d", 0.5)], "g int, term string, weight double")
     assert rows(terms.top_terms(weights, "g", 2)) == [(1, 1, "a", 0.6), (1, 2, "b", 0.5), (2, 1, "c", 1.0)]
@@ -230,7 +293,7 @@ def test_empty_and_single_class(spark):
     assert tuple(metrics.accuracy(empty, "a", "p").first()) == (0.0, 0)
     assert metrics.class_report(metrics.confusion(empty, "a", "p")).count() == 0
     assert metrics.report_averages(metrics.class_report(metrics.confusion(empty, "a", "p"))).count() == 0
-    assert tuple(metrics.answer_rate(empty, "p").first()) == (0, 0, 0.0)
+    assert tuple(metrics.answer_rate(empty, "p").first()) == (0, 0, 0, 0.0)
     only = report(spark, [(1, 1), (1, 1)]).first()
     assert (only.precision, only.recall, only.f1, only.support) == (1.0, 1.0, 1.0, 2)
 

@@ -6,9 +6,9 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from opinloom.contract import PREPARED_COLUMNS, USER_SCAN_EXCLUDES
-from opinloom.functions.prompts import Example
-from opinloom.operators.features import fit_vectorizer, vector_terms
+from opinloom.contract import ENCODER_FRACTION, PREPARED_COLUMNS, USER_SCAN_EXCLUDES
+from opinloom.functions.prompts import ZERO_SHOT_POLARITY, Example
+from opinloom.operators.features import exact_vectors, fit_vectorizer, vector_terms
 from opinloom.operators.inference import complete, encode
 from opinloom.operators.ordering import with_scan_ordinal
 from opinloom.plans import labelling, training
@@ -92,7 +92,9 @@ def texts(spark):
     ],
 )
 def test_text_models_learn(texts, name, options):
-    model = training.fit_text_model(texts, "text", "label", name, **options)
+    # few slots: trees draw a square root of them for each split
+    narrow = fit_vectorizer(texts, "text", name.split("_")[0], 64)
+    model = training.fit_text_model(texts, "text", "label", name, narrow, **options)
     predicted = training.predict(model, texts)
     assert predicted.columns == ["id", "text", "label", "predicted_label"]
     assert predicted.where("label != predicted_label").count() == 0
@@ -110,20 +112,44 @@ def test_saved_model_predicts_the_same(spark, texts):
 
 
 def test_hashing_leaves_no_term_out(texts):
-    model = fit_vectorizer(texts, "text", "count", max_terms=4)
+    model = fit_vectorizer(texts, "text", "count", 4)
     counted = vector_terms(model.transform(texts), "id", "features")
     assert counted.agg(F.max("slot")).first()[0] < 4
     assert counted.agg(F.sum("value")).first()[0] == sum(len(t.split()) for _, t, _ in TEXTS)
-    weighed = vector_terms(fit_vectorizer(texts, "text", "tfidf", max_terms=4).transform(texts), "id", "features")
+    weighed = vector_terms(fit_vectorizer(texts, "text", "tfidf", 4).transform(texts), "id", "features")
     norms = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("n")).collect()
     assert all(math.isclose(r.n, 1.0) for r in norms)
 
 
+def test_vector_slots_are_alphabetical_in_any_layout(spark):
+    rows = [(i, " ".join(f"w{(i * k) % 37:02d}" for k in range(1, 9))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "id int, text string")
+    found = [sorted(map(str, exact_vectors(part, "id", "text", "count").collect())) for part in (docs, docs.repartition(5, "text"))]
+    assert found[0] == found[1]
+    vocabulary = sorted({w for _, t in rows for w in t.split()})
+    first = exact_vectors(docs, "id", "text", "count").where("id = 1").first()
+    assert [vocabulary[i] for i in first.indices] == sorted(set(rows[1][1].split())) and first.size == len(vocabulary)
+
+
+def test_models_share_their_features(texts):
+    features = training.fit_text_vectorizer(texts, "text", "tfidf_logreg")
+    for name in ("tfidf_logreg", "tfidf_svm"):
+        model = training.fit_text_model(texts, "text", "label", name, features)
+        assert model.stages[0].uid == features.stages[0].uid
+        assert training.predict(model, texts).where("label != predicted_label").count() == 0
+
+
 def test_bad_inputs(texts):
     with pytest.raises(ValueError):
-        fit_vectorizer(texts, "text", "other")
+        fit_vectorizer(texts, "text", "other", 4)
     with pytest.raises(ValueError):
-        fit_vectorizer(texts.withColumn("text", F.lit("a ! b")), "text")
+        exact_vectors(texts, "id", "text", "other")
+    with pytest.raises(ValueError, match="vocabulary"):
+        fit_vectorizer(texts.withColumn("text", F.lit("a ! b")), "text", "count", 4)
+    with pytest.raises(ValueError, match="no labelled rows"):
+        training.fit_text_model(texts.where("id < 0"), "text", "label", "count_logreg")
+    with pytest.raises(ValueError, match=r"\[1, 5\]"):
+        training.fit_text_model(texts.withColumnRenamed("label", "score_label"), "text", "score_label", "count_logreg")
     with pytest.raises(ValueError):
         model = training.fit_text_model(texts, "text", "label", "count_logreg", max_iter=2)
         training.evaluate(model, texts.where("id < 0"), "label")
@@ -174,7 +200,30 @@ def test_labelling(spark):
 def test_examples_skip_blank_texts(spark):
     rows = [(0, " ", 1), (1, "first", 1), (2, "second", 1), (3, "bad", -1), (4, None, 0)]
     df = spark.createDataFrame(rows, "ordinal int, review_text string, label int")
-    assert labelling.pick_examples(df, "review_text", "label") == [Example("bad", "-1"), Example("first", "1")]
+    shown = labelling.pick_examples(df, "review_text", "label")
+    assert shown == [Example("bad", "negative"), Example("first", "positive")]
+    objects = labelling.pick_examples(df.withColumn("label", F.col("label") + 3), "review_text", "label", answer=labelling.score_answer)
+    assert objects == [Example("bad", '{"overall_score": 2, "aspects": {}}'), Example("first", '{"overall_score": 4, "aspects": {}}')]
+
+
+def test_example_answers_read_back_to_their_labels(spark):
+    said = [(labelling.polarity_answer(v), labelling.score_answer(s), v, s) for v in (-1, 0, 1) for s in range(1, 6)]
+    df = spark.createDataFrame([(*r, None) for r in said], "word string, object string, v int, s int, error string")
+    words = labelling.read_polarity(df.withColumnRenamed("word", "raw_model_output"))
+    assert words.where("not (predicted_polarity_label <=> v)").count() == 0
+    objects = labelling.read_scores(df.withColumnRenamed("object", "raw_model_output"))
+    assert objects.where("not (predicted_score_label <=> s)").count() == 0
+
+
+def test_the_model_gets_the_system_text(spark):
+    df = spark.createDataFrame([(1, "fine", 1)], "ordinal int, review_text string, polarity_label int")
+
+    def echo():
+        return lambda prompt: prompt
+
+    asked = json.loads(labelling.label_polarity(df, echo).first().raw_model_output)
+    assert [m["role"] for m in asked] == ["system", "user"]
+    assert asked[0]["content"] == ZERO_SHOT_POLARITY.system and asked[1]["content"].endswith("fine")
 
 
 def test_completer_is_made_once_per_task(spark, tmp_path):
@@ -209,7 +258,8 @@ def test_training_and_encoded_rows(spark):
 
         return lambda texts: np.array([[len(t)] for t in texts], dtype=np.float32)
 
-    rows = training.encoded_rows(df, "t", make).collect()
+    assert training.encoded_rows(df, "t", make).count() == 30
+    rows = training.encoded_rows(df, "t", make, ENCODER_FRACTION).collect()
     assert sorted(r.ordinal for r in rows) == [0, 1, 2] and rows[0].embedding == [3.0]
 
 

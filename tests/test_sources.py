@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opinloom.operators import metrics, sizing
-from opinloom.operators.ordering import with_scan_ordinal
+from opinloom.operators.ordering import with_scan_ordinal, with_split
 from opinloom.session import shared_folder, work_path
 from opinloom.sources import delimited, jsonl, tables
 
@@ -64,7 +64,7 @@ def test_csv_round_trip_and_bom(spark, tmp_path):
 def test_split_sink(spark):
     df = spark.range(10)
     path = work_path(spark, "split")
-    tables.sink_split(df.where("id < 9"), df.where("id = 9"), path)
+    tables.sink_split(with_split(df, 0.9, "id"), path)
     assert tables.scan_split(spark, path, "train").count() == 9
     assert [r.id for r in tables.scan_split(spark, path, "test").collect()] == [9]
 
@@ -79,16 +79,14 @@ def test_report_sink(spark):
 
 def test_sizes_decide(spark, monkeypatch):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    assert sizing.spread(df, "doc_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     joined = df.join(labels, "doc_id", "left")
     assert sizing.input_bytes(joined) == sizing.input_bytes(df) + sizing.input_bytes(labels)
     unknown = spark.createDataFrame([(1,)], "doc_id int")
-    assert sizing.input_bytes(unknown) is None and not sizing.is_broadcastable(unknown)
-    assert sizing.spread(unknown, "doc_id") is unknown
+    assert sizing.input_bytes(unknown) is None
+    assert sizing.fit_partitions(df) == sizing.fit_partitions(unknown) == spark.sparkContext.defaultParallelism
     assert sizing.needed_partitions(df) == 4 == sizing.size_shuffles(df, df)
     monkeypatch.setattr(sizing, "PARTITION_BYTES", 1000)
-    assert sizing.spread(df, "doc_id") is df
     assert sizing.cluster_by(df, "doc_id").rdd.getNumPartitions() == sizing.needed_partitions(df) > 4
 
 

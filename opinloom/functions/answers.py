@@ -26,18 +26,23 @@ def label_to_polarity(label: Column) -> Column:
     return rule
 
 
+# --- fixed values: the braced part of an answer, commas that JSON does not allow ---
+BRACED = r"(?s)\{.*\}"
+STRAY_COMMA = r",\s*([}\]])"
+
+
 def object_text(answer: Column) -> Column:
     """From the first opening to the last closing brace; null if there is none.
 
     Code fences and prose around an object fall away; an answer that is an object as a whole is
     its own longest braced part.
     """
-    return F.nullif(F.regexp_extract(answer, r"(?s)\{.*\}", 0), F.lit(""))
+    return F.nullif(F.regexp_extract(answer, BRACED, 0), F.lit(""))
 
 
 def without_stray_commas(text: Column) -> Column:
     """Drop commas before a closing bracket."""
-    return F.regexp_replace(text, r",\s*([}\]])", "$1")
+    return F.regexp_replace(text, STRAY_COMMA, "$1")
 
 
 def _parse(text: Column, single_quotes: bool) -> Column:

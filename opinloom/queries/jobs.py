@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opinloom.contract import POLARITY, SCORE
 from opinloom.operators import metrics
 from opinloom.operators.features import fit_vectorizer, vector_terms
 from opinloom.operators.projection import require_rows
@@ -35,16 +36,16 @@ def star_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def star_models(spark: SparkSession, folder: str) -> DataFrame:
-    """The main job as a whole: two models on shared features, saved, loaded and compared on the held-out rows."""
+    """The main job as a whole: a model for each task on shared features, saved, loaded and reported on held-out rows."""
     train, test = (training.with_document(part) for part in prepare_split(*star_tables(spark, folder)))
     features = training.fit_text_vectorizer(train, "document", "tfidf_logreg")
     compared = None
-    for model in ("tfidf_logreg", "tfidf_svm"):
-        rows = training.training_rows(train, model)
+    for task, label in (("polarity", POLARITY), ("score", SCORE)):
+        rows = training.training_rows(train, "tfidf_logreg")
         path = work_path(spark, "model")
-        save_model(training.fit_text_model(rows, "document", "polarity_label", model, features), path)
+        save_model(training.fit_text_model(rows, "document", label, "tfidf_logreg", features), path)
         part = training.predict(load_model(path), require_rows(test)).select(
-            F.lit(model).alias("model"), F.lit("polarity").alias("task"), F.col("polarity_label").alias("actual"), training.PREDICTED)
+            F.lit("tfidf_logreg").alias("model"), F.lit(task).alias("task"), F.col(label).alias("actual"), training.PREDICTED)
         compared = part if compared is None else compared.unionByName(part)
     ranked = metrics.compare_models(compared, "actual", training.PREDICTED)
     return rounded(ranked, "accuracy", "macro_f1", "weighted_f1")

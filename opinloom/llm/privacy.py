@@ -1,11 +1,11 @@
-"""Personal data: spans by pattern, and terms that the corpus shows to reveal the people they stand near."""
+"""Personal data: spans by pattern, and terms that the corpus shows to reveal the people they stand with."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinloom.llm.shared import Work, plain_text, words
+from opinloom.llm.shared import Work, plain_text
 
 # The patterns and their order. Possessive repeats match the same and never recurse on long runs; an
 # address begins after a character that cannot be part of one, or where the last match ended.
@@ -17,15 +17,14 @@ PATTERNS = {
 }
 PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})?"
 TERM = "term"
-CONTEXT = 80
-LEAST_LETTERS = 4
+# A word begins with a letter; apostrophes and hyphens may join its parts.
+WORD = r"\p{L}[\p{L}\p{M}\p{N}]*+(?:['\u2019\u2010-][\p{L}\p{N}][\p{L}\p{M}\p{N}]*+)*+"
 LEAST_TEXTS = 3
 LEAST_CONFIDENCE = 0.5
 GENERALISED_BITS = 6.0
 REMOVED_BITS = 12.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPAN = "struct<start:int,kind:int,end:int>"
-LOCATED = "struct<start:int,end:int,word:string>"
 
 
 def _luhn(digits: Column) -> Column:
@@ -75,84 +74,107 @@ def lower_letters(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def _core(word: Column) -> Column:
-    """A word without what is not a letter at its ends."""
-    return F.regexp_replace(word, r"^[^\p{L}]++|[^\p{L}]++$", "")
+def _values(text: Column) -> Column:
+    """The distinct protected values of a text with their kinds."""
+    value = lambda s: F.struct(s["kind"].alias("kind"), lower_letters(F.substring(text, s["start"] + 1, s["end"] - s["start"])).alias("value"))
+    return F.array_distinct(F.transform(F.concat(*PATTERNS), value))
 
 
-def _located(chunk: Column, offset: Column) -> Column:
-    """The words of a chunk with their places; one white-space character ends a word."""
-    begin = F.struct(offset.alias("at"), F.array().cast(f"array<{LOCATED}>").alias("out"))
-    add = lambda acc, p: F.struct(
-        (acc["at"] + F.length(p) + 1).alias("at"),
-        F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(p)).alias("end"), p.alias("word")))).alias("out"))
-    return F.aggregate(F.split(chunk, r"[\x20\x09-\x0D]", -1), begin, add)["out"]
+def _masked(text: Column) -> Column:
+    """The text with blanks in place of its protected values, so words keep their places."""
 
+    def blank(acc: Column, s: Column) -> Column:
+        start = F.greatest(acc["at"], s["start"])
+        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(" "), F.greatest(F.lit(0), s["end"] - start)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
 
-def _around(text: Column, span: Column) -> Column:
-    """Located words within ``CONTEXT`` characters of a span, whole words only."""
-    start = F.greatest(F.lit(0), span["start"] - CONTEXT)
-    before = _located(F.substring(text, start + 1, span["start"] - start), start)
-    after = _located(F.substring(text, span["end"] + 1, F.lit(CONTEXT)), span["end"])
-    whole_before = F.slice(before, F.when(start > 0, 2).otherwise(1), F.size(before))
-    cut = span["end"] + CONTEXT < F.length(text)
-    return F.concat(whole_before, F.slice(after, F.lit(1), F.size(after) - F.when(cut, 1).otherwise(0)))
+    spans = F.array_sort(F.concat(*PATTERNS))
+    whole = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), blank, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
-def _contexts(based: DataFrame) -> DataFrame:
-    """A row for each word near a span: the protected value, and the word's letters and place."""
-    spans = F.concat(*PATTERNS)
-    near = based.where(F.size(spans) > 0).select("row_key", "text_key", "text", F.explode(spans).alias("span"))
-    value = F.substring(F.col("text"), F.col("span.start") + 1, F.col("span.end") - F.col("span.start"))
-    cut = near.select("row_key", "text_key", lower_letters(value).alias("entity"), F.explode(_around(F.col("text"), F.col("span"))).alias("w"))
-    core = _core(F.col("w.word"))
-    lead = F.length("w.word") - F.length(F.regexp_replace("w.word", r"^[^\p{L}]++", ""))
-    placed = cut.select(
-        "row_key", "text_key", "entity", lower_letters(core).alias("term"), (F.col("w.start") + lead).alias("start"),
-        (F.col("w.start") + lead + F.length(core)).alias("end"))
-    return placed.where((F.length("term") >= LEAST_LETTERS) & F.col("term").rlike(r"^\p{L}++$"))
+def _terms(masked: Column) -> Column:
+    """The distinct words of a masked text, in lower case."""
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(masked, F.lit(WORD), 0)), F.lower))
 
 
-def disclosures(near: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (entity, term) whose term reveals the entity: their bits of information, and whether it is removed.
+def _located(masked: Column, terms: Column, removed: Column) -> Column:
+    """Spans of every occurrence of ``terms`` in a masked text; ``removed`` are those of them that are sure."""
+    kind = "array<struct<start:int,kind:int,end:int,removed:boolean>>"
+    found, between = F.regexp_extract_all(masked, F.lit(WORD), 0), F.split(masked, WORD, -1)
 
-    Of the documents of the whole corpus that hold the term, the share that hold it near the entity is the confidence;
-    against the entity's own share it gives the bits, log2 P(entity | term) / P(entity). A pair counts from
-    ``LEAST_TEXTS`` different texts, so copies of one text prove nothing.
+    def add(acc: Column, both: Column) -> Column:
+        start = acc["at"] + F.length(both["gap"])
+        end = start + F.length(both["word"])
+        term = F.lower(both["word"])
+        span = F.struct(start.alias("start"), F.lit(len(PATTERNS)).alias("kind"), end.alias("end"), F.array_contains(removed, term).alias("removed"))
+        return F.struct(end.alias("at"), F.when(F.array_contains(terms, term), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).cast(kind).alias("spans"))
+
+    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda w, g: F.struct(w.alias("word"), g.alias("gap")))
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans")), add)["spans"]
+
+
+def _holders(held: DataFrame) -> DataFrame:
+    """Which texts hold which protected values: a row for each class of values and text.
+
+    Values of one kind that stand in the same texts are one class, told by the number and the sum of the texts' hashes,
+    so a text full of values multiplies its words by its classes only. Whole kinds are classes too.
     """
-    pairs = near.groupBy("entity", "term").agg(
-        F.count_distinct("row_key").alias("together"), F.count_distinct("text_key").alias("texts"))
+    each = held.groupBy("kind", "value", "text_key").agg(F.count("*").alias("rows"))
+    sums = each.groupBy("kind", "value").agg(
+        F.count("*").alias("texts"), F.sum("rows").alias("docs"), F.sum(F.hash("text_key", "text_key").cast("decimal(38,0)")).alias("light"),
+        F.sum(F.col("text_key").cast("decimal(38,0)")).alias("sum"))
+    named = sums.select("kind", "value", F.xxhash64("kind", "texts", "docs", "light", "sum").alias("entity"), "texts", "docs")
+    values = each.join(named, ["kind", "value"]).groupBy("entity", "kind", "text_key").agg(
+        F.first("rows").alias("rows"), F.first("texts").alias("entity_texts"), F.first("docs").alias("entity_docs"))
+    kinds = each.groupBy("kind", "text_key").agg(F.max("rows").alias("rows"))
+    whole = kinds.groupBy("kind").agg(F.count("*").alias("entity_texts"), F.sum("rows").alias("entity_docs"))
+    return values.unionByName(kinds.join(F.broadcast(whole), "kind").withColumn("entity", F.lit(None).cast("long")))
+
+
+def disclosures(words: DataFrame, work: Work) -> DataFrame:
+    """Terms that reveal a protected value, and whether they are removed, from the values and terms of every document.
+
+    Of the documents of the whole corpus that hold the term, the share that hold the value is the confidence; against
+    the value's own share it gives the bits, log2 P(value | term) / P(value). A pair counts from ``LEAST_TEXTS``
+    different texts, so copies of one text prove nothing.
+    """
+    held = work.table(words.select("text_key", F.explode("values").alias("v")).select("text_key", "v.kind", "v.value"), "values")
+    holders = work.table(_holders(held), "holders")
+    near = words.where(F.size("values") > 0).select("text_key", F.explode("terms").alias("term")).distinct()
+    own = ["entity", "kind", "entity_texts", "entity_docs"]
+    pairs = holders.where(F.col("entity").isNotNull()).join(near, "text_key").groupBy(*own, "term").agg(F.count("*").alias("texts"), F.sum("rows").alias("together"))
     likely = pairs.where(F.col("texts") >= LEAST_TEXTS)
-    held = near.groupBy("entity").agg(F.count_distinct("row_key").alias("entity_docs"))
-    terms = docs.select(F.explode(F.array_distinct(F.transform(words(F.col("text")), lambda w: lower_letters(_core(w))))).alias("term"))
-    known = terms.where(F.length("term") >= LEAST_LETTERS).groupBy("term").agg(F.count("*").alias("term_docs"))
-    total = docs.agg(F.count("*").alias("n")).first()[0]
-    joined = likely.join(held, "entity").join(known, "term")
+    known = words.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("term_docs"))
+    total = words.count()
     confidence = F.col("together") / F.col("term_docs")
     bits = F.log2(confidence * F.lit(max(total, 1)) / F.col("entity_docs"))
-    found = joined.select("entity", "term", confidence.alias("confidence"), bits.alias("bits"))
+    found = likely.join(known, "term").select("term", confidence.alias("confidence"), bits.alias("bits"))
     kept = found.where((F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("bits") >= GENERALISED_BITS))
-    return kept.withColumn("removed", F.col("bits") >= REMOVED_BITS)
+    return kept.groupBy("term").agg((F.max("bits") >= REMOVED_BITS).alias("removed"))
 
 
 def found_spans(docs: DataFrame, work: Work | None = None) -> DataFrame:
-    """``docs`` with an array of spans for each kind, and ``terms``: those near a protected value that reveal it.
+    """``docs`` with an array of spans for each kind, and ``terms``: every occurrence of a term that reveals a value.
 
     Null counts as empty; a text without spans gets empty arrays, an empty table stays empty. Repeated rows share their
-    spans. Columns named like a kind are replaced. Terms are looked up near protected values only: a text that holds
-    none is left alone.
+    spans. Columns named like a kind are replaced. Terms are counted over whole documents, and those that reveal a value
+    are found in every text, also in one that holds no value.
     """
     work = work or Work(docs.sparkSession)
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
     own = [c for c in docs.columns if c not in (*PATTERNS, "text", "terms", "row_key", "text_key")]
     texts = docs.select(*own, plain_text().alias("text")).withColumns({"row_key": key, "text_key": F.xxhash64("text")})
     based = base_spans(texts)
-    near = work.table(_contexts(based), "contexts")
-    pairs = disclosures(near, texts)
-    span = F.struct("start", F.lit(len(PATTERNS)).alias("kind"), "end", "removed")
-    terms = near.join(pairs, ["entity", "term"]).groupBy("row_key").agg(F.collect_set(span).alias("terms"))
+    text = F.col("text")
+    words = work.table(based.select("row_key", "text_key", _values(text).alias("values"), _terms(_masked(text)).alias("terms")), "words")
+    pairs = work.table(disclosures(words, work), "disclosures")
+    met = words.select("row_key", F.explode("terms").alias("term")).join(pairs, "term")
+    terms = met.groupBy("row_key").agg(
+        F.collect_set("term").alias("__terms"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("__removed"))
     terms = work.table(terms, "terms")
-    return based.join(terms, "row_key", "left").drop("text_key", "row_key")
+    located = F.when(F.col("__terms").isNotNull(), _located(_masked(text), F.col("__terms"), F.col("__removed")))
+    return based.join(terms, "row_key", "left").withColumn("terms", located).drop("text_key", "row_key", "__terms", "__removed")
 
 
 def sanitised(docs: DataFrame) -> DataFrame:

@@ -67,5 +67,18 @@ def test_terms_that_reveal_an_entity(spark):
     assert clean[100].text == rows[5][1] and privacy.sanitised(frame).columns == frame.columns
 
 
+def test_terms_far_from_a_value_and_in_texts_without_one(spark):
+    filler = "common matters " * 40
+    rows = [(i, f"Ann-Marie O'Brien, {filler}{i}\n\nreach ab.c@mail.example", "", 0) for i in range(3)]
+    rows += [(50, "Yesterday O\u2019Brien and Ann-Marie o'brien left", "", 0)]
+    rows += [(100 + i, f"common matters {i} reach yesterday and left", "", 0) for i in range(600)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r.spans.split(",") for r in privacy.span_digests(frame).collect()}
+    assert [s for s in got[0] if "term" in s] == ["term:0:9", "term:10:17"]
+    assert got[50] == ["term:22:31", "term:32:39"] and got[100] == [""]
+    clean = {r.doc_id: r.text for r in privacy.sanitised(frame).collect()}
+    assert clean[50] == "Yesterday O\u2019Brien and [term] [term] left" and clean[1].startswith("[term] [term], common")
+
+
 def test_empty_table(spark):
     assert privacy.span_digests(spark.createDataFrame([], SCHEMA)).collect() == []

@@ -19,10 +19,10 @@ PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})?"
 TERM = "term"
 # A word begins with a letter; apostrophes and hyphens may join its parts.
 WORD = r"\p{L}[\p{L}\p{M}\p{N}]*+(?:['\u2019\u2010-][\p{L}\p{N}][\p{L}\p{M}\p{N}]*+)*+"
-LEAST_TEXTS = 3
 LEAST_CONFIDENCE = 0.5
 GENERALISED_BITS = 6.0
 REMOVED_BITS = 12.0
+BUCKETS = 1 << 19
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPAN = "struct<start:int,kind:int,end:int>"
 
@@ -135,23 +135,55 @@ def _holders(held: DataFrame) -> DataFrame:
 def disclosures(words: DataFrame, work: Work) -> DataFrame:
     """Terms that reveal a protected value, and whether they are removed, from the values and terms of every document.
 
-    Of the documents of the whole corpus that hold the term, the share that hold the value is the confidence; against
-    the value's own share it gives the bits, log2 P(value | term) / P(value). A pair counts from ``LEAST_TEXTS``
-    different texts, so copies of one text prove nothing.
+    Of the documents of the whole corpus that hold the term, the share that hold the value is its confidence; against
+    the value's own share it gives the bits, log2 P(value | term) / P(value). Every count takes part: from k different
+    texts with both, the confidence is smoothed by one text more that has the value as often as the term's evidence for
+    the whole kind and the value's share of the kind foretell. Copies of one text are one piece of evidence. The same is
+    estimated for the kind itself, smoothed by its own share, so a term with a new value of one kind in each of its
+    texts is found, too.
+
+    A confidence of c needs a term in at most 2 / c - 1 times the documents of the value, and the bits bound these:
+    words in more documents are left out before pairs are made. ``outside`` tells if texts without values hold a term.
     """
+    holding = F.size("values") > 0
+    known = words.select(holding.cast("long").alias("in"), F.explode("terms").alias("term")).groupBy("term").agg(
+        F.count("*").alias("term_docs"), (F.count("*") > F.sum("in")).alias("outside"))
+    known = work.table(known, "known")
+    n = max(words.count(), 1)
+    common = known.where(F.col("term_docs") > n * 2.0**-GENERALISED_BITS * (2 / LEAST_CONFIDENCE - 1)).select("term")
     held = work.table(words.select("text_key", F.explode("values").alias("v")).select("text_key", "v.kind", "v.value"), "values")
     holders = work.table(_holders(held), "holders")
-    near = words.where(F.size("values") > 0).select("text_key", F.explode("terms").alias("term")).distinct()
+    near = words.where(holding).select("text_key", F.explode("terms").alias("term")).join(F.broadcast(common), "term", "left_anti").distinct()
     own = ["entity", "kind", "entity_texts", "entity_docs"]
-    pairs = holders.where(F.col("entity").isNotNull()).join(near, "text_key").groupBy(*own, "term").agg(F.count("*").alias("texts"), F.sum("rows").alias("together"))
-    likely = pairs.where(F.col("texts") >= LEAST_TEXTS)
-    known = words.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("term_docs"))
-    total = words.count()
-    confidence = F.col("together") / F.col("term_docs")
-    bits = F.log2(confidence * F.lit(max(total, 1)) / F.col("entity_docs"))
-    found = likely.join(known, "term").select("term", confidence.alias("confidence"), bits.alias("bits"))
+    pairs = holders.join(near, "text_key").groupBy(*own, "term").agg(F.count("*").alias("texts"), F.sum("rows").alias("together"))
+    counted = work.table(pairs.join(known, "term"), "pairs")
+    total = F.lit(n)
+    smoothed = lambda prior: (F.col("texts") + prior) / (F.col("texts") * F.col("term_docs") / F.col("together") + 1)
+    bits = F.log2(F.col("confidence") * total / F.col("entity_docs"))
+    kinds = counted.where(F.col("entity").isNull()).withColumn("confidence", smoothed(F.col("entity_docs") / total))
+    of_kind = kinds.select("kind", "term", F.col("confidence").alias("kind_confidence"), F.col("entity_texts").alias("kind_texts"))
+    values = counted.where(F.col("entity").isNotNull()).join(of_kind, ["kind", "term"])
+    values = values.withColumn("confidence", smoothed(F.col("kind_confidence") * F.col("entity_texts") / F.col("kind_texts")))
+    found = values.select("term", "outside", "confidence", bits.alias("bits")).unionByName(kinds.select("term", "outside", "confidence", bits.alias("bits")))
     kept = found.where((F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("bits") >= GENERALISED_BITS))
-    return kept.groupBy("term").agg((F.max("bits") >= REMOVED_BITS).alias("removed"))
+    done = work.table(kept.groupBy("term").agg((F.max("bits") >= REMOVED_BITS).alias("removed"), F.first("outside").alias("outside")), "disclosures")
+    work.drop(held, holders, known, counted)
+    return done
+
+
+def _occurring(words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(row_key, term, removed)`` for every row with a disclosing term.
+
+    Most of these terms stand in texts with values only. Words of the other texts are sorted out by a broadcast table of
+    at most ``BUCKETS`` hashes of the rest before they are joined.
+    """
+    each = lambda rows: rows.select("row_key", F.explode("terms").alias("term"))
+    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("bucket")
+    rest = pairs.where("outside")
+    passed = each(words.where(F.size("values") == 0)).withColumn("bucket", bucket).join(
+        F.broadcast(rest.select(bucket).distinct()), "bucket", "left_semi")
+    inside = each(words.where(F.size("values") > 0)).join(pairs, "term")
+    return inside.unionByName(passed.drop("bucket").join(rest, "term"))
 
 
 def found_spans(docs: DataFrame, work: Work | None = None) -> DataFrame:
@@ -168,11 +200,11 @@ def found_spans(docs: DataFrame, work: Work | None = None) -> DataFrame:
     based = base_spans(texts)
     text = F.col("text")
     words = work.table(based.select("row_key", "text_key", _values(text).alias("values"), _terms(_masked(text)).alias("terms")), "words")
-    pairs = work.table(disclosures(words, work), "disclosures")
-    met = words.select("row_key", F.explode("terms").alias("term")).join(pairs, "term")
-    terms = met.groupBy("row_key").agg(
+    pairs = disclosures(words, work)
+    terms = _occurring(words, pairs).groupBy("row_key").agg(
         F.collect_set("term").alias("__terms"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("__removed"))
     terms = work.table(terms, "terms")
+    work.drop(words, pairs)
     located = F.when(F.col("__terms").isNotNull(), _located(_masked(text), F.col("__terms"), F.col("__removed")))
     return based.join(terms, "row_key", "left").withColumn("terms", located).drop("text_key", "row_key", "__terms", "__removed")
 

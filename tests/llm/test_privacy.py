@@ -80,5 +80,15 @@ def test_terms_far_from_a_value_and_in_texts_without_one(spark):
     assert clean[50] == "Yesterday O\u2019Brien and [term] [term] left" and clean[1].startswith("[term] [term], common")
 
 
+def test_terms_of_values_seen_once(spark):
+    rows = [(0, "Please ask Zaphod about matters, z.b@mail.example", "", 0), (1, "please ask about matters", "", 0)]
+    rows += [(10, "Call Trillian on +1 (656) 555-6510", "", 0), (11, "Call Trillian on +1 (656) 555-7777 then", "", 0)]
+    rows += [(100 + i, f"please ask about matters and call on then number {i}", "", 0) for i in range(900)]
+    got = {r.doc_id: [s for s in r.spans.split(",") if "term" in s] for r in privacy.span_digests(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[0] == ["term:11:17"], "one text with one address"
+    assert got[10] == got[11] == ["term:5:13"], "a new value of the kind in each text"
+    assert not any(s for i, s in got.items() if i not in (0, 10, 11))
+
+
 def test_empty_table(spark):
     assert privacy.span_digests(spark.createDataFrame([], SCHEMA)).collect() == []

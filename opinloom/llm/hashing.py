@@ -99,3 +99,66 @@ def gram_hashes(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.nd
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+def seeded_values(seed: int) -> np.ndarray:
+    """Byte values of another hash of the same words, for the case that two words share one; 0 gives the usual hash."""
+    return byte_values() if not seed else mixed(byte_values() + U(seed))
+
+
+def same_words(
+    a: np.ndarray, a_starts: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_ends: np.ndarray
+) -> np.ndarray:
+    """Whether each word of ``a`` has the very bytes of the word of ``b`` beside it."""
+    size = a_ends - a_starts
+    same = size == b_ends - b_starts
+    left, at = np.flatnonzero(same), 0
+    while len(left := left[size[left] > at]):
+        equal = a[a_starts[left] + at] == b[b_starts[left] + at]
+        same[left[~equal]] = False
+        left, at = left[equal], at + 1
+    return same
+
+
+class WordTable:
+    """Words with numbers from 0 on, looked up many at once by hash and confirmed by their bytes."""
+
+    def __init__(self, words: list[bytes], keys: list[int] | None = None):
+        """``keys`` (64 bits) tell equal words of several tables apart, such as those of different languages."""
+        ends = np.cumsum([0, *map(len, words)], dtype=np.int64)
+        self.data, self.starts, self.ends = np.frombuffer(b"".join(words), np.uint8), ends[:-1], ends[1:]
+        self.keys = None if keys is None else np.array(keys, np.uint64)
+        for self.seed in range(64):
+            found = self._hashes(self.data, self.starts, self.ends, self.keys)
+            self.order = np.argsort(found, kind="stable")
+            self.hashes = found[self.order]
+            if not len(words) or (self.hashes[1:] != self.hashes[:-1]).all():
+                return
+        raise ValueError("words are not distinct")
+
+    def __len__(self) -> int:
+        return len(self.order)
+
+    def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray | None) -> np.ndarray:
+        found = word_hashes(data, starts, ends, seeded_values(self.seed))
+        return found if keys is None else mixed(found + keys)
+
+    def numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray | None = None) -> np.ndarray:
+        """The number of each word of lower-cased ``data``, -1 for words the table does not have."""
+        out = np.full(len(starts), -1, np.int64)
+        if not len(self) or not len(starts):
+            return out
+        hashes = self._hashes(data, starts, ends, keys)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self) - 1)
+        known = np.flatnonzero(self.hashes[at] == hashes)
+        number = self.order[at[known]]
+        same = same_words(data, starts[known], ends[known], self.data, self.starts[number], self.ends[number])
+        if keys is not None:
+            same &= self.keys[number] == keys[known]
+        out[known[same]] = number[same]
+        return out
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z as a-z."""
+    return _LOWER.astype(np.uint8)[data]

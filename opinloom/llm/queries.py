@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinloom.llm import factorisation, jaccard, mixing, naming, outliers, packing, pieces, privacy, quotes, toxicity
+from opinloom.llm import factorisation, jaccard, mixing, naming, outliers, packing, pieces, privacy, quotes, suffixes, toxicity
 from opinloom.llm.shared import documents, held_out, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,3 +92,32 @@ def op9_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return privacy.span_digests(documents(spark, folder))
+
+
+@query(r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+item AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, unnest(list_transform(range(1, greatest(len(words) - 10, 0) + 2), lambda i: words[i:i + 9])) AS win
+  FROM (SELECT item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark) WHERE len(words) > 0),
+place AS (SELECT row, unnest(range(1, len(words) + 1)) AS spot FROM doc),
+found AS (
+  SELECT p.row, p.spot, len(w.win) AS n, w.item
+  FROM place p JOIN doc d USING (row) CROSS JOIN (SELECT DISTINCT len(win) AS n FROM item) l JOIN item w ON w.win = d.words[p.spot:p.spot + l.n - 1]
+  WHERE len(w.win) = l.n),
+hits AS (SELECT row, count(DISTINCT word) AS n_hit FROM (SELECT row, unnest(range(spot, spot + n)) AS word FROM found) GROUP BY row),
+held AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item FROM found) GROUP BY row)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM doc LEFT JOIN hits USING (row) LEFT JOIN held USING (row)
+""")
+def op13_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that lie in ten consecutive words of a benchmark item, and the items found."""
+    found = suffixes.overlaps(documents(spark, folder).select("doc_id", "text"), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    digest = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")

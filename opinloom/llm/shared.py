@@ -92,3 +92,14 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
             yield batch.slice(first, last - first)
             first = last
+
+
+def with_row(docs: DataFrame, *needed: Column) -> DataFrame:
+    """All of the caller's columns as one struct ``__row``, beside what an operator needs: no names can clash."""
+    return docs.select(F.struct("*").alias("__row"), *needed)
+
+
+def row_unpacked(df: DataFrame, columns: list[str], *new: Column | str) -> DataFrame:
+    """The caller's columns out of ``__row`` and then the operator's; a caller's column of such a name is replaced."""
+    added = df.select(*new).columns
+    return df.select(*[F.col("__row").getField(c).alias(c) for c in columns if c not in added], *new)

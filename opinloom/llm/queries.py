@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinloom.llm import factorisation, jaccard, mixing, naming, outliers, packing, pieces, privacy, quotes, suffixes, toxicity
+from opinloom.llm import factorisation, jaccard, mixing, naming, outliers, packing, pieces, privacy, quotes, suffixes, toxicity, whitening
 from opinloom.llm.shared import documents, held_out, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,26 +94,30 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return privacy.span_digests(documents(spark, folder))
 
 
-@query(r"""
-WITH doc AS (
-  SELECT row_number() OVER () AS row, doc_id,
-    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
-item AS (
-  SELECT CAST(item_id AS VARCHAR) AS item, unnest(list_transform(range(1, greatest(len(words) - 10, 0) + 2), lambda i: words[i:i + 9])) AS win
-  FROM (SELECT item_id,
-    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark) WHERE len(words) > 0),
-place AS (SELECT row, unnest(range(1, len(words) + 1)) AS spot FROM doc),
-found AS (
-  SELECT p.row, p.spot, len(w.win) AS n, w.item
-  FROM place p JOIN doc d USING (row) CROSS JOIN (SELECT DISTINCT len(win) AS n FROM item) l JOIN item w ON w.win = d.words[p.spot:p.spot + l.n - 1]
-  WHERE len(w.win) = l.n),
+def _followed(table: str, key: str) -> str:
+    """SQL: every word of the texts of a table with the nine after it, and the number of words from it on."""
+    ten = ", ".join(f"lead(word, {i}) OVER along" for i in range(10))
+    return rf"""
+SELECT row, {key}, spot, [{ten}] AS ten, n_words, n_words - spot + 1 AS remaining
+FROM (SELECT row, {key}, unnest(words) AS word, generate_subscripts(words, 1) AS spot, len(words) AS n_words
+  FROM (SELECT row_number() OVER () AS row, {key},
+      regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM {table}))
+WINDOW along AS (PARTITION BY row ORDER BY spot)"""
+
+
+@query(f"""
+WITH place AS ({_followed("documents", "doc_id")}),
+item AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(remaining, 10) AS n, array_to_string(ten[1:least(remaining, 10)], ' ') AS win
+  FROM ({_followed("benchmark", "item_id")}) WHERE remaining >= 10 OR (spot = 1 AND n_words < 10)),
+spans AS (SELECT row, spot, n, array_to_string(ten[1:n], ' ') AS win FROM place JOIN (SELECT DISTINCT n FROM item) ON remaining >= n),
+found AS (SELECT row, spot, n, item FROM spans JOIN item USING (n, win)),
 hits AS (SELECT row, count(DISTINCT word) AS n_hit FROM (SELECT row, unnest(range(spot, spot + n)) AS word FROM found) GROUP BY row),
-held AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item FROM found) GROUP BY row)
-SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+held AS (SELECT row, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item FROM found) GROUP BY row),
+sizes AS (SELECT DISTINCT row, n_words FROM place)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM doc LEFT JOIN hits USING (row) LEFT JOIN held USING (row)
+FROM (SELECT row_number() OVER () AS row, doc_id FROM documents) LEFT JOIN sizes USING (row) LEFT JOIN hits USING (row) LEFT JOIN held USING (row)
 """)
 def op13_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that lie in ten consecutive words of a benchmark item, and the items found."""
@@ -121,3 +125,10 @@ def op13_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
     digest = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
+@query()
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every embedding projected on the first 16 whitened components of the distinct integer vectors."""
+    found = whitening.whitened(spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding"))
+    return found.drop("embedding")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinloom.llm import factorisation, jaccard, mixing, naming, outliers, packing, pieces, privacy, quotes, suffixes, toxicity, whitening
+from opinloom.llm import factorisation, jaccard, mixing, naming, outliers, packing, phrases, pieces, privacy, quotes, suffixes, toxicity, whitening
 from opinloom.llm.shared import documents, held_out, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,3 +132,38 @@ def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     """Every embedding projected on the first 16 whitened components of the distinct integer vectors."""
     found = whitening.whitened(spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding"))
     return found.drop("embedding")
+
+
+def _counts_sql() -> str:
+    """SQL: how often each phrase of one to five words occurs in the pieces of each language."""
+    nexts = ", ".join(f"lead(word, {i}) OVER along AS w{i}" for i in range(1, 5))
+    sizes = [" || ' ' || ".join(["word", *[f"w{i}" for i in range(1, k)]]) for k in range(1, 6)]
+    return rf"""
+pieces AS (SELECT row_number() OVER () AS piece, lang, regexp_extract_all(text, '[^ \t]+') AS words FROM (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS text FROM documents)),
+places AS (SELECT lang, word, {nexts} FROM (SELECT piece, lang, unnest(words) AS word, generate_subscripts(words, 1) AS spot FROM pieces)
+  WINDOW along AS (PARTITION BY piece ORDER BY spot)),
+counts AS ({" UNION ALL ".join(f"SELECT lang, {s} AS phrase, {k} AS size, count(*) AS f FROM places WHERE {s} IS NOT NULL GROUP BY ALL"
+                               for k, s in enumerate(sizes, 1))})"""
+
+
+@query(f"""
+WITH {_counts_sql()},
+totals AS (SELECT lang, sum(f) AS n FROM counts WHERE size = 1 GROUP BY lang),
+found AS (SELECT *, string_split(phrase, ' ') AS words FROM counts WHERE size > 1 AND f >= 100),
+inner_parts AS (SELECT lang, array_to_string(words[i:i + size - 2], ' ') AS phrase, max(f) AS longer
+  FROM found, (VALUES (1), (2)) AS v(i) WHERE size > 2 GROUP BY ALL),
+cuts AS (SELECT lang, phrase, f AS a, cut, array_to_string(words[:cut], ' ') AS before, array_to_string(words[cut + 1:], ' ') AS after
+  FROM found ANTI JOIN (SELECT g.lang, g.phrase FROM found g JOIN inner_parts p USING (lang, phrase) WHERE p.longer >= g.f) AS covered USING (lang, phrase),
+  (VALUES (1), (2), (3), (4)) AS v(cut) WHERE cut < size),
+ways AS (SELECT c.lang, c.phrase, a, x.f AS l, y.f AS r, n, cut, CAST((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = before JOIN counts y ON y.lang = c.lang AND y.phrase = after
+  JOIN totals t ON t.lang = c.lang),
+least AS (SELECT * FROM ways QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM least QUALIFY rank <= 2000
+""")
+def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2,000 best phrases of two to five words of each language."""
+    return phrases.collocations(documents(spark, folder).select("lang", "text"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from opinloom.llm.shared import plain_text, python_tasks, sliced
 
 SPACE = "▁"
-KEPT_WORDS = 100_000
+KEPT_WORDS = 250_000  # in each of two generations
 KEPT_PAIRS = 500_000
 KEPT_LENGTH = 40
 ROWS_AT_ONCE = 256
@@ -57,11 +57,13 @@ class Codec:
         self.byte_id = {b: i for i, b in words.bytes.items()}
         self.vocabulary = words
         self.shown = [chr(words.bytes[i]) if i in words.bytes else p.replace(SPACE, " ") for i, p in enumerate(words.pieces)]
-        self.cut = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
+        self.cut = re.compile(_cut_pattern(self.ids))
+        self.kind = np.uint16 if len(words.pieces) <= 1 << 16 else np.int32
         self.parts: dict[str, tuple[str, str] | None] = {}
         self.spines: dict[tuple[str, int], list[tuple[str, float]]] = {}
         self.fits: dict[int, bool] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.length = [len(p) for p in words.pieces]
         self.characters = {p for p in self.ids if len(p) == 1}
         # ids that need more than their own text to be shown
@@ -192,21 +194,25 @@ class Codec:
             return [self.ids[token]]
         return [self.byte_id[b] for b in token.encode()]
 
+    def remembered(self, part: str) -> bytes:
+        """The ids of a part that the younger memory lacks; when that is full, it becomes the older one."""
+        ids = self.words.get(part) or self.older.get(part)
+        if ids is None:
+            ids = np.array(self.word(part), self.kind).tobytes()
+        if len(part) <= KEPT_LENGTH:
+            if len(self.words) >= KEPT_WORDS:
+                self.older, self.words = self.words, {}
+            self.words[part] = ids
+        return ids
+
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        out: list[int] = []
-        words = self.words
-        for part in self.cut.findall(SPACE + text.replace(" ", SPACE)):
-            ids = words.get(part)
-            if ids is None:
-                ids = self.word(part)
-                if len(part) <= KEPT_LENGTH:
-                    if len(words) >= KEPT_WORDS:
-                        words.clear()
-                    words[part] = ids
-            out += ids
-        return out
+        parts = self.cut.findall(SPACE + text.replace(" ", SPACE))
+        known = list(map(self.words.get, parts))
+        if None in known:
+            known = [self.remembered(part) if ids is None else ids for part, ids in zip(parts, known, strict=True)]
+        return np.frombuffer(b"".join(known), self.kind).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids: bytes joined to characters, control ids silent, the space put before the text removed."""
@@ -232,6 +238,22 @@ class Codec:
         return text[1:] if first is not None and special.pieces[first].startswith(SPACE) else text
 
 
+def _cut_pattern(pieces: dict[str, int]) -> str:
+    """Cuts a text where no piece can lie: before spaces, around line breaks, between letters and other characters.
+
+    A character counts as a letter only if no piece has it beside one that does not.
+    """
+    pairs = {p[i : i + 2] for p in pieces for i in range(len(p) - 1) if p[i] != SPACE}
+    if any("\n" in p for p in pairs):
+        raise ValueError("pieces that hold a line break beside other characters are not supported")
+    letters = {c for pair in pairs for c in pair if c.isalpha()}
+    while mixed := {c for pair in pairs if not letters.issuperset(pair) for c in pair if c in letters}:
+        letters -= mixed
+    inside = "".join(map(re.escape, sorted(letters)))
+    words = f"{SPACE}*[{inside}]+|" if letters else ""
+    return f"{words}{SPACE}*[^{inside}{SPACE}\n]+|{SPACE}+|\n"
+
+
 def _characters(raw: bytearray) -> str:
     """UTF-8 of consecutive byte ids; each byte that belongs to no character becomes a replacement character."""
     out, i = [], 0

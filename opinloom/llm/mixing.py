@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opinloom.llm.shared import plain_text, words
+from opinloom.llm.shared import plain_text, row_unpacked, with_row, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -38,26 +38,12 @@ def water_levels(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     return first.select("source_key", "source_size", target.alias("target"))
 
 
-def mixture(
-    docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: int = SEED
-) -> DataFrame:
-    """Every row of ``docs`` with ``size``, ``source_size``, ``target``, ``whole`` and ``part``.
-
-    The mix takes a document ``whole`` times, and ``part`` of its words once more. Documents follow each other in an
-    order drawn from the seed and doc_id; the fractional repetition takes them until the target is reached, so one
-    document per source at most is taken in part, and a source's words come within one word of its target. A null or
-    blank text has size 0 and is never taken; null sources form one source, the last; null ids are drawn as the empty
-    id; repeated rows are separate documents. An empty table stays empty. Columns of the same names as the new ones
-    are replaced.
-
-    Sums run per source and bin of the drawn order (4096 bins a source), so a source with a third of all rows is
-    divided evenly; the exact order matters only within a bin.
-    """
+def _planned(docs: DataFrame, weights: tuple, share: float, epochs: float, seed: int) -> DataFrame:
+    """``__row`` of every row with what ``mixture`` adds."""
     text = plain_text()
     drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     key = F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit("")))
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "whole", "part")]
-    sized = docs.select(*own, F.size(words(text)).cast("long").alias("size"), key.alias("source_key"), drawn.alias("drawn"))
+    sized = with_row(docs, F.col("doc_id"), F.size(words(text)).cast("long").alias("size"), key.alias("source_key"), drawn.alias("drawn"))
     sized = sized.withColumn("bin", F.substring("drawn", 1, BIN_DIGITS))
     bins = sized.select("source_key", "bin", "size").groupBy("source_key", "bin").agg(F.sum("size").alias("bin_size"))
     levels = water_levels(bins.groupBy("source_key").agg(F.sum("bin_size").alias("source_size")), weights, share, epochs)
@@ -70,22 +56,40 @@ def mixture(
     joined = sized.join(placed.drop("bin_size"), ["source_key", "bin"])
     reached = F.col("before") + F.sum("size").over(upto.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     part = F.greatest(F.lit(0), F.least("size", F.col("more") - reached))
-    return joined.withColumn("part", part).select(*own, "size", "source_size", "target", "whole", "part")
-
-
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken; a part is its first words, with ``n_chars`` to match."""
-    plan = mixture(docs, **options)
-    partial = F.array_join(F.slice(words(F.col("text")), 1, F.col("part").cast("int")), " ")
-    extra = F.when(F.col("part") == 0, F.array().cast("array<string>")).otherwise(
-        F.array(F.when(F.col("part") == F.col("size"), F.col("text")).otherwise(partial)))
-    copies = F.concat(F.array_repeat("text", F.col("whole").cast("int")), extra)
-    taken = plan.where((F.col("size") > 0) & (F.col("whole") + F.col("part") > 0)).withColumn("taken_text", F.explode(copies))
-    cut = F.col("taken_text") != F.col("text")
-    new = {"text": F.col("taken_text")}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(cut, F.length("taken_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return taken.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    return joined.withColumn("part", part).select("__row", "size", "source_size", "target", "whole", "part")
+
+
+def mixture(
+    docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: int = SEED
+) -> DataFrame:
+    """Every row of ``docs`` with ``size``, ``source_size``, ``target``, ``whole`` and ``part``.
+
+    The mix takes a document ``whole`` times, and ``part`` of its words once more. Documents follow each other in an
+    order drawn from the seed and doc_id; the fractional repetition takes them until the target is reached, so one
+    document per source at most is taken in part, and a source's words come within one word of its target. A null or
+    blank text has size 0 and is never taken; null sources form one source, the last; null ids are drawn as the empty
+    id; repeated rows are separate documents. An empty table stays empty. Further columns stay, whatever their names;
+    those named like a new one are replaced.
+
+    Sums run per source and bin of the drawn order (4096 bins a source), so a source with a third of all rows is
+    divided evenly; the exact order matters only within a bin.
+    """
+    planned = _planned(docs, weights, share, epochs, seed)
+    return row_unpacked(planned, docs.columns, "size", "source_size", "target", "whole", "part")
+
+
+def mixed_documents(
+    docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: int = SEED
+) -> DataFrame:
+    """The mix itself: each document, whole, as often as it is taken; all columns kept, whatever their names.
+
+    The one document a source that ``mixture`` takes in part is taken once more if that brings the source nearer to its
+    target (a tie counts as nearer), and left otherwise; no text is cut. Texts without words are never taken.
+    """
+    plan = _planned(docs, weights, share, epochs, seed)
+    times = F.col("whole") + F.when(2 * F.col("part") >= F.col("size"), 1).otherwise(0)
+    taken = plan.where((F.col("size") > 0) & (times > 0)).select("__row", F.explode(F.array_repeat(F.lit(True), times.cast("int"))))
+    return row_unpacked(taken, docs.columns)
 
 
 SIZES_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opinloom.llm.shared import Work, plain_text
+from opinloom.llm.shared import Work, plain_text, row_unpacked, with_row
 
 BLOCK_BYTES = 4096
 GROUPS = 1 << 16
@@ -90,11 +90,10 @@ def duplicates(docs: DataFrame, work: Work | None = None) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all columns of ``docs``."""
-    kept = duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha256"))
-    sha = F.sha2(plain_text().cast("binary"), 256)
-    rows = docs.withColumn("own_sha256", sha)
-    at = rows["doc_id"].eqNullSafe(kept["kept_id"]) & (rows["own_sha256"] == kept["kept_sha256"])
-    repeated = Window.partitionBy("doc_id", "own_sha256").orderBy(F.lit(0))
-    single = rows.join(kept, at, "left_semi").withColumn("copy", F.row_number().over(repeated))
-    return single.where(F.col("copy") == 1).select(*docs.columns)
+    """The rows that stay, with all columns of ``docs``, whatever their names."""
+    kept = duplicates(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha256"))
+    rows = with_row(docs, F.col("doc_id").alias("own_id"), F.sha2(plain_text().cast("binary"), 256).alias("own_sha256"))
+    at = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_sha256") == F.col("kept_sha256"))
+    repeated = Window.partitionBy("own_id", "own_sha256").orderBy(F.lit(0))
+    single = rows.join(kept, at, "left_semi").withColumn("copy", F.row_number().over(repeated)).where(F.col("copy") == 1)
+    return row_unpacked(single, docs.columns)

@@ -30,6 +30,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 @query()
 def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Three-word shingles at 90 %: component and number of links of every document."""
     return jaccard.near_duplicates(documents(spark, folder), width=3, num=90, den=100)
 
 

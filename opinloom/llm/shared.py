@@ -101,5 +101,5 @@ def with_row(docs: DataFrame, *needed: Column) -> DataFrame:
 
 def row_unpacked(df: DataFrame, columns: list[str], *new: Column | str) -> DataFrame:
     """The caller's columns out of ``__row`` and then the operator's; a caller's column of such a name is replaced."""
-    added = df.select(*new).columns
+    added = df.select(*new).columns if new else []
     return df.select(*[F.col("__row").getField(c).alias(c) for c in columns if c not in added], *new)

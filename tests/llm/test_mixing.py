@@ -1,4 +1,4 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -56,11 +56,16 @@ def test_nulls_ties_and_repeated_rows(spark):
     assert mixing.mixture(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_mixed_documents_hold_the_taken_words(spark):
+def test_mixed_documents_are_whole_and_near_their_targets(spark):
     rows = [(i, f"s{i % 2}", " ".join(["word"] * (1 + i % 9)), 5 * (1 + i % 9) - 1, "", "") for i in range(200)]
     frame = spark.createDataFrame(rows, SCHEMA)
     plan = mixing.mixture(frame).collect()
-    out = mixing.mixed_documents(frame.select("doc_id", "source", "text", "n_chars")).collect()
-    words = sum(len(r.text.split()) for r in out)
-    assert words == sum(r.whole * r.size + r.part for r in plan)
+    out = mixing.mixed_documents(frame).collect()
+    texts = {r[0]: r[2] for r in rows}
+    assert all(r.text == texts[r.doc_id] for r in out)
     assert all(r.n_chars == len(r.text) for r in out)
+    times = Counter(r.doc_id for r in out)
+    assert all(times[r.doc_id] == r.whole + (2 * r.part >= r.size) for r in plan)
+    for source in ("s0", "s1"):
+        taken = sum(len(r.text.split()) for r in out if r.source == source)
+        assert abs(taken - next(r.target for r in plan if r.source == source)) <= 9 / 2 + 1

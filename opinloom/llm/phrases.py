@@ -32,7 +32,7 @@ PART_WORDS = 1 << 20  # words of the dictionary in one broadcast
 SIDE_BY_SIDE = 4  # broadcasts that a task holds at once
 AT_ONCE = 1 << 18  # phrases counted together
 KEPT = 1 << 20  # different phrases that a task holds before it gives its filters away
-SHARD_PHRASES = 1 << 22
+SHARD_PHRASES = 1 << 20
 FILTER_BITS = 26  # at most, of the bit array that tells which shorter phrases are frequent
 BUCKETS = 64
 
@@ -372,10 +372,8 @@ def counted_phrases(docs: DataFrame, work: Work, least: int = LEAST, longest: in
     for k in range(2, longest + 1):
         packing = Packing(k, bits)
         shard_bits = min(packing.widths[0], max(0, (size // 4 // SHARD_PHRASES).bit_length()))
-        filters = work.table(_level(streams, k, packing, shard_bits, known), "filters")
-        shards = max(1 << shard_bits, 1)
-        found = work.table(_frequent(filters, shards, packing, shard_bits, least), "phrases")
-        work.drop(filters)
+        filters = _level(streams, k, packing, shard_bits, known)
+        found = work.table(_frequent(filters, 1 << shard_bits, packing, shard_bits, least), "phrases")
         phrases = found if phrases is None else phrases.unionByName(found)
         if k < longest:
             n = found.count()

@@ -1,48 +1,14 @@
-"""Distributed classifiers with the published defaults.
-
-``n`` is the number of training rows: an inverse regularisation strength C on the summed loss is
-``1 / (C n)`` on Spark's mean loss.
-"""
+"""Spark's classifiers with the published defaults; ``n`` is the number of training rows. Linear models: ``newton``."""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import (
-    LinearSVC,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 
-from opinloom.contract import FOREST, LOGISTIC, PERCEPTRON, SEED, SVM
+from opinloom.contract import FOREST, PERCEPTRON, SEED
 
 LABEL, PREDICTION = "class_index", "class_prediction"
 
 
-def logistic_regression(
-    n: int, features: str = "features", C: float = LOGISTIC["C"], max_iter: int = LOGISTIC["max_iter"],
-    tol: float = LOGISTIC["tol"],
-):
-    """Multinomial logistic regression with L2 penalty."""
-    return LogisticRegression(
-        featuresCol=features, labelCol=LABEL, predictionCol=PREDICTION, family="multinomial",
-        regParam=1 / (C * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol,
-    )
-
-
-def linear_svm(
-    n: int, features: str = "features", C: float = SVM["C"], max_iter: int = SVM["max_iter"], parallelism: int = 4
-):
-    """One linear SVM per class against the rest, fitted side by side."""
-    one = LinearSVC(
-        featuresCol=features, labelCol=LABEL, regParam=1 / (C * n), standardization=False,
-        maxIter=max_iter, tol=SVM["tol"],
-    )
-    return OneVsRest(
-        classifier=one, featuresCol=features, labelCol=LABEL, predictionCol=PREDICTION, parallelism=parallelism
-    )
-
-
 def random_forest(
     n: int, features: str = "features", trees: int = FOREST["trees"], depth: int = FOREST["depth"],
     min_leaf: int = FOREST["min_leaf"], seed: int = SEED, max_bins: int = 32,

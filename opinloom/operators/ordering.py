@@ -8,6 +8,7 @@ literal, which Parquet row-group statistics can use.
 from __future__ import annotations
 
 import math
+import random
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -201,6 +202,42 @@ def shuffled(df: DataFrame, seed: int, key: str = ORDINAL) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
 
 
+ROUNDS = 24
+_PRIME = (1 << 31) - 1
+
+
+def round_keys(seed: int, epoch: int) -> list[tuple[int, int]]:
+    """For each round of an epoch's permutation what pairs the places and what draws a bit for each pair."""
+    rng = random.Random(f"{seed}:{epoch}")
+    return [(rng.randrange(_PRIME), rng.randrange(1, _PRIME)) for _ in range(ROUNDS)]
+
+
+def permuted(ordinal: Column, n: int, seed: int, epoch: int) -> Column:
+    """The place of an ordinal below ``n`` in the order of an epoch: a keyed bijection, so nothing is sorted or moved.
+
+    Each round pairs every place with another and swaps a pair if a bit drawn for it says so, which is its own inverse;
+    so any number of rounds permutes, for any ``n``.
+    """
+    keys = F.array(*[F.struct(F.lit(k).cast("long").alias("pair"), F.lit(m).cast("long").alias("draw")) for k, m in round_keys(seed, epoch)])
+
+    def swap(place: Column, key: Column) -> Column:
+        other = F.pmod(key["pair"] - place, F.lit(max(n, 1)))
+        mixed = F.pmod((F.pmod(F.greatest(place, other), F.lit(_PRIME)) + key["draw"]) * key["draw"], F.lit(_PRIME))
+        return F.when(F.pmod(F.shiftright(mixed, 7) + mixed, F.lit(2)) == 1, other).otherwise(place)
+
+    return F.aggregate(keys, ordinal.cast("long"), swap)
+
+
+def epoch_orders(df: DataFrame, epochs: int, seed: int, key: str = ORDINAL) -> DataFrame:
+    """Every row once for each epoch, with ``epoch`` (from 0) and ``position``; ``key`` is a dense 0-based ordinal.
+
+    Only the number of rows is read beforehand. A training job takes an epoch's rows by ranges of ``position``.
+    """
+    n = df.count()
+    placed = F.array(*[F.struct(F.lit(e).alias("epoch"), permuted(F.col(key), n, seed, e).alias("position")) for e in range(epochs)])
+    return df.select("*", F.inline(placed))
+
+
 def activity_quartile(histogram: DataFrame, value: str, count: str, buckets: int = 4) -> DataFrame:
     """Bucket each value of a histogram by its percent rank among all counted rows.
 

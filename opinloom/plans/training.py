@@ -9,17 +9,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.ml import PipelineModel
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.feature import IndexToString, SQLTransformer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinloom.contract import SCORE, SCORES, SVM, TEXT_COLUMNS
+from opinloom.contract import LOGISTIC, SCORE, SCORES, SEED, SVM, TEXT_COLUMNS
 from opinloom.functions.cleaning import document
 from opinloom.functions.labels import class_index
-from opinloom.operators import classifiers
-from opinloom.operators.features import FEATURES, feature_width, fit_vectorizer
+from opinloom.operators import classifiers, embedding_bag, newton
+from opinloom.operators.blocks import as_blocks
+from opinloom.operators.features import FEATURES, feature_width, fit_chosen_vectorizer, fit_vectorizer
 from opinloom.operators.inference import encode
 from opinloom.operators.metrics import class_report, confusion
 from opinloom.operators.ordering import ORDINAL, head_rows, top_fraction
@@ -28,8 +29,10 @@ from opinloom.operators.sizing import fit_partitions
 
 PREDICTED = "predicted_label"
 # Slots that words are hashed to, by classifier, at any size of the vocabulary. A tree bins every slot of every row,
-# and a perceptron has a weight per slot and unit of its first layer, so these two take fewer.
-WIDTHS = {"logreg": 1 << 16, "svm": 1 << 16, "forest": 1 << 12, "mlp": 1 << 11}
+# and a network has a vector for each slot, so these two take fewer.
+WIDTHS = {"logreg": 1 << 16, "svm": 1 << 16, "forest": 1 << 12, "mlp": 1 << 14}
+EPOCHS = 25
+CHOSEN_WORDS = 1 << 10  # of a forest
 
 # name -> (feature weighting, classifier)
 TEXT_MODELS = {
@@ -45,15 +48,25 @@ def with_document(df: DataFrame, into: str = "document") -> DataFrame:
     return df.withColumn(into, document(*[F.col(c) for c in TEXT_COLUMNS]))
 
 
-def _estimator(kind: str, n: int, inputs: int, classes: int, options: dict):
-    if kind == "mlp":
-        return classifiers.perceptron(n, inputs, classes, FEATURES, **options)
-    build: Callable = {
-        "logreg": classifiers.logistic_regression,
-        "svm": classifiers.linear_svm,
-        "forest": classifiers.random_forest,
-    }[kind]
-    return build(n, FEATURES, **options)
+# linear models: loss, inverse penalty, steps, tolerance
+LINEAR = {
+    "logreg": ("softmax", LOGISTIC["C"], LOGISTIC["max_iter"], LOGISTIC["tol"]),
+    "svm": ("squared_hinge", SVM["C"], SVM["max_iter"], SVM["tol"]),
+}
+
+
+def _fit_in_passes(ready: DataFrame, kind: str, inputs: int, classes: int, options: dict) -> tuple[Model, list[tuple[float, float]]]:
+    """A model that is learnt in passes over blocks of rows, and its objective and training accuracy by step or epoch."""
+    blocks = as_blocks(ready, FEATURES, classifiers.LABEL).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if kind == "mlp":
+            bag = embedding_bag.fit(blocks, inputs, classes, **({"epochs": EPOCHS, "seed": SEED} | options))
+            return embedding_bag.EmbeddingBagModel(bag, FEATURES, classifiers.PREDICTION), bag.history
+        loss, C, max_iter, tol = LINEAR[kind]
+        fitted = newton.fit(blocks, inputs, classes, loss, **({"C": C, "max_iter": max_iter, "tol": tol} | options))
+        return fitted.model(FEATURES, classifiers.PREDICTION, ready.sparkSession), fitted.history
+    finally:
+        blocks.unpersist()
 
 
 def _label_stages(labels: list[int]) -> list:
@@ -63,17 +76,25 @@ def _label_stages(labels: list[int]) -> list:
     ]
 
 
-def _fit(features: DataFrame, label: str, labels: list[int], kind: str, inputs: int, options: dict) -> list:
-    """Fit on a persisted (spilling) feature table, so text is vectorised once per fit.
+def _ready(features: DataFrame, label: str, labels: list[int]) -> DataFrame:
+    """Features and class, dealt to as many tasks as the bytes need, at least one for each core."""
+    rows = features.select(FEATURES, class_index(F.col(label), labels).alias(classifiers.LABEL))
+    return rows.repartition(fit_partitions(features))
 
-    The table is dealt to as many tasks as its bytes need, at least one for each core: a gradient solver runs a job
-    per step over all of them.
-    """
-    ready = features.select(FEATURES, class_index(F.col(label), labels).alias(classifiers.LABEL))
-    ready = ready.repartition(fit_partitions(features)).persist(StorageLevel.MEMORY_AND_DISK)
+
+def _fit(features: DataFrame, label: str, labels: list[int], kind: str, inputs: int, options: dict) -> list:
+    """Fit on a persisted (spilling) table, so text is vectorised once per fit: a solver runs a job per step over it."""
+    ready = _ready(features, label, labels)
+    if kind != "forest" and kind != "perceptron":
+        return [_fit_in_passes(ready, kind, inputs, len(labels), options)[0], *_label_stages(labels)]
+    ready.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = ready.count()
-        model = _estimator(kind, n, inputs, len(labels), options).fit(ready)
+        if kind == "forest":
+            estimator = classifiers.random_forest(n, FEATURES, **options)
+        else:
+            estimator = classifiers.perceptron(n, inputs, len(labels), FEATURES, **options)
+        model = estimator.fit(ready)
     finally:
         ready.unpersist()
     return [model, *_label_stages(labels)]
@@ -89,9 +110,15 @@ def used_labels(train: DataFrame, label: str) -> list[int]:
     return labels
 
 
-def fit_text_vectorizer(train: DataFrame, text: str, model: str) -> PipelineModel:
-    """The features of a model, to be shared by all models of its weighting and width."""
+def fit_text_vectorizer(train: DataFrame, text: str, model: str, label: str | None = None) -> PipelineModel:
+    """The features of a model, to be shared by all models of its weighting and width.
+
+    With a label, a forest gets the words that tell its classes apart, each with an entry of its own; all others, and a
+    forest without, get hashed words.
+    """
     weighting, kind = TEXT_MODELS[model]
+    if kind == "forest" and label is not None:
+        return fit_chosen_vectorizer(train, text, label, weighting, CHOSEN_WORDS)
     return fit_vectorizer(train, text, weighting, WIDTHS[kind])
 
 
@@ -101,8 +128,8 @@ def fit_text_model(
     """Fit one of ``TEXT_MODELS`` on a text column and an integer label, on its own or on shared features."""
     kind = TEXT_MODELS[model][1]
     labels = used_labels(train, label)
-    vectorizer = vectorizer or fit_text_vectorizer(train, text, model)
-    inputs = feature_width(vectorizer) if kind == "mlp" else 0
+    vectorizer = vectorizer or fit_text_vectorizer(train, text, model, label)
+    inputs = feature_width(vectorizer)
     fitted = _fit(vectorizer.transform(train.select(text, label)), label, labels, kind, inputs, options)
     return PipelineModel([*vectorizer.stages, *fitted])
 
@@ -148,9 +175,18 @@ def evaluate(model: PipelineModel, test: DataFrame, label: str) -> DataFrame:
     return class_report(confusion(predict(model, require_rows(test)), label, PREDICTED))
 
 
-def training_curve(model: PipelineModel) -> list[float]:
-    """Objective per iteration of the fitted classifier, where Spark records one."""
-    for stage in model.stages:
-        if getattr(stage, "hasSummary", False):
-            return list(stage.summary.objectiveHistory)
-    return []
+def training_curve(train: DataFrame, text: str, label: str, model: str, vectorizer: PipelineModel | None = None, **options) -> DataFrame:
+    """``epoch, objective, accuracy`` on the training rows after each step or epoch of a linear model or network.
+
+    The first row of a linear model (epoch 0) is the start from zero; the last row is that of the fitted model.
+    """
+    kind = TEXT_MODELS[model][1]
+    if kind == "forest":
+        raise ValueError("a forest is not learnt in epochs")
+    labels = used_labels(train, label)
+    vectorizer = vectorizer or fit_text_vectorizer(train, text, model)
+    ready = _ready(vectorizer.transform(train.select(text, label)), label, labels)
+    _, history = _fit_in_passes(ready, kind, feature_width(vectorizer), len(labels), options)
+    first = 1 if kind == "mlp" else 0
+    rows = [(i, float(v), float(a)) for i, (v, a) in enumerate(history, first)]
+    return train.sparkSession.createDataFrame(rows, "epoch int, objective double, accuracy double")

@@ -9,7 +9,7 @@ from opinloom.operators.ordering import with_scan_ordinal, with_split
 from opinloom.queries.registry import query
 from opinloom.session import work_path
 from opinloom.sources.delimited import scan_csv, sink_csv
-from opinloom.sources.jsonl import scan_jsonl, sink_jsonl
+from opinloom.sources.jsonl import scan_jsonl, scan_jsonl_with_rejects, sink_jsonl
 from opinloom.sources.tables import scan_split, sink_split, table
 
 
@@ -62,3 +62,23 @@ def scan_ordinal(spark: SparkSession, folder: str) -> DataFrame:
     path = work_path(spark, "csv")
     sink_csv(orders.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey"), path)
     return with_scan_ordinal(scan_csv(spark, path, orders.schema))
+
+
+@query(
+    """WITH lines AS (SELECT o_orderkey, o_custkey, '{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || '}' AS line FROM orders)
+    SELECT CASE o_orderkey % 50 WHEN 0 THEN 'not JSON' WHEN 1 THEN 'not an object' WHEN 2 THEN 'wrong type' END AS reason,
+      CASE o_orderkey % 50 WHEN 0 THEN left(line, length(line) - 3) WHEN 1 THEN '[' || line || ']'
+        WHEN 2 THEN '{"o_orderkey":"no number","o_custkey":' || o_custkey || '}' END AS line,
+      CASE WHEN o_orderkey % 50 > 2 THEN o_orderkey END AS o_orderkey, CASE WHEN o_orderkey % 50 > 2 THEN o_custkey END AS o_custkey FROM lines"""
+)
+def jsonl_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as JSON lines, every fiftieth cut off, in a list or with a word for a number: good rows and rejected lines."""
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("o_custkey").cast("long").alias("o_custkey"))
+    line, kind = F.to_json(F.struct("*")), F.col("o_orderkey") % 50
+    bad = F.to_json(F.struct(F.lit("no number").alias("o_orderkey"), "o_custkey"))
+    planted = F.when(kind == 0, F.expr("left(line, length(line) - 3)")).when(kind == 1, F.concat(F.lit("["), "line", F.lit("]"))).when(kind == 2, bad).otherwise(F.col("line"))
+    path = work_path(spark, "jsonl")
+    orders.withColumn("line", line).select(planted.alias("value")).write.text(path)
+    good, rejects = scan_jsonl_with_rejects(spark, path, orders.schema)
+    return good.select(F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("line"), "*").unionByName(
+        rejects.select("reason", "line"), allowMissingColumns=True)

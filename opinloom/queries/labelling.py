@@ -1,15 +1,19 @@
-"""Prompts and answers; answers that a model would give are made from the documents as columns."""
+"""Prompts, batch encoding, and answers that the tables hold."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinloom.contract import ERROR_PREFIX, LABELLING_LIMIT
+from opinloom.contract import LABELLING_LIMIT
 from opinloom.functions import answers, prompts
+from opinloom.operators.inference import encode_by_length
 from opinloom.operators.insights import aspect_summary as summarise_aspects
 from opinloom.operators.metrics import answer_rate
-from opinloom.operators.ordering import first_rows, head_rows
+from opinloom.operators.ordering import first_rows
 from opinloom.plans.labelling import pick_examples, read_polarity, read_scores, score_answer
 from opinloom.queries.evaluation import rounded
 from opinloom.queries.registry import LABELLED_SQL, documents, labelled, query
@@ -207,68 +211,13 @@ def json_field(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _reply(size: Column, limit: int) -> Column:
-    """An answer that follows from the size of the prompt; too long a prompt fails."""
-    said = F.element_at(F.array(*[F.lit(a) for a in ("It is negative.", "Neutral", "positive", "no idea")]), (size % 4 + 1).cast("int"))
-    return F.when(size <= limit, said)
-
-
-def _polarity_answers(docs: DataFrame, limit: int = 15_000) -> DataFrame:
-    size = F.length(prompts.render(prompts.ZERO_SHOT_POLARITY, F.col("text")))
-    error = F.when(size > limit, "prompt too long")
-    answer = F.coalesce(_reply(size, limit), F.concat(F.lit(ERROR_PREFIX), error))
-    return read_polarity(docs.select("doc_id", answer.alias("raw_model_output"), error.alias("error")))
-
-
-_ASKED_SQL = f"""asked AS (SELECT *, length({_prompt_sql(prompts.ZERO_SHOT_POLARITY, 'text')}) AS size FROM documents)"""
-
-
-@query(
-    f"""WITH {_ASKED_SQL}
-    SELECT doc_id, CASE WHEN size > 15000 THEN {quoted(ERROR_PREFIX + 'prompt too long')}
-        ELSE (['It is negative.', 'Neutral', 'positive', 'no idea'])[size % 4 + 1] END AS raw_model_output,
-      CASE WHEN size > 15000 THEN 'prompt too long' END AS error,
-      CASE WHEN size <= 15000 AND size % 4 < 3 THEN CAST(size % 4 - 1 AS INT) END AS predicted_polarity_label
-    FROM asked"""
-)
-def label_batch(spark: SparkSession, folder: str) -> DataFrame:
-    """Answers about every document read; failed calls keep their row."""
-    return _polarity_answers(documents(spark, folder))
-
-
-@query(
-    f"""WITH placed AS (SELECT * FROM documents ORDER BY doc_id LIMIT {LABELLING_LIMIT}),
-    asked AS (SELECT *, length({_prompt_sql(prompts.ZERO_SHOT_POLARITY, 'text')}) AS size FROM placed)
-    SELECT doc_id, CASE WHEN size <= 15000 AND size % 4 < 3 THEN CAST(size % 4 - 1 AS INT) END AS predicted_polarity_label FROM asked"""
-)
-def label_first_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """The first rows only, as many as the published runs label."""
-    docs = head_rows(documents(spark, folder), LABELLING_LIMIT, "doc_id")
-    return _polarity_answers(docs).select("doc_id", "predicted_polarity_label")
-
-
-@query(
-    f"""WITH asked AS (SELECT *, length({_prompt_sql(prompts.ZERO_SHOT_SCORE, 'text')}) AS size FROM documents)
-    SELECT doc_id, CAST(nullif(size % 6, 0) AS INT) AS predicted_score_label,
-      CASE WHEN size % 6 < 5 THEN CAST(5 - size % 6 AS INT) END AS service FROM asked"""
-)
-def score_batch(spark: SparkSession, folder: str) -> DataFrame:
-    """Fenced JSON answers about every document read into scores and aspects."""
-    score = F.length(prompts.render(prompts.ZERO_SHOT_SCORE, F.col("text"))) % 6
-    answer = F.concat(
-        F.lit('```json\n{"overall_score": '), score.cast("string"), F.lit(', "aspects": {"service": '),
-        (5 - score).cast("string"), F.lit("}}\n```"))
-    answers_read = read_scores(documents(spark, folder).select(
-        "doc_id", answer.alias("raw_model_output"), F.lit(None).cast("string").alias("error")))
-    return answers_read.select(
-        "doc_id", "predicted_score_label", F.try_element_at("predicted_aspects", F.lit("service")).alias("service")
-    )
+def _shape_encoder() -> Callable:
+    """Characters, blanks and line breaks of each text."""
 
+    def encode(texts: np.ndarray) -> np.ndarray:
+        return np.array([[len(t or ""), (t or "").count(" "), (t or "").count("\n")] for t in texts], np.float32)
 
-def text_shape(text: Column) -> list[Column]:
-    """Characters, blanks and line breaks of a text."""
-    without = lambda c: F.length(text) - F.length(F.translate(text, c, ""))
-    return [F.length(text), without(" "), without("\n")]
+    return encode
 
 
 @query(
@@ -277,6 +226,7 @@ def text_shape(text: Column) -> list[Column]:
       CAST(length(text) - length(replace(text, chr(10), '')) AS DOUBLE) AS breaks FROM documents"""
 )
 def encode_batch(spark: SparkSession, folder: str) -> DataFrame:
-    """A small dense encoding of every document."""
-    named = zip(text_shape(F.col("text")), ("chars", "blanks", "breaks"), strict=True)
-    return documents(spark, folder).select("doc_id", *[c.cast("double").alias(n) for c, n in named])
+    """Every document through the batch encoder, here one that gives three counts, texts of like length together."""
+    rows = encode_by_length(documents(spark, folder).select("doc_id", "text"), "text", _shape_encoder)
+    named = [F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(("chars", "blanks", "breaks"))]
+    return rows.select("doc_id", *named)

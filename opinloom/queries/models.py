@@ -8,16 +8,17 @@ from __future__ import annotations
 
 from functools import partial
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinloom.operators import metrics
+from opinloom.operators import metrics, word_vectors
+from opinloom.operators.inference import encode_by_length
 from opinloom.operators.ordering import split_fraction, with_split
 from opinloom.plans import training
 from opinloom.queries.evaluation import rounded
-from opinloom.queries.labelling import text_shape
 from opinloom.queries.registry import LABELLED_SQL, documents, labelled, query
-from opinloom.sources.tables import table
+from opinloom.session import written
 
 LANGUAGES = ["de", "en", "es", "fr"]
 
@@ -58,53 +59,58 @@ for _task in TASKS:
         query()(_run)
 
 
-def _embedding_report(spark: SparkSession, folder: str, kind: str) -> DataFrame:
-    train, test = split_fraction(table(spark, folder, "embeddings"), 0.9, "vec_id")
-    fitted = training.fit_embedding_model(train, "embedding", "label", kind)
-    predicted = training.predict(fitted, training.embedding_vector(test, "embedding"))
-    return report(predicted.withColumnRenamed("label", "actual"))
+def _encoded_report(spark: SparkSession, folder: str, kind: str, task: str) -> DataFrame:
+    """A head on the output of a frozen encoder: mean word vectors, learnt from the co-occurrences of the training rows."""
+    rows, label = TASKS[task]
+    train, test = split_fraction(rows(spark, folder), 0.9, "doc_id")
+    make = word_vectors.shipped(word_vectors.fit(train, "text"), spark)
+    encoded = written(encode_by_length(train, "text", make).select("doc_id", "embedding", label), "encoded")
+    fitted = training.fit_embedding_model(encoded, "embedding", label, kind)
+    predicted = training.predict(fitted, training.embedding_vector(encode_by_length(test, "text", make), "embedding"))
+    return report(predicted.withColumnRenamed(label, "actual"))
 
 
 @query()
 def embedding_logreg(spark: SparkSession, folder: str) -> DataFrame:
-    """Logistic regression on frozen-encoder output."""
-    return _embedding_report(spark, folder, "logreg")
+    """Logistic regression on frozen-encoder output, by language."""
+    return _encoded_report(spark, folder, "logreg", "score")
 
 
 @query()
 def embedding_mlp(spark: SparkSession, folder: str) -> DataFrame:
-    """Feed-forward head on frozen-encoder output."""
-    return _embedding_report(spark, folder, "mlp")
+    """Feed-forward head on frozen-encoder output, by language."""
+    return _encoded_report(spark, folder, "perceptron", "score")
 
 
 @query()
 def encoded_logreg(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts with a small dense encoding, classified by language."""
-    encoded = F.array(*[c.cast("float") for c in text_shape(F.col("text"))])
-    train, test = split_fraction(language_task(spark, folder).withColumn("embedding", encoded), 0.9, "doc_id")
-    fitted = training.fit_embedding_model(train, "embedding", "score_label")
-    predicted = training.predict(fitted, training.embedding_vector(test, "embedding"))
-    return report(predicted.withColumnRenamed("score_label", "actual"))
+    """Logistic regression on frozen-encoder output, by polarity."""
+    return _encoded_report(spark, folder, "logreg", "polarity")
 
 
 @query()
 def training_curve(spark: SparkSession, folder: str) -> DataFrame:
-    """Objective per iteration of a fit."""
+    """Objective and training accuracy after each step of the linear models and each epoch of the network."""
     train, _ = split_fraction(polarity_task(spark, folder), 0.9, "doc_id")
-    fitted = training.fit_text_model(train, "text", "polarity_label", "tfidf_logreg")
-    curve = training.training_curve(fitted)
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(curve)], "iteration int, objective double")
+    curves = [
+        training.training_curve(train, "text", "polarity_label", model).select(F.lit(model).alias("model"), "*")
+        for model in ("tfidf_logreg", "tfidf_svm", "tfidf_mlp")
+    ]
+    return curves[0].unionByName(curves[1]).unionByName(curves[2])
 
 
 @query()
 def trained_model_comparison(spark: SparkSession, folder: str) -> DataFrame:
-    """The linear models of each task, on shared features, ranked on the same held-out rows."""
+    """All eight models of each task, ranked on the same held-out rows; models of one weighting and width share features."""
     compared = None
     for task, (rows, label) in TASKS.items():
         train, test = split_fraction(rows(spark, folder), 0.9, "doc_id")
-        features = training.fit_text_vectorizer(train, "text", "tfidf_logreg")
-        for model in ("tfidf_logreg", "tfidf_svm"):
-            fitted = training.fit_text_model(train, "text", label, model, features)
+        shared: dict[tuple[str, int], PipelineModel] = {}
+        for model, (weighting, kind) in training.TEXT_MODELS.items():
+            key = (weighting, training.WIDTHS[kind])
+            if key not in shared:
+                shared[key] = training.fit_text_vectorizer(train, "text", model, label)
+            fitted = training.fit_text_model(train, "text", label, model, shared[key])
             part = training.predict(fitted, test).select(
                 F.lit(task).alias("task"), F.lit(model).alias("model"), F.col(label).alias("actual"), training.PREDICTED
             )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinloom.contract import NUMERIC_COLUMNS, POLARITY, SCORE, TEXT_COLUMNS
+from opinloom.contract import NUMERIC_COLUMNS, POLARITY, SCORE, SEED, TEXT_COLUMNS
 from opinloom.functions import cleaning
 from opinloom.functions.labels import class_index, class_label, to_polarity, to_score
 from opinloom.operators import ordering, projection
@@ -236,3 +236,20 @@ def salted_join(spark: SparkSession, folder: str) -> DataFrame:
     return joined.groupBy("l_returnflag", "l_linestatus", "p_brand").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("revenue")
     )
+
+
+def _epoch_sql(epoch: int) -> str:
+    """SQL of ``ordering.permuted``: a nested query for each round."""
+    rows = "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS place, count(*) OVER () AS n FROM orders"
+    for pair, draw in ordering.round_keys(SEED, epoch):
+        paired = f"SELECT *, (({pair} - place) % n + n) % n AS other FROM ({rows})"
+        mixed = f"SELECT *, ((greatest(place, other) % 2147483647 + {draw}) * {draw}) % 2147483647 AS mixed FROM ({paired})"
+        rows = f"SELECT o_orderkey, n, CASE WHEN ((mixed >> 7) + mixed) % 2 = 1 THEN other ELSE place END AS place FROM ({mixed})"
+    return f"SELECT {epoch} AS epoch, place AS position, o_orderkey FROM ({rows})"
+
+
+@query(" UNION ALL ".join(_epoch_sql(epoch) for epoch in range(3)))
+def epoch_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """The order of all rows in each of three epochs."""
+    rows = ordering.read_with_ordinal(spark, f"{folder}/orders.parquet").select("o_orderkey", "ordinal")
+    return ordering.epoch_orders(rows, 3, SEED).select("epoch", "position", "o_orderkey")

@@ -16,23 +16,19 @@ def quality(report):
     return accuracy, largest, macro
 
 
-# logistic regression and support vectors learn the languages; forests and networks on few hashed slots learn less
-MARGIN = {"logreg": 0.1, "svm": 0.1, "forest": 0.0, "mlp": 0.0}
-
-
 @pytest.mark.parametrize("name", sorted(TEXT_MODELS))
 def test_text_models_learn_the_languages(spark, name):
     accuracy, largest, _ = quality(entry.queries()[f"{name}_score"](spark, FOLDER).collect())
-    assert accuracy >= largest + MARGIN[name.split("_")[1]]
+    assert accuracy >= largest + 0.1
 
 
-@pytest.mark.parametrize("name", ["count_logreg", "tfidf_logreg", "count_mlp"])
+@pytest.mark.parametrize("name", ["count_logreg", "tfidf_logreg", "tfidf_svm", "count_mlp", "tfidf_mlp"])
 def test_text_models_of_polarity(spark, name):
     accuracy, largest, macro = quality(entry.queries()[f"{name}_polarity"](spark, FOLDER).collect())
-    assert accuracy >= largest - 0.05 and macro >= 1 / 3
+    assert accuracy >= largest and macro >= 1 / 3
 
 
-@pytest.mark.parametrize("name", ["embedding_logreg", "embedding_mlp", "encoded_logreg"])
-def test_dense_models(spark, name):
+@pytest.mark.parametrize("name, margin", [("embedding_logreg", 0.2), ("embedding_mlp", 0.2), ("encoded_logreg", 0.0)])
+def test_dense_models(spark, name, margin):
     accuracy, largest, _ = quality(entry.queries()[name](spark, FOLDER).collect())
-    assert accuracy >= largest
+    assert accuracy >= largest + margin

@@ -331,3 +331,18 @@ def test_insights_by_hand(spark):
     assert insights.popularity_correlation(same, "business", "score").first().correlation is None
     aspects = spark.createDataFrame([({"food": 5, "price": 1},), ({"food": 3},), ({},)], "m map<string,int>")
     assert rows(insights.aspect_summary(aspects, "m")) == [("food", 2, 4.0, 1, 0), ("price", 1, 1.0, 0, 1)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 257])
+def test_every_epoch_is_a_permutation(spark, n):
+    rows = ordering.epoch_orders(spark.range(n).withColumnRenamed("id", "ordinal"), 3, seed=5).collect()
+    orders = [[r.position for r in sorted(rows, key=lambda r: r.ordinal) if r.epoch == e] for e in range(3)]
+    assert all(sorted(o) == list(range(n)) for o in orders)
+    if n > 200:
+        assert orders[0] != orders[1] != orders[2]
+        # neighbours are scattered and most rows leave their place
+        for o in orders:
+            assert sum(abs(a - b) == 1 for a, b in zip(o, o[1:], strict=False)) < n / 10
+            assert sum(i == p for i, p in enumerate(o)) < n / 10
+    again = ordering.epoch_orders(spark.range(n).withColumnRenamed("id", "ordinal"), 3, seed=5).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))

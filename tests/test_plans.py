@@ -2,14 +2,16 @@ import json
 import math
 import sys
 
+import numpy as np
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from opinloom.contract import ENCODER_FRACTION, PREPARED_COLUMNS, USER_SCAN_EXCLUDES
 from opinloom.functions.prompts import ZERO_SHOT_POLARITY, Example
-from opinloom.operators.features import exact_vectors, fit_vectorizer, vector_terms
-from opinloom.operators.inference import complete, encode
+from opinloom.operators import word_vectors
+from opinloom.operators.features import chosen_words, exact_vectors, feature_width, fit_vectorizer, vector_terms
+from opinloom.operators.inference import answered, complete, encode, encode_by_length
 from opinloom.operators.ordering import with_scan_ordinal
 from opinloom.plans import labelling, training
 from opinloom.plans.prepare import prepare, prepare_split
@@ -88,7 +90,7 @@ def texts(spark):
     "name, options",
     [
         ("count_logreg", {}), ("tfidf_logreg", {}), ("tfidf_svm", {"max_iter": 20}),
-        ("count_forest", {"trees": 10, "depth": 5}), ("tfidf_mlp", {"hidden": [8]}),
+        ("count_forest", {"trees": 10, "depth": 5}), ("tfidf_mlp", {"hidden": (8,)}),
     ],
 )
 def test_text_models_learn(texts, name, options):
@@ -101,16 +103,43 @@ def test_text_models_learn(texts, name, options):
 
 
 def test_saved_model_predicts_the_same(spark, texts):
-    model = training.fit_text_model(texts, "text", "label", "tfidf_logreg")
-    curve = training.training_curve(model)
-    assert len(curve) > 1 and curve[-1] < curve[0]
-    path = work_path(spark, "model")
-    tables.save_model(model, path)
-    again = training.predict(tables.load_model(path), texts)
-    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, training.predict(model, texts).collect()))
+    for name in ("tfidf_mlp", "tfidf_svm", "tfidf_logreg"):
+        model = training.fit_text_model(texts, "text", "label", name)
+        path = work_path(spark, "model")
+        tables.save_model(model, path)
+        again = training.predict(tables.load_model(path), texts)
+        assert sorted(map(tuple, again.collect())) == sorted(map(tuple, training.predict(model, texts).collect()))
     assert {r.label: r.f1 for r in training.evaluate(model, texts, "label").collect()} == {-1: 1.0, 0: 1.0, 1: 1.0}
 
 
+@pytest.mark.parametrize("name", ["tfidf_logreg", "count_svm", "count_mlp"])
+def test_training_curve_ends_at_the_model(texts, name):
+    noisy = texts.withColumn("label", F.when(F.col("id") % 7 == 0, -F.col("label")).otherwise(F.col("label")))
+    curve = sorted(training.training_curve(noisy, "text", "label", name).collect())
+    assert len(curve) > 1 and curve[-1].objective < curve[0].objective
+    predicted = training.predict(training.fit_text_model(noisy, "text", "label", name), noisy)
+    assert curve[-1].accuracy == pytest.approx(predicted.where("label = predicted_label").count() / len(TEXTS))
+
+
+def test_chosen_words_tell_labels_apart(texts):
+    """The statistic against the table of word and label counts in plain Python."""
+    labels, words = [v for *_, v in TEXTS], [set(t.split()) for _, t, _ in TEXTS]
+
+    def statistic(word):
+        out, n = 0.0, len(labels)
+        for v in set(labels):
+            for held in (True, False):
+                seen = sum((word in w) == held and x == v for w, x in zip(words, labels, strict=True))
+                expected = sum((word in w) == held for w in words) * labels.count(v) / n
+                out += (seen - expected) ** 2 / expected if expected else 0
+        return out
+
+    expected = sorted(set().union(*words), key=lambda w: (-round(statistic(w), 9), w))
+    assert chosen_words(texts, "text", "label", 20) == expected
+    narrow = training.fit_text_vectorizer(texts, "text", "count_forest", "label")
+    assert feature_width(narrow) == len(expected)
+
+
 def test_hashing_leaves_no_term_out(texts):
     model = fit_vectorizer(texts, "text", "count", 4)
     counted = vector_terms(model.transform(texts), "id", "features")
@@ -158,7 +187,7 @@ def test_bad_inputs(texts):
 def test_embedding_heads(spark):
     rows = [(i, [float(i % 2), float(i % 3 == 0), 0.5], i % 2) for i in range(40)]
     df = spark.createDataFrame(rows, "id int, embedding array<float>, label int")
-    for kind, options in (("logreg", {}), ("mlp", {"hidden": [6]})):
+    for kind, options in (("logreg", {}), ("perceptron", {"hidden": [6]})):
         model = training.fit_embedding_model(df, "embedding", "label", kind, **options)
         predicted = training.predict(model, training.embedding_vector(df, "embedding"))
         assert predicted.where("label != predicted_label").count() == 0
@@ -248,6 +277,96 @@ def test_encode_keeps_rows_and_order_of_values(spark):
     assert sorted((r.t, r.embedding) for r in encode(df, "t", make).collect()) == [("banana", [6.0, 3.0]), ("x", [1.0, 0.0])]
 
 
+def test_encode_by_length_equals_plain_encoding(spark):
+    rows = [(i, "alpha beta " * (i % 17) + f"gamma delta{i % 5}") for i in range(200)] + [(900, None), (901, "")]
+    df = spark.createDataFrame(rows, "i int, t string").repartition(3)
+    encoder = word_vectors.fit(df, "t", vocabulary=8, width=4)
+    assert len(encoder.places) == 8 and encoder.vectors.shape == (8, 4)
+    found = {r.i: r.embedding for r in encode_by_length(df, "t", word_vectors.shipped(encoder, spark), batch_size=16).collect()}
+    assert len(found) == len(rows)
+    for i, t in rows:
+        known = [encoder.vectors[encoder.places[w]] for w in (t or "").split() if w in encoder.places]
+        assert found[i] == pytest.approx(sum(known) / len(known) if known else [0] * 4, abs=1e-6)
+
+
+def test_word_vectors_count_each_pair_once(spark):
+    df = spark.createDataFrame([("aa bb cc aa",), ("bb zz zz zz zz zz aa",), (None,)], "t string")
+    encoder = word_vectors.fit(df, "t", vocabulary=10, window=2, width=3)
+    order = list(encoder.places)
+    near = {("aa", "bb"): 2, ("aa", "cc"): 2, ("bb", "cc"): 1, ("bb", "zz"): 2, ("zz", "zz"): 7, ("aa", "zz"): 2}
+    matrix = np.zeros((4, 4))
+    for (a, b), n in near.items():
+        matrix[order.index(a), order.index(b)] += n
+        matrix[order.index(b), order.index(a)] += n
+    assert np.allclose(np.abs(encoder.vectors), np.abs(word_vectors._factors(matrix, 3)))
+    assert word_vectors.fit(df.where("t is null"), "t").encode(["aa"]).tolist() == [0.0] * word_vectors.WIDTH
+
+
+def test_a_prompt_is_asked_once_over_all_runs(spark, tmp_path):
+    calls, store = tmp_path / "calls", work_path(spark, "answers")
+    calls.mkdir()
+    df = spark.createDataFrame([(i, f"prompt {i % 30}" if i else None) for i in range(90)], "i int, p string")
+
+    def make(fails):
+        def build():
+            import uuid
+
+            def answer(prompt):
+                if prompt in fails:
+                    raise RuntimeError("not now")
+                (calls / uuid.uuid4().hex).write_text(prompt)
+                return prompt.upper()
+
+            return answer
+
+        return build
+
+    def asked():
+        return sorted(f.read_text() for f in calls.iterdir())
+
+    first = answered(df, "p", make({"prompt 7"}), store, requests=4)
+    assert set(first.columns) == {"i", "p", "error", "raw_model_output"}
+    rows = first.collect()
+    assert len(rows) == 90 and {r.p for r in rows if r.error} == {"prompt 7"}
+    prompts = sorted({"", *(f"prompt {i}" for i in range(30))})
+    assert asked() == sorted(set(prompts) - {"prompt 7"})
+    rows = answered(df, "p", make(set()), store, requests=4).collect()
+    assert all(r.error is None and r.raw_model_output == (r.p or "").upper() for r in rows)
+    assert asked() == prompts
+
+
+def test_a_killed_run_repeats_no_finished_task(spark, tmp_path):
+    calls, store = tmp_path / "calls", work_path(spark, "answers")
+    calls.mkdir()
+    df = spark.createDataFrame([(f"prompt {i}",) for i in range(40)], "p string")
+
+    def make(dies):
+        def build():
+            import os
+            import time
+            import uuid
+
+            def answer(prompt):
+                if dies and prompt == "prompt 13":
+                    time.sleep(4)
+                    os._exit(1)
+                (calls / uuid.uuid4().hex).write_text(prompt)
+                return prompt
+
+            return answer
+
+        return build
+
+    with pytest.raises(Exception):  # noqa: B017
+        answered(df, "p", make(True), store, requests=1).collect()
+    kept = {r.raw_model_output for r in spark.read.parquet(store).collect()}
+    assert len(kept) > 20
+    before = sorted(f.read_text() for f in calls.iterdir())
+    assert {r.raw_model_output for r in answered(df, "p", make(False), store, requests=1).collect()} == {f"prompt {i}" for i in range(40)}
+    again = sorted(f.read_text() for f in calls.iterdir())
+    assert len(again) - len(before) == 40 - len(kept)
+
+
 def test_training_and_encoded_rows(spark):
     df = spark.range(30).select(F.col("id").alias("ordinal"), F.lit("abc").alias("t"))
     assert training.training_rows(df, "tfidf_svm", max_rows=7).count() == 7

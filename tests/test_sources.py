@@ -108,3 +108,15 @@ def test_scan_ordinal_over_many_csv_files(spark):
     jsonl.sink_jsonl(rows.repartitionByRange(3, "id").sortWithinPartitions("id"), path + "-json")
     lines = with_scan_ordinal(jsonl.scan_jsonl(spark, path + "-json", rows.schema))
     assert lines.where("id != ordinal").count() == 0 and lines.count() == 3000
+
+
+def test_rejected_lines_keep_file_and_reason(spark, tmp_path):
+    good = ['{"a": 1, "b": "x"}', '{"b": "only b"}', '{"a": 2, "more": 5}', '  {"a": null}']
+    bad = ['{"a": 1', "[1]", "text", '{"a": "no number"}', '{"a": 1} x']
+    (tmp_path / "one.jsonl").write_text("\n".join([*good, "", "  ", *bad]) + "\n")
+    (tmp_path / "two.jsonl").write_text("null\n")
+    rows, rejects = jsonl.scan_jsonl_with_rejects(spark, str(tmp_path), T.StructType.fromDDL("a int, b string"))
+    assert sorted(map(str, rows.collect())) == sorted(map(str, spark.createDataFrame([(1, "x"), (None, "only b"), (2, None), (None, None)], "a int, b string").collect()))
+    found = {r.line: (r.file.rsplit("/", 1)[1], r.reason) for r in rejects.collect()}
+    assert found == {bad[0]: ("one.jsonl", "not JSON"), "[1]": ("one.jsonl", "not an object"), "text": ("one.jsonl", "not an object"),
+                     bad[3]: ("one.jsonl", "wrong type"), bad[4]: ("one.jsonl", "not JSON"), "null": ("two.jsonl", "not an object")}

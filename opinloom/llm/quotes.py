@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinloom.llm.shared import Work, plain_text
+from opinloom.llm.shared import Work, plain_text, with_row
 
 QUOTE = r"^(?:[ \t]?>)+"
 # How mail programs announce a quote.
 ANNOUNCED = r"(?i)(?:wrote|writes|schrieb|a écrit|escribió)\s*:\s*$"
-LEAST_CHARACTERS = 12
+WINDOW = 5  # words
 
 
 def _normal(text: Column) -> Column:
     """Lower case, any white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), r"[\s\u00a0]+", " "))
+
+
+def _words(text: Column) -> Column:
+    """The words of a text, without regard to line breaks."""
+    return F.filter(F.split(_normal(text), " ", -1), lambda w: w != "")
 
 
 def _parsed(text: Column) -> Column:
@@ -58,26 +63,44 @@ def parsed_messages(messages: DataFrame) -> DataFrame:
     return rows.withColumn("own", own).withColumn("quotes", quotes).drop("__lines")
 
 
-def _hashes(text: Column) -> Column:
-    """Hashes of a text as a whole and of its paragraphs and lines, after normalising; short ones tell nothing."""
-    parts = F.array_distinct(F.concat(F.array(text), F.split(text, r"\n\s*\n", -1), F.split(text, r"\n", -1)))
-    normal = F.filter(F.transform(parts, _normal), lambda p: F.length(p) >= LEAST_CHARACTERS)
-    return F.array_distinct(F.transform(normal, lambda p: F.xxhash64(p)))
+def _windows(words: Column, size: Column) -> Column:
+    """A hash of every run of ``size`` words."""
+    starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(size, F.array_join(F.slice(words, i, size), " ")))
 
 
-def _links(parsed: DataFrame) -> DataFrame:
-    """For each message its parent: the earlier turn that wrote most of what it quotes at the first level.
+def _wholes(text: Column) -> Column:
+    """A hash of the whole text, of each of its paragraphs and of each line, those of fewer words than a window."""
+    parts = F.concat(F.array(text), F.split(text, r"\n\s*\n", -1), F.split(text, r"\n", -1))
+    short = F.filter(F.transform(parts, _words), lambda w: (F.size(w) > 0) & (F.size(w) < WINDOW))
+    return F.transform(short, lambda w: F.xxhash64(F.lit(-1), F.array_join(w, " ")))
 
-    Of several turns with the same passage the first is its author, so a passage has one source in a conversation and
-    a common line cannot multiply.
+
+def _links(parsed: DataFrame) -> DataFrame:
+    """For each message its parent, and how many parts of its quotes were found in earlier messages.
+
+    A quoted passage is taken as its runs of ``WINDOW`` words, so line breaks don't matter; a shorter one as a whole line,
+    paragraph or message, and as a run of so many words. Every level is linked. The parent is found at the lowest level
+    that has any link: the turn with a whole short passage before others, then with most parts, then the latest. Of
+    several turns that wrote a part the first is its author, so a part has one source in a conversation and a common
+    line cannot multiply. Messages are cut into runs of the lengths that their conversation asks for, none without
+    quotes.
     """
-    wrote = parsed.select("conv_id", "turn", F.explode(_hashes(F.col("own"))).alias("passage"))
-    author = wrote.groupBy("conv_id", "passage").agg(F.min("turn").alias("source"))
-    quote = parsed.select("conv_id", "turn", F.explode("quotes").alias("q")).where(F.col("q.level") == 1)
-    cited = quote.select("conv_id", "turn", F.explode(_hashes(F.col("q.body"))).alias("passage"))
-    met = cited.join(author, ["conv_id", "passage"]).where(F.col("source") < F.col("turn"))
-    votes = met.groupBy("conv_id", "turn", "source").agg(F.count_distinct("passage").alias("n"))
-    best = F.max(F.struct("n", "source"))
+    quoted = parsed.where(F.size("quotes") > 0).select("conv_id", "turn", F.explode("quotes").alias("q")).select(
+        "conv_id", "turn", F.col("q.level").alias("level"), _words(F.col("q.body")).alias("words"))
+    size = F.least(F.size("words"), F.lit(WINDOW))
+    whole = F.when(F.size("words") < WINDOW, F.array(F.xxhash64(F.lit(-1), F.array_join("words", " ")))).otherwise(F.array().cast("array<bigint>"))
+    parts = F.concat(
+        F.transform(whole, lambda h: F.struct(F.lit(1).alias("whole"), h.alias("part"))),
+        F.transform(_windows(F.col("words"), size), lambda h: F.struct(F.lit(0).alias("whole"), h.alias("part"))))
+    cited = quoted.select("conv_id", "turn", "level", F.inline(parts)).distinct()
+    asked = quoted.groupBy("conv_id").agg(F.collect_set(size).alias("sizes"))
+    written = F.concat(_wholes(F.col("own")), F.flatten(F.transform("sizes", lambda n: _windows(F.col("own_words"), n))))
+    wrote = parsed.join(asked, "conv_id").withColumn("own_words", _words(F.col("own"))).select("conv_id", "turn", F.explode(F.array_distinct(written)).alias("part"))
+    author = wrote.groupBy("conv_id", "part").agg(F.min("turn").alias("source"))
+    met = cited.join(author, ["conv_id", "part"]).where(F.col("source") < F.col("turn"))
+    votes = met.groupBy("conv_id", "turn", "level", "source").agg(F.max("whole").alias("whole"), F.count("*").alias("n"))
+    best = F.max(F.struct(-F.col("level"), "whole", "n", "source"))
     return votes.groupBy("conv_id", "turn").agg(best.alias("best"), F.sum("n").alias("linked")).select(
         "conv_id", "turn", F.col("best.source").alias("parent_turn"), F.col("linked").alias("n_linked"))
 
@@ -102,20 +125,18 @@ def _threads(links: DataFrame, work: Work) -> DataFrame:
 def reply_ordered(messages: DataFrame) -> DataFrame:
     """Every message without its quotes, with its place among the replies of its conversation.
 
-    ``parent_turn`` is the message it quotes (null if none is found), ``thread`` the turns from the root of its replies
-    to itself, ``depth`` the number of messages above it, ``n_quotes`` and ``n_linked`` the quoted passages and those
-    parts of them found in earlier messages; ``formatted`` is the message under its role. Ordered by conv_id and thread, every message
+    ``parent_turn`` is the message it quotes (null if none is found; see ``_links``), ``thread`` the turns from the root of
+    its replies to itself, ``depth`` the number of messages above it, ``n_quotes`` the quoted passages of all levels and
+    ``n_linked`` the parts of them found in earlier messages; ``formatted`` is the message under its role. Ordered by conv_id and thread, every message
     follows the one it replies to; messages that quote nothing keep the order of turns.
 
     A null text is empty; a message that is quotes only has an empty text. A null conv_id or turn links with nothing.
-    Repeated rows keep their number. Turns equal in one conversation share their links. Extra columns are kept, those
-    named like a new one are replaced. An empty table stays empty.
+    Repeated rows keep their number. Turns equal in one conversation share their links. Extra columns are kept whatever
+    their names, those named like a new one are replaced. An empty table stays empty.
     """
     work = Work(messages.sparkSession)
-    new = ("parent_turn", "thread", "depth", "n_quotes", "n_linked", "formatted", "own", "quotes", "path")
-    rows = messages.select(*[c for c in messages.columns if c not in new])
-    parsed = parsed_messages(rows)
-    links = work.table(_links(parsed), "links")
+    parsed = parsed_messages(with_row(messages, "conv_id", "turn", "role", "text"))
+    links = work.table(_links(parsed.drop("__row")), "links")
     placed = parsed.join(links.join(_threads(links, work), ["conv_id", "turn"]), ["conv_id", "turn"], "left")
     text = F.trim(F.col("own"))
     thread = F.coalesce("path", F.when(F.col("turn").isNotNull(), F.array("turn")), F.array().cast("array<bigint>"))
@@ -123,7 +144,9 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
         "depth": F.greatest(F.size("thread") - 1, F.lit(0)), "n_quotes": F.size("quotes"),
         "n_linked": F.coalesce("n_linked", F.lit(0)), "text": text,
         "formatted": F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), text)})
-    return done.select(*rows.columns, "parent_turn", "thread", "depth", "n_quotes", "n_linked", "formatted")
+    new = ("parent_turn", "thread", "depth", "n_quotes", "n_linked", "formatted")
+    own = [F.col("text") if c == "text" else F.col("__row").getField(c).alias(c) for c in messages.columns if c not in new]
+    return done.select(*own, *new)
 
 
 def written_in_order(messages: DataFrame, path: str) -> None:

@@ -12,6 +12,7 @@ import tiktoken
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from opinloom.llm.shared import plain_text, python_tasks, sliced
 
@@ -119,7 +120,7 @@ def best_fit_decreasing(lengths: np.ndarray, room: int) -> list[list[int]]:
     return rows
 
 
-PACKED = "sequence_id string, n_tokens int, doc_ids array<bigint>, parts array<int>, cu_seqlens array<int>, ids binary, position_ids binary"
+PACKED = "sequence_id string, n_tokens int, doc_ids array<{}>, parts array<int>, cu_seqlens array<int>, ids binary, position_ids binary"
 
 
 def packed(docs: DataFrame, shipped: Broadcast, room: int = ROW_LENGTH) -> DataFrame:
@@ -135,6 +136,8 @@ def packed(docs: DataFrame, shipped: Broadcast, room: int = ROW_LENGTH) -> DataF
     bounded, and a task that is run again packs alike. Room left over is below one row a window plus what best fit leaves.
     """
 
+    kind = to_arrow_type(docs.schema["doc_id"].dataType)
+
     def window(number: int, ids: list, owner: list, part: list) -> pa.RecordBatch:
         rows = best_fit_decreasing(np.array([len(x) for x in ids]), room)
         columns: list[list] = [[] for _ in range(7)]
@@ -149,7 +152,7 @@ def packed(docs: DataFrame, shipped: Broadcast, room: int = ROW_LENGTH) -> DataF
                 [part[i] for i in items], bounds.tolist(), matrix.tobytes(), place.tobytes())
             for c, v in zip(columns, values, strict=True):
                 c.append(v)
-        kinds = [pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+        kinds = [pa.string(), pa.int32(), pa.list_(kind), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
         names = ["sequence_id", "n_tokens", "doc_ids", "parts", "cu_seqlens", "ids", "position_ids"]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
@@ -170,7 +173,7 @@ def packed(docs: DataFrame, shipped: Broadcast, room: int = ROW_LENGTH) -> DataF
         if ids:
             yield window(number, ids, owner, part)
 
-    return docs.select(F.col("doc_id").cast("bigint"), plain_text().alias("text")).mapInArrow(pack, PACKED)
+    return docs.select("doc_id", plain_text().alias("text")).mapInArrow(pack, PACKED.format(docs.schema["doc_id"].dataType.simpleString()))
 
 
 def written(docs: DataFrame, shipped: Broadcast, path: str, room: int = ROW_LENGTH) -> None:

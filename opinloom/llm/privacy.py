@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinloom.llm.shared import Work, plain_text
+from opinloom.llm.shared import Work, plain_text, row_unpacked, with_row
 
 # The patterns and their order. Possessive repeats match the same and never recurse on long runs; an
 # address begins after a character that cannot be part of one, or where the last match ended.
@@ -212,9 +212,10 @@ def found_spans(docs: DataFrame, work: Work | None = None) -> DataFrame:
 def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` sanitised: values become their kind in brackets, terms ``[term]`` or, if sure, nothing.
 
-    Where spans overlap, the one that begins first is replaced and the rest of the others dropped.
+    Where spans overlap, the one that begins first is replaced and the rest of the others dropped. All other columns stay,
+    whatever their names.
     """
-    found = found_spans(docs)
+    found = found_spans(with_row(docs, "doc_id", "text", without="text"))
     plain = [F.transform(k, lambda s: F.struct(s["start"], s["kind"], s["end"], F.lit(False).alias("removed"))) for k in PATTERNS]
     spans = F.array_sort(F.concat(*plain, F.coalesce("terms", F.array().cast("array<struct<start:int,kind:int,end:int,removed:boolean>>"))))
     names = F.array(*[F.lit(f"[{k}]") for k in (*PATTERNS, TERM)])
@@ -229,7 +230,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put)
     clean = found.withColumn("__done", done)
     rest = F.substring(text, F.col("__done.at") + 1, F.length(text))
-    return clean.withColumn("text", F.concat(F.col("__done.out"), rest)).select(*docs.columns)
+    return row_unpacked(clean.withColumn("text", F.concat(F.col("__done.out"), rest)), docs.columns, without="text")
 
 
 def span_digests(docs: DataFrame) -> DataFrame:

@@ -94,12 +94,16 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             first = last
 
 
-def with_row(docs: DataFrame, *needed: Column) -> DataFrame:
-    """All of the caller's columns as one struct ``__row``, beside what an operator needs: no names can clash."""
-    return docs.select(F.struct("*").alias("__row"), *needed)
+def with_row(docs: DataFrame, *needed: Column | str, without: str | None = None) -> DataFrame:
+    """The caller's columns, but for one if asked, as a struct ``__row`` beside what an operator needs: no names can clash."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != without]).alias("__row"), *needed)
 
 
-def row_unpacked(df: DataFrame, columns: list[str], *new: Column | str) -> DataFrame:
-    """The caller's columns out of ``__row`` and then the operator's; a caller's column of such a name is replaced."""
+def row_unpacked(df: DataFrame, columns: list[str], *new: Column | str, without: str | None = None) -> DataFrame:
+    """The caller's columns out of ``__row`` and then the operator's; a caller's column of such a name is replaced.
+
+    The column ``without`` is taken from the operator's table, at its old place.
+    """
     added = df.select(*new).columns if new else []
-    return df.select(*[F.col("__row").getField(c).alias(c) for c in columns if c not in added], *new)
+    own = [F.col(c) if c == without else F.col("__row").getField(c).alias(c) for c in columns if c not in added]
+    return df.select(*own, *new)

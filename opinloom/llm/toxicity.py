@@ -11,11 +11,11 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinloom.llm.hashing import U, byte_values, mixed, word_bounds, word_hashes
-from opinloom.llm.shared import Work, held_out, plain_text, python_tasks, sliced, text_bytes
+from opinloom.llm.shared import Work, held_out, plain_text, python_tasks, row_unpacked, sliced, text_bytes, with_row
 from opinloom.llm.textstats import DIGIT, HIGH, LETTER, LOUD, MARK, SYMBOL, UPPER, byte_class, of_text, per_text
 
 FIT_ROWS = 16000
@@ -196,8 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FI
     n, positive = sample.agg(F.count("*"), F.sum("label")).first()
     positive = positive or 0
     rate = (positive + 1) / (n + 2)
-    least = min((r["count"] for r in sample.groupBy("fold", "label").count().collect()), default=0)
-    if positive in (0, n) or least == 0:
+    # every fifth needs rows of both labels
+    if positive in (0, n) or sample.groupBy("fold", "label").count().count() < 10:
         return Model(Lexicon(np.zeros(0, np.uint64), np.zeros(0)), None, None, rate)
     lexicon = _learnt_lexicon(sample.where("fold < 2"))
     rows_in = work.table(_vector(_with_features(sample.where("fold >= 2"), lexicon)).select("fold", "vector", "label"), "toxicity-features")
@@ -217,16 +217,20 @@ def _margin(rows: DataFrame) -> DataFrame:
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score``, the calibrated probability of toxicity; a column of this name is replaced.
+    """``docs`` with ``score``, the calibrated probability of toxicity; a column of this name is replaced, all others stay.
 
     A null or empty text is scored by its (zero) features. Repeated rows get equal scores, an empty table stays empty.
     Isotonic steps are flat, so the uncalibrated score still counts for a hundredth: it orders texts within a step.
     """
-    own = [c for c in docs.columns if c != "score"]
+    rows = with_row(docs, "text", without="text")
+
+    def answer(found: DataFrame, score: Column) -> DataFrame:
+        return row_unpacked(found, docs.columns, score.alias("score"), without="text")
+
     if model.trees is None:
-        return docs.select(*own, F.lit(model.rate).alias("score"))
-    rows = _margin(model.trees.transform(_vector(_with_features(docs.select(*own).withColumn("text", plain_text()), model.lexicon))))
+        return answer(rows, F.lit(model.rate))
+    rows = _margin(model.trees.transform(_vector(_with_features(rows, model.lexicon))))
     if model.calibration is None:
-        return rows.select(*own, F.col("margin").alias("score"))
+        return answer(rows, F.col("margin"))
     rows = model.calibration.transform(rows)
-    return rows.select(*own, (F.col("calibrated") * 0.99 + F.col("margin") * 0.01).alias("score"))
+    return answer(rows, F.col("calibrated") * 0.99 + F.col("margin") * 0.01)

@@ -11,7 +11,7 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
 SUBSET = 0.75
 STEPS = 4
-LEAST_ROWS = 200
+PRIOR_ROWS = 50  # rows that the estimate of a language counts for beside those of one of its sources
 # The median of chi-squared with five degrees of freedom, and the distance beyond which a text goes.
 MEDIAN_DISTANCE = 4.351
 CUT = 120.0
@@ -69,6 +69,8 @@ def _transformed() -> list[Column]:
 X = [f"x{i}" for i in range(DIMENSIONS)]
 MEANS = [f"m{i}" for i in range(DIMENSIONS)]
 FACTOR = [(i, j) for i in range(DIMENSIONS) for j in range(i + 1)]
+COVARIANCE = [f"c{i}{j}" for i, j in FACTOR]
+SEPARATOR = "\x1f"
 
 
 def _at(i: int, j: int, prefix: str = "l") -> str:
@@ -84,12 +86,12 @@ def _factored(rows: DataFrame) -> DataFrame:
                 left = left - F.col(_at(i, k)) * F.col(_at(j, k))
             entry = F.sqrt(F.greatest(left, F.lit(1e-9))) if i == j else left / F.col(_at(j, j))
             rows = rows.withColumn(_at(i, j), entry)
-    return rows.select("group", *MEANS, *[_at(i, j) for i, j in FACTOR])
+    return rows.select("group", "lang", *MEANS, *[_at(i, j) for i, j in FACTOR])
 
 
 def _distance(rows: DataFrame, fitted: DataFrame) -> DataFrame:
     """Rows with ``distance``, the squared Mahalanobis distance, by forward substitution."""
-    rows = rows.join(fitted, "group")
+    rows = rows.join(fitted.drop("lang"), "group")
     for i in range(DIMENSIONS):
         left = F.col(X[i]) - F.col(MEANS[i])
         for k in range(i):
@@ -115,6 +117,7 @@ def _start(rows: DataFrame) -> DataFrame:
     entry = lambda i, value: F.max(F.when(F.col("dim") == i, value))
     spread = (F.col("q2") - F.col("q0")) / (1.349 * FINENESS)
     wide = both.groupBy("group").agg(
+        F.substring_index("group", SEPARATOR, 1).alias("lang"),
         *[entry(i, (F.col("q1") + 0.5) / FINENESS).alias(MEANS[i]) for i in range(DIMENSIONS)],
         *[entry(i, spread).alias(f"s{i}") for i in range(DIMENSIONS)])
     covariance = {
@@ -133,23 +136,48 @@ def _concentrated(rows: DataFrame, fitted: DataFrame) -> DataFrame:
     bins = near.groupBy("group", "bin").agg(F.count("*").alias("n"), *sums)
     inside = bins.join(_quantile(bins, ["group"], SUBSET, "edge"), "group").where(F.col("bin") <= F.col("edge"))
     names = ["n", *[f"t{i}" for i in range(DIMENSIONS)], *[_at(i, j, "t") for i, j in FACTOR]]
-    total = inside.groupBy("group").agg(*[F.sum(c).alias(c) for c in names]).join(fitted.select("group", *MEANS), "group")
+    total = inside.groupBy("group").agg(*[F.sum(c).alias(c) for c in names]).join(fitted.select("group", "lang", *MEANS), "group")
     n = F.col("n")
     moved = {MEANS[i]: F.col(MEANS[i]) + F.col(f"t{i}") / n for i in range(DIMENSIONS)}
     covariance = {
-        _at(i, j, "c"): F.col(_at(i, j, "t")) / n - F.col(f"t{i}") / n * F.col(f"t{j}") / n + (FLOORS[i] ** 2 if i == j else 0.0)
-        for i, j in FACTOR}
-    return _factored(total.withColumns(covariance | moved))
+        _at(i, j, "c"): F.col(_at(i, j, "t")) / n - F.col(f"t{i}") / n * F.col(f"t{j}") / n for i, j in FACTOR}
+    shrunk = _shrunk(total.withColumns(covariance | moved).select("group", "lang", "n", *MEANS, *COVARIANCE))
+    return _factored(shrunk.withColumns({_at(i, i, "c"): F.col(_at(i, i, "c")) + FLOORS[i] ** 2 for i in range(DIMENSIONS)}))
+
+
+def _pooled(parts: DataFrame, *keys: str) -> DataFrame:
+    """Number, means and covariance of the rows of several groups together, from those of each."""
+    n = F.sum("n")
+    mean = [F.sum(F.col("n") * F.col(m)) / n for m in MEANS]
+    second = {c: F.sum(F.col("n") * (F.col(c) + F.col(MEANS[i]) * F.col(MEANS[j]))) / n for c, (i, j) in zip(COVARIANCE, FACTOR, strict=True)}
+    pooled = parts.groupBy(*keys).agg(n.alias("n"), *[x.alias(m) for x, m in zip(mean, MEANS, strict=True)], *[x.alias(c) for c, x in second.items()])
+    return pooled.withColumns({c: F.col(c) - F.col(MEANS[i]) * F.col(MEANS[j]) for c, (i, j) in zip(COVARIANCE, FACTOR, strict=True)})
+
+
+def _towards(parts: DataFrame, wider: DataFrame, *keys: str) -> DataFrame:
+    """Means and covariance drawn to those of a wider group, which count for ``PRIOR_ROWS`` rows."""
+    names = [*MEANS, *COVARIANCE]
+    renamed = wider.select(*keys, *[F.col(c).alias(f"w_{c}") for c in names])
+    joined = parts.join(renamed, list(keys)) if keys else parts.join(renamed, F.lit(True))
+    share = F.col("n") / (F.col("n") + PRIOR_ROWS)
+    return joined.withColumns({c: share * F.col(c) + (1 - share) * F.col(f"w_{c}") for c in names}).select(*parts.columns)
+
+
+def _shrunk(parts: DataFrame) -> DataFrame:
+    """The estimate of each group, drawn to that of its language, which is drawn to that of all rows, by row count."""
+    langs = _pooled(parts, "lang")
+    return _towards(parts, _towards(langs, _pooled(langs)), "lang")
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """Per row doc_id, the base counts, ``base_failed``, ``distance`` and ``kept``.
 
-    Texts that pass the base rules are compared within their language and source, or within the language, or all
-    together, whichever is the first to hold ``LEAST_ROWS`` of them. Estimates start from medians and quartiles and
-    take ``STEPS`` concentration steps on the nearest three quarters, towards the least determinant of the covariance;
-    distances are scaled by their median. A small floor on each deviation keeps constant statistics from rejecting
-    whatever differs at all.
+    Texts that pass the base rules are compared within their language and source. Estimates start from medians and
+    quartiles and take ``STEPS`` concentration steps on the nearest three quarters, towards the least determinant of the
+    covariance. After each step a group's estimate is drawn to that of its language, and this to that of all rows, by
+    row count: there is no size at which a group begins to count, and a single text is judged by its language. Distances
+    are scaled by their median, drawn to that of the language alike. A small floor on each deviation keeps constant
+    statistics from rejecting whatever differs at all.
 
     Null and blank texts have no words and fail the base rules, as any text under fifty words. Null languages or sources
     form groups of their own. Repeated rows are judged alike and counted as often as they come. Columns other than doc_id,
@@ -161,23 +189,22 @@ def judged(docs: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     stats = work.table(stats.withColumn("base_failed", failed).withColumns(dict(zip(X, _transformed(), strict=True))), "statistics")
     passed = stats.where(~F.col("base_failed"))
-    fine = passed.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    by_lang = fine.groupBy("lang").agg(F.sum("n").alias("n_lang"))
-    sep = F.lit("\x1f")
-    choice = F.when(F.col("n") >= LEAST_ROWS, F.concat("lang", sep, "source")).when(F.col("n_lang") >= LEAST_ROWS, F.col("lang")).otherwise("")
-    groups = work.table(fine.join(by_lang, "lang").select("lang", "source", choice.alias("group")), "groups")
-    rows = work.table(passed.join(groups, ["lang", "source"]).select("group", *X), "vectors")
+    passed = passed.withColumn("group", F.concat("lang", F.lit(SEPARATOR), "source"))
+    rows = work.table(passed.select("group", *X), "vectors")
     fitted = work.table(_start(rows), "fit")
     for _ in range(STEPS):
         following = work.table(_concentrated(rows, fitted), "fit")
         work.drop(fitted)
         fitted = following
     far = _distance(rows, fitted).groupBy("group", F.floor(F.log1p("distance") * FINENESS).alias("bin")).agg(F.count("*").alias("n"))
-    scale = _quantile(far, ["group"], 0.5, "middle").select(
-        "group", F.greatest(F.expm1((F.col("middle") + 1) / FINENESS) / MEDIAN_DISTANCE, F.lit(0.05)).alias("scale"))
+    middle = _quantile(far, ["group"], 0.5, "middle").join(far.groupBy("group").agg(F.sum("n").alias("n")), "group").select(
+        "group", "n", F.substring_index("group", SEPARATOR, 1).alias("lang"), (F.expm1((F.col("middle") + 1) / FINENESS) / MEDIAN_DISTANCE).alias("own"))
+    of_lang = middle.groupBy("lang").agg((F.sum(F.col("n") * F.col("own")) / F.sum("n")).alias("wide"))
+    share = F.col("n") / (F.col("n") + PRIOR_ROWS)
+    scale = middle.join(of_lang, "lang").select("group", F.greatest(share * F.col("own") + (1 - share) * F.col("wide"), F.lit(0.05)).alias("scale"))
     final = work.table(fitted.join(scale, "group"), "fit")
     work.drop(rows, fitted)
-    measured = _distance(passed.join(groups, ["lang", "source"]), final)
+    measured = _distance(passed, final)
     answer = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     inside = measured.select(*answer, (F.col("distance") / F.col("scale")).alias("distance"))
     outside = stats.where("base_failed").select(*answer, F.lit(None).cast("double").alias("distance"))

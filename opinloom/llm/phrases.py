@@ -30,8 +30,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST, LONGEST, TOP = 100, 5, 2000
 PART_WORDS = 1 << 20  # words of the dictionary in one broadcast
 SIDE_BY_SIDE = 4  # broadcasts that a task holds at once
-AT_ONCE = 1 << 18  # phrases counted together
-KEPT = 1 << 20  # different phrases that a task holds before it gives its filters away
+AT_ONCE = 1 << 17  # phrases counted together
+KEPT = 1 << 19  # different phrases that a task holds before it gives its filters away
 SHARD_PHRASES = 1 << 20
 FILTER_BITS = 26  # at most, of the bit array that tells which shorter phrases are frequent
 BUCKETS = 64

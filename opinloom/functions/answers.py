@@ -51,15 +51,50 @@ def _parse(text: Column, single_quotes: bool) -> Column:
     return F.when(F.size(parsed) == 1, F.get(parsed, F.lit(0)))
 
 
+# --- fixed values: the tokens of a Python literal, the parts of its strings, what its names and escapes mean in JSON ---
+TOKEN = r"""(?s)'(?:[^'\\\n]|\\.)*'|"(?:[^"\\\n]|\\.)*"|[A-Za-z_]+|[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?|[\{\}\[\](),:]|\s+"""
+CHARACTER = r"(?s)\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\.|[^\\]"
+NAMES = {"True": "true", "False": "false", "None": "null"}
+ESCAPES = {"\\'": "'", "\\a": "\\u0007", "\\v": "\\u000b", "\\\n": "", '"': '\\"', "\t": "\\t"}
+KEPT_ESCAPES = ['\\"', "\\\\", "\\n", "\\r", "\\t", "\\b", "\\f"]
+
+
+def _json_character(c: Column) -> Column:
+    """A character or escape of a Python string as JSON writes it."""
+    rule = F.when(c.isin(*KEPT_ESCAPES) | c.startswith("\\u"), c)
+    for python, json in ESCAPES.items():
+        rule = rule.when(c == python, F.lit(json))
+    rule = rule.when(c.startswith("\\x"), F.concat(F.lit("\\u00"), F.substring(c, 3, 2)))
+    return rule.when(c.startswith("\\"), F.concat(F.lit("\\"), c)).otherwise(c)
+
+
+def _json_token(token: Column) -> Column:
+    """A token of a Python literal as JSON writes it; null for a name that Python does not know."""
+    inside = F.regexp_extract_all(F.substring(token, 2, F.length(token) - 2), F.lit(CHARACTER), F.lit(0))
+    string = F.concat(F.lit('"'), F.array_join(F.transform(inside, _json_character), ""), F.lit('"'))
+    rule = F.when(token.startswith("'") | token.startswith('"'), string).when(token == "(", "[").when(token == ")", "]")
+    for python, json in NAMES.items():
+        rule = rule.when(token == python, F.lit(json))
+    number = F.regexp_replace(F.regexp_replace(F.regexp_replace(token, r"^\+", ""), r"^(?<sign>-?)\.", "${sign}0."), r"\.(?![0-9])", ".0")
+    return rule.when(token.rlike("^[A-Za-z_]"), F.lit(None)).when(token.rlike(r"^[-+.0-9]"), number).otherwise(token)
+
+
+def literal_as_json(text: Column) -> Column:
+    """A Python literal of dicts, lists, tuples, strings, numbers and the three names as JSON text; null for other text.
+
+    The text is cut into tokens, so quotes, commas and names inside a string are left alone. A comma before a closing
+    bracket goes. Brackets around a single value count as a list.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    known = F.filter(tokens, lambda t: F.trim(F.translate(t, "\t\n\r\f\x0b", "     ")) != "")
+    last = lambda t, i: (t == ",") & F.get(known, i + 1).isin("}", "]", ")")
+    told = F.transform(F.filter(known, lambda t, i: ~F.coalesce(last(t, i), F.lit(False))), _json_token)
+    whole = (F.array_join(tokens, "") == text) & ~F.exists(told, lambda t: t.isNull())
+    return F.when(whole, F.array_join(told, " "))
+
+
 def _parse_literal(text: Column) -> Column:
-    """A Python literal: single quotes, True / False / None, and none of their JSON spellings."""
-    value = r"([:,\[]\s*){0}(?=\s*[,}}\]])"
-    json = text
-    for word, spelling in (("True", "true"), ("False", "false"), ("None", "null")):
-        json = F.regexp_replace(json, value.format(word), f"$1{spelling}")
-    is_json = text.rlike(value.format("(true|false|null)"))
-    is_literal = text.contains("'") | text.rlike("True|False|None")
-    return F.when(is_literal & ~is_json, _parse(json, single_quotes=True))
+    return _parse(literal_as_json(text), False)
 
 
 def parse_object(text: Column, repaired: Column) -> Column:

@@ -1,3 +1,6 @@
+import ast
+import json
+import random
 import re
 
 from hypothesis import HealthCheck, given, settings
@@ -144,3 +147,42 @@ def test_prompts(spark):
     assert "Review: good\nSentiment: positive\n\nReview: bad {examples}\nSentiment: negative\n\nReview: it's" in few
     assert few.endswith("Sentiment:")
     assert '{"overall_score": n' in score and "cleanliness" in score
+
+
+def random_literal(rng, depth=0):
+    """A Python literal as text, with any quotes, escapes, tuples and closing commas."""
+    kind = rng.randrange(8 if depth < 3 else 5)
+    if kind == 0:
+        return rng.choice(["True", "False", "None"])
+    if kind == 1:
+        return repr(rng.choice([0, 7, -3, 12345678901, 1.5, -0.25, 1e20, 2.5e-7])) if rng.random() < 0.8 else rng.choice(["+4", ".5", "3.", "-.5"])
+    if kind < 5:
+        quote = rng.choice("'\"")
+        parts = ["a", "Z", " ", "é", "日", ",", ":", "{", "]", "(", "None", "True", "true", ",}", "\\n", "\\t", "\\\\", "\\'", '\\"', "\\x41", "\\u00e9", "\\q", "/", "0"]
+        return quote + "".join(rng.choice([*parts, {"'": '"', '"': "'"}[quote]]) for _ in range(rng.randrange(6))) + quote
+    inner = [random_literal(rng, depth + 1) for _ in range(rng.randrange(4))]
+    space = lambda: rng.choice(["", " ", "\n "])
+    if kind == 5:
+        return "[" + space() + (", " + space()).join(inner) + ("," if inner and rng.random() < 0.3 else "") + space() + "]"
+    if kind == 6:
+        return "(" + ",".join(inner) + ("," if len(inner) == 1 else "") + ")"
+    items = [f"'k{i}'{space()}:{space()}{v}" for i, v in enumerate(inner)]
+    return "{" + (space() + ",").join(items) + (" ," if items and rng.random() < 0.3 else "") + "}"
+
+
+
+def test_python_literals_equal_python(column):
+    rng = random.Random(11)
+    texts = [random_literal(rng) for _ in range(2000)]
+
+    def plain(v):
+        if isinstance(v, (list, tuple)):
+            return [plain(x) for x in v]
+        return {k: plain(x) for k, x in v.items()} if isinstance(v, dict) else v
+
+    found = column(texts, answers.literal_as_json)
+    for text, json_text in zip(texts, found, strict=True):
+        assert json_text is not None, text
+        assert json.loads(json_text) == plain(ast.literal_eval(text)), text
+    broken = ["{'a': tru}", "{'a': true}", "{'a': 'b}", "a b c", "{'a': @}", "x = 1", None]
+    assert column(broken, answers.literal_as_json) == [None] * len(broken)

@@ -33,9 +33,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text again."""
     shipped = pieces.ship(spark, public_tokenizers.path("piece_bpe_32k.model"))
-    rows = pieces.decoded(pieces.encoded(docs.select("doc_id", "lang", "source", "text"), shipped), shipped)
-    lossless = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", lossless.alias("lossless"))
+    rows = pieces.encoded(docs.select("doc_id", "lang", "source", "text"), shipped, lossless=True)
+    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "lossless")
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mixed", mixed), ("tokens", tokens)]

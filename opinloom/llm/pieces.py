@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from opinloom.llm.shared import plain_text, python_tasks, sliced
 
 SPACE = "▁"
-KEPT_WORDS = 250_000  # in each of two generations
-KEPT_PAIRS = 500_000
+KEPT_WORDS = 150_000  # in each of two generations
+KEPT_PAIRS = 300_000
 KEPT_LENGTH = 40
 ROWS_AT_ONCE = 256
 ENDLESS = float("inf")
@@ -286,23 +286,29 @@ def ship(spark: SparkSession, path: str) -> Broadcast:
     return python_tasks(spark).sparkContext.broadcast(Vocabulary(path))
 
 
-def encoded(docs: DataFrame, shipped: Broadcast) -> DataFrame:
-    """``docs`` with ``ids``, the encoding of each whole text; a column of this name is replaced.
+def encoded(docs: DataFrame, shipped: Broadcast, lossless: bool = False) -> DataFrame:
+    """``docs`` with ``ids``, the encoding of each whole text, and if asked ``lossless``: whether they decode to it again.
+
+    Columns of these names are replaced.
 
     A null or empty text has no ids. Repeated rows get equal ids, an empty table stays empty. Very long texts take
     time and memory in proportion to their length.
     """
-    own = [c for c in docs.columns if c != "ids"]
+    new = ["ids", "lossless"][: 1 + lossless]
+    own = [c for c in docs.columns if c not in new]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = codec(shipped)
         for batch in sliced(batches, "__text"):
-            ids = [np.array(of.encode(t), np.int32) for t in batch.column(len(own)).to_pylist()]
+            texts = batch.column(len(own)).to_pylist()
+            ids = [np.array(of.encode(t), np.int32) for t in texts]
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(own)], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))], [*own, "ids"])
+            added = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))]
+            if lossless:
+                added.append(pa.array([of.decode(i.tolist()) == t for i, t in zip(ids, texts, strict=True)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], *added], [*own, *new])
 
-    schema = docs.select(*own).withColumn("ids", F.array(F.lit(0))).schema
+    schema = docs.select(*own).withColumns(dict(zip(new, (F.array(F.lit(0)), F.lit(True)), strict=False))).schema
     return docs.select(*own, plain_text().alias("__text")).mapInArrow(read, schema)
 
 

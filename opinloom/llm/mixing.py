@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opinloom.llm.shared import plain_text, row_unpacked, with_row, words
+from opinloom.llm.shared import plain_text, row_unpacked, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -38,12 +38,13 @@ def water_levels(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     return first.select("source_key", "source_size", target.alias("target"))
 
 
-def _planned(docs: DataFrame, weights: tuple, share: float, epochs: float, seed: int) -> DataFrame:
-    """``__row`` of every row with what ``mixture`` adds."""
+def _planned(docs: DataFrame, weights: tuple, share: float, epochs: float, seed: int, kept: list[str] | None = None) -> DataFrame:
+    """``__row`` of every row, its columns or those ``kept``, with what ``mixture`` adds."""
     text = plain_text()
     drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     key = F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit("")))
-    sized = with_row(docs, F.col("doc_id"), F.size(words(text)).cast("long").alias("size"), key.alias("source_key"), drawn.alias("drawn"))
+    row = F.struct(*[docs[f"`{c}`"] for c in kept or docs.columns]).alias("__row")
+    sized = docs.select(row, "doc_id", F.size(words(text)).cast("long").alias("size"), key.alias("source_key"), drawn.alias("drawn"))
     sized = sized.withColumn("bin", F.substring("drawn", 1, BIN_DIGITS))
     bins = sized.select("source_key", "bin", "size").groupBy("source_key", "bin").agg(F.sum("size").alias("bin_size"))
     levels = water_levels(bins.groupBy("source_key").agg(F.sum("bin_size").alias("source_size")), weights, share, epochs)
@@ -78,6 +79,18 @@ def mixture(
     return row_unpacked(planned, docs.columns, "size", "source_size", "target", "whole", "part")
 
 
+def taken_words(
+    docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: int = SEED
+) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` of every row: the words the mix takes, repeats counted; see ``mixture``.
+
+    No text is moved.
+    """
+    planned = _planned(docs, weights, share, epochs, seed, ["doc_id"])
+    taken = F.col("whole") * F.col("size") + F.col("part")
+    return planned.select("__row.doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
 def mixed_documents(
     docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: int = SEED
 ) -> DataFrame:

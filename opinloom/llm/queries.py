@@ -48,9 +48,8 @@ WITH {mixing.MIXTURE_SQL}
 SELECT doc_id, size, source_size, target, whole * size + greatest(0, least(size, more - before)) AS taken FROM reached
 """)
 def op8_mixing_to_target_weights(spark: SparkSession, folder: str) -> DataFrame:
-    plan = mixing.mixture(documents(spark, folder).select("doc_id", "source", "text"))
-    taken = F.col("whole") * F.col("size") + F.col("part")
-    return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    """Words that the mix of sources takes of every document."""
+    return mixing.taken_words(documents(spark, folder))
 
 
 @query()

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
@@ -71,6 +73,43 @@ def test_sums_over_many_tasks_are_added_in_levels(spark, monkeypatch):
     assert np.allclose(blocks.summed(held, partial, 13, 20), [*x.sum(axis=0), len(y)])
 
 
+def test_the_driver_gets_the_sum_alone(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "PIECE", 5)
+    held, frame, x, y = table(spark, partitions=20)
+    received, kind = [], type(frame)
+    collect = kind.toArrow
+    monkeypatch.setattr(kind, "toArrow", lambda df: received.append(collect(df)) or received[-1])
+    assert np.allclose(blocks.summed(held, lambda parts: sum(r.transposed_times(np.ones((len(r), 1)), 12)[:, 0] for r in parts), 12, 20), x.sum(axis=0))
+    assert [t.num_rows for t in received] == [3]
+
+
+def test_products_equal_dense_ones():
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random((40, 9)) < 0.2, rng.normal(size=(40, 9)), 0)
+    x[0] = x[-1] = 0
+    row, index = np.nonzero(x)
+    rows = blocks.Rows(np.r_[0, np.cumsum((x != 0).sum(axis=1))], index.astype(np.int32), x[row, index], np.zeros(40, int))
+    w, side = rng.normal(size=(9, 3)), rng.normal(size=(40, 3))
+    assert np.allclose(rows.times(w), x @ w) and np.allclose(rows.transposed_times(side, 9), x.T @ side)
+    used, some = rows.dense(9)
+    assert np.allclose(some, x[:, used]) and not np.delete(x, used, axis=1).any()
+
+
+def test_bag_scores_many_rows_in_little_memory():
+    rng = np.random.default_rng(6)
+    n, held, inputs = 3000, 300, 2000
+    rows = blocks.Rows(np.arange(0, n * held + 1, held), rng.integers(0, inputs, n * held).astype(np.int32), rng.random(n * held), np.zeros(n, int))
+    bag = embedding_bag.Bag.made(inputs, 3, 1, 32, (8,))
+    tracemalloc.start()
+    try:
+        p = bag.probabilities(rows)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert p.shape == (n, 3) and np.allclose(p[7:9], bag.probabilities(rows.part(7, 9)))
+    assert most < 30 << 20
+
+
 def test_bag_gradients_equal_differences():
     rng = np.random.default_rng(3)
     rows = blocks.Rows(np.array([0, 2, 2, 5]), np.array([0, 3, 1, 3, 3]), rng.random(5) + 0.1, np.array([0, 1, 1]))

@@ -346,3 +346,23 @@ def test_every_epoch_is_a_permutation(spark, n):
             assert sum(i == p for i, p in enumerate(o)) < n / 10
     again = ordering.epoch_orders(spark.range(n).withColumnRenamed("id", "ordinal"), 3, seed=5).collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+
+
+def test_places_of_an_epoch_are_computed_for_many_rows_at_once(spark):
+    rows = spark.range(7).select(F.when(F.col("id") < 6, F.col("id")).alias("ordinal"))
+
+    def place(at, keys, n):
+        for pair, draw in keys:
+            other = (pair - at) % n
+            mixed = (max(at, other) % ((1 << 31) - 1) + draw) * draw % ((1 << 31) - 1)
+            at = other if ((mixed >> 7) + mixed) % 2 else at
+        return at
+
+    for n in (6, 1 << 40):
+        placed = rows.select("ordinal", ordering.permuted(F.col("ordinal"), n, 5, 1).alias("place"))
+        keys = ordering.round_keys(5, 1)
+        assert {r.ordinal: r.place for r in placed.collect()} == {None: None} | {i: place(i, keys, n) for i in range(6)}
+    orders = ordering.epoch_orders(spark.range(9).withColumnRenamed("id", "ordinal"), 3, seed=5)
+    assert orders.columns == ["ordinal", "epoch", "position"]
+    # a lambda would be interpreted round by round
+    assert "lambdafunction" not in orders._jdf.queryExecution().optimizedPlan().toString()

@@ -366,3 +366,15 @@ def test_places_of_an_epoch_are_computed_for_many_rows_at_once(spark):
     assert orders.columns == ["ordinal", "epoch", "position"]
     # a lambda would be interpreted round by round
     assert "lambdafunction" not in orders._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_of_a_large_file_get_their_ordinal_where_they_are_read(spark):
+    path = work_path(spark, "one_file")
+    spark.range(100).coalesce(1).write.parquet(path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")  # as if the table were large
+    try:
+        placed = ordering.read_with_ordinal(spark, path)
+        assert "SortMergeJoin" not in placed._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, placed.collect())) == [(i, i) for i in range(100)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

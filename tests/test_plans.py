@@ -412,3 +412,20 @@ def test_with_document(spark):
     assert training.with_document(df).first().document == "good Bar Rome Ann"
     with pytest.raises(KeyError):
         training.with_document(df.drop("user_name"))
+
+
+def test_an_encoder_gets_few_texts_as_python_objects(spark):
+    import gc
+
+    def make():
+        def encode(texts):
+            texts = list(texts)
+            return [[float(len(t or "")), float(sum(1 for o in gc.get_objects() if type(o).__name__ == "Series"))] for t in texts]
+
+        return encode
+
+    df = spark.range(300).select(F.when(F.col("id") > 0, F.repeat(F.lit("x"), F.col("id").cast("int"))).alias("t"), "id").coalesce(1)
+    rows = encode(df, "t", make, batch_size=16).collect()
+    assert [r.embedding[0] for r in sorted(rows, key=lambda r: r.id)] == [float(i) for i in range(300)]
+    # no pandas column of the whole Arrow batch
+    assert {r.embedding[1] for r in rows} == {0.0}

@@ -100,49 +100,49 @@ def _distance(rows: DataFrame, fitted: DataFrame) -> DataFrame:
     return rows.withColumn("distance", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(DIMENSIONS)), F.lit(0.0)))
 
 
-def _quantile(counts: DataFrame, keys: list[str], share: float, name: str) -> DataFrame:
-    """Per key the first bin by which ``share`` of the rows is reached; a row per key and bin comes in."""
-    upto = Window.partitionBy(*keys).orderBy("bin")
-    all_of = Window.partitionBy(*keys)
-    reached = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(all_of))
-    return reached.where(F.col("upto") >= F.lit(share) * F.col("all")).groupBy(*keys).agg(F.min("bin").alias(name))
+def _cumulated(counts: DataFrame, *keys: str) -> DataFrame:
+    """A row per key and bin with ``upto``, the rows of the key up to this bin, and ``all`` rows of the key."""
+    of_key = Window.partitionBy(*keys)
+    return counts.select("*", F.sum("n").over(of_key.orderBy("bin")).alias("upto"), F.sum("n").over(of_key).alias("all"))
+
+
+def _first_bin(share: float, among: Column | None = None) -> Column:
+    """Aggregate: the first bin by which ``share`` of the rows is reached."""
+    reached = F.col("upto") >= F.lit(share) * F.col("all")
+    return F.min(F.when(reached if among is None else among & reached, F.col("bin")))
 
 
 def _start(rows: DataFrame) -> DataFrame:
     """Medians, and quartile ranges as uncorrelated deviations, from a histogram of each statistic."""
     long = rows.select("group", F.posexplode(F.array(*[F.floor(F.col(x) * FINENESS) for x in X])).alias("dim", "bin"))
-    counts = long.groupBy("group", "dim", "bin").agg(F.count("*").alias("n"))
-    q = [_quantile(counts, ["group", "dim"], p, f"q{k}") for k, p in enumerate((0.25, 0.5, 0.75))]
-    both = q[0].join(q[1], ["group", "dim"]).join(q[2], ["group", "dim"])
-    entry = lambda i, value: F.max(F.when(F.col("dim") == i, value))
-    spread = (F.col("q2") - F.col("q0")) / (1.349 * FINENESS)
-    wide = both.groupBy("group").agg(
-        F.substring_index("group", SEPARATOR, 1).alias("lang"),
-        *[entry(i, (F.col("q1") + 0.5) / FINENESS).alias(MEANS[i]) for i in range(DIMENSIONS)],
-        *[entry(i, spread).alias(f"s{i}") for i in range(DIMENSIONS)])
-    covariance = {
-        _at(i, j, "c"): F.pow(F.col(f"s{i}"), 2) + FLOORS[i] ** 2 if i == j else F.lit(0.0) for i, j in FACTOR}
-    return _factored(wide.withColumns(covariance))
+    counts = _cumulated(long.groupBy("group", "dim", "bin").agg(F.count("*").alias("n")), "group", "dim")
+    quartiles = counts.groupBy("group").agg(
+        *[_first_bin(p, F.col("dim") == i).alias(f"q{k}{i}") for i in range(DIMENSIONS) for k, p in enumerate((0.25, 0.5, 0.75))])
+    spread = [(F.col(f"q2{i}") - F.col(f"q0{i}")) / (1.349 * FINENESS) for i in range(DIMENSIONS)]
+    return quartiles.select(
+        "group", F.substring_index("group", SEPARATOR, 1).alias("lang"),
+        *[((F.col(f"q1{i}") + 0.5) / FINENESS).alias(MEANS[i]) for i in range(DIMENSIONS)],
+        *[(F.pow(spread[i], 2) + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(_at(i, j, "c")) for i, j in FACTOR])
 
 
 def _concentrated(rows: DataFrame, fitted: DataFrame) -> DataFrame:
-    """One concentration step: mean and covariance of the nearest rows of each group under the last estimate.
+    """Half of a concentration step: mean and covariance of the nearest rows of each group under the last estimate.
 
-    Sums are taken per group and bin of the distance, so the subset and its moments come from the same pass.
+    Sums are taken per group and bin of the distance, so the subset and its moments come from the same pass. A bin is
+    inside if the bins before it do not reach ``SUBSET`` of the rows.
     """
     near = _distance(rows, fitted).withColumn("bin", F.floor(F.log1p("distance") * FINENESS))
     off = [F.col(X[i]) - F.col(MEANS[i]) for i in range(DIMENSIONS)]
     sums = [F.sum(o).alias(f"t{i}") for i, o in enumerate(off)] + [F.sum(off[i] * off[j]).alias(_at(i, j, "t")) for i, j in FACTOR]
-    bins = near.groupBy("group", "bin").agg(F.count("*").alias("n"), *sums)
-    inside = bins.join(_quantile(bins, ["group"], SUBSET, "edge"), "group").where(F.col("bin") <= F.col("edge"))
+    bins = near.groupBy("group", "bin").agg(F.count("*").alias("n"), *sums, *[F.first(m).alias(m) for m in MEANS])
+    inside = _cumulated(bins, "group").where(F.col("upto") - F.col("n") < F.lit(SUBSET) * F.col("all"))
     names = ["n", *[f"t{i}" for i in range(DIMENSIONS)], *[_at(i, j, "t") for i, j in FACTOR]]
-    total = inside.groupBy("group").agg(*[F.sum(c).alias(c) for c in names]).join(fitted.select("group", "lang", *MEANS), "group")
+    total = inside.groupBy("group").agg(*[F.sum(c).alias(c) for c in names], *[F.first(m).alias(m) for m in MEANS])
     n = F.col("n")
-    moved = {MEANS[i]: F.col(MEANS[i]) + F.col(f"t{i}") / n for i in range(DIMENSIONS)}
-    covariance = {
-        _at(i, j, "c"): F.col(_at(i, j, "t")) / n - F.col(f"t{i}") / n * F.col(f"t{j}") / n for i, j in FACTOR}
-    shrunk = _shrunk(total.withColumns(covariance | moved).select("group", "lang", "n", *MEANS, *COVARIANCE))
-    return _factored(shrunk.withColumns({_at(i, i, "c"): F.col(_at(i, i, "c")) + FLOORS[i] ** 2 for i in range(DIMENSIONS)}))
+    return total.select(
+        "group", F.substring_index("group", SEPARATOR, 1).alias("lang"), "n",
+        *[(F.col(MEANS[i]) + F.col(f"t{i}") / n).alias(MEANS[i]) for i in range(DIMENSIONS)],
+        *[(F.col(_at(i, j, "t")) / n - F.col(f"t{i}") / n * F.col(f"t{j}") / n).alias(_at(i, j, "c")) for i, j in FACTOR])
 
 
 def _pooled(parts: DataFrame, *keys: str) -> DataFrame:
@@ -166,7 +166,8 @@ def _towards(parts: DataFrame, wider: DataFrame, *keys: str) -> DataFrame:
 def _shrunk(parts: DataFrame) -> DataFrame:
     """The estimate of each group, drawn to that of its language, which is drawn to that of all rows, by row count."""
     langs = _pooled(parts, "lang")
-    return _towards(parts, _towards(langs, _pooled(langs)), "lang")
+    drawn = _towards(parts, _towards(langs, _pooled(langs)), "lang")
+    return drawn.withColumns({_at(i, i, "c"): F.col(_at(i, i, "c")) + FLOORS[i] ** 2 for i in range(DIMENSIONS)})
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -191,18 +192,24 @@ def judged(docs: DataFrame) -> DataFrame:
     passed = stats.where(~F.col("base_failed"))
     passed = passed.withColumn("group", F.concat("lang", F.lit(SEPARATOR), "source"))
     rows = work.table(passed.select("group", *X), "vectors")
-    fitted = work.table(_start(rows), "fit")
+    # Small tables between the parts of a step keep each plan short: the driver holds the plans of a job, many times over.
+    parts = work.table(_start(rows), "moments")
+    fitted = work.table(_factored(parts), "fit")
+    work.drop(parts)
     for _ in range(STEPS):
-        following = work.table(_concentrated(rows, fitted), "fit")
-        work.drop(fitted)
+        parts = work.table(_concentrated(rows, fitted), "moments")
+        following = work.table(_factored(_shrunk(parts)), "fit")
+        work.drop(parts, fitted)
         fitted = following
     far = _distance(rows, fitted).groupBy("group", F.floor(F.log1p("distance") * FINENESS).alias("bin")).agg(F.count("*").alias("n"))
-    middle = _quantile(far, ["group"], 0.5, "middle").join(far.groupBy("group").agg(F.sum("n").alias("n")), "group").select(
-        "group", "n", F.substring_index("group", SEPARATOR, 1).alias("lang"), (F.expm1((F.col("middle") + 1) / FINENESS) / MEDIAN_DISTANCE).alias("own"))
+    middle = _cumulated(far, "group").groupBy("group").agg(_first_bin(0.5).alias("middle"), F.max("all").alias("n"))
+    middle = work.table(middle.select(
+        "group", "n", F.substring_index("group", SEPARATOR, 1).alias("lang"), (F.expm1((F.col("middle") + 1) / FINENESS) / MEDIAN_DISTANCE).alias("own")), "scales")
     of_lang = middle.groupBy("lang").agg((F.sum(F.col("n") * F.col("own")) / F.sum("n")).alias("wide"))
     share = F.col("n") / (F.col("n") + PRIOR_ROWS)
     scale = middle.join(of_lang, "lang").select("group", F.greatest(share * F.col("own") + (1 - share) * F.col("wide"), F.lit(0.05)).alias("scale"))
     final = work.table(fitted.join(scale, "group"), "fit")
+    work.drop(middle)
     work.drop(rows, fitted)
     measured = _distance(passed, final)
     answer = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]

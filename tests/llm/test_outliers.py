@@ -118,3 +118,19 @@ def test_distances_equal_a_plain_estimate(spark):
         own = [found[i].distance for i, lang, source, *_ in rows if (lang, source) == key]
         ratio = np.array(own) / distances
         assert np.allclose(ratio, ratio[0], rtol=1e-3), (key, ratio)
+
+
+def test_plans_stay_short(spark, monkeypatch):
+    """What one job plans is held by the driver, many times over."""
+    sizes = []
+    table = outliers.Work.table
+
+    def counted(work, df, purpose):
+        sizes.append(len(df._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+        return table(work, df, purpose)
+
+    monkeypatch.setattr(outliers.Work, "table", counted)
+    rnd = random.Random(5)
+    rows = [(i, rnd.choice(["en", "de"]), "s", prose(rnd, 60), "", 0) for i in range(20)]
+    assert outliers.judged(spark.createDataFrame(rows, SCHEMA)).count() == 20
+    assert max(sizes) <= 40

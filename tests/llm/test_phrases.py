@@ -102,3 +102,18 @@ def test_words_with_one_hash_stay_apart(monkeypatch):
     assert table.seed > 0
     data = np.frombuffer(b"cd ab abc xy", np.uint8)
     assert table.numbers(data, np.array([0, 3, 6, 10]), np.array([2, 5, 9, 12])).tolist() == [1, 0, 2, -1]
+
+
+def test_texts_cross_to_python_once(spark, monkeypatch):
+    """A task that numbers the words and makes streams of them has one Python worker."""
+    plans = {}
+    table = phrases.Work.table
+
+    def seen(work, df, purpose):
+        plans[purpose] = df._jdf.queryExecution().optimizedPlan().toString()
+        return table(work, df, purpose)
+
+    monkeypatch.setattr(phrases.Work, "table", seen)
+    rows = [("en", "a b a b"), (None, None)]
+    assert found(spark, rows, least=1) == brute(rows, 1, 5, 2000)
+    assert plans["streams"].count("MapInArrow") == 1

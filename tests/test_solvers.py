@@ -145,3 +145,30 @@ def test_bag_learns_alike_on_every_run(spark):
     assert first.history[-1][0] < first.history[0][0] and len(first.history) == 6
     all_rows = blocks.Rows(np.arange(0, 150 * 12 + 1, 12), np.tile(np.arange(12), 150), x.ravel(), y)
     assert first.history[-1][1] == pytest.approx((first.probabilities(all_rows).argmax(axis=1) == y).mean())
+
+
+@pytest.mark.parametrize("loss", ["squared_hinge", "softmax"])
+@pytest.mark.parametrize(("at_hand", "apart"), [(1 << 20, 0.3), (0, 1.0), (0, 0.0)])
+def test_products_read_only_rows_that_bend_the_loss(spark, monkeypatch, loss, at_hand, apart):
+    monkeypatch.setattr(newton, "AT_HAND", at_hand)
+    monkeypatch.setattr(newton, "KEPT_APART", apart)
+    held, _, x, y = table(spark, seed=7)
+    rng = np.random.default_rng(8)
+    w, v = 3 * rng.normal(size=(13, 3)), rng.normal(size=(13, 3))
+    a = np.column_stack([x, np.ones(len(x))])
+    z, u = a @ w, a @ v
+    if loss == "squared_hinge":
+        side = 2 * (1 - np.where(y[:, None] == np.arange(3), 1, -1) * z > 0) * u
+    else:
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        side = p * (u - (p * u).sum(axis=1, keepdims=True))
+    passes = newton._Passes(held, loss, 12, 3)
+    bent, entries = passes.gradient(w)[4]
+    assert entries == (x != 0).sum() and bent <= entries
+    run = newton.summed
+    read = []
+    monkeypatch.setattr(newton, "summed", lambda *given: read.append(1) or run(*given))
+    with passes.hessian(w, bent, entries) as (product, most):
+        assert np.allclose(product(v), a.T @ side)
+    assert read == ([] if at_hand else [1]) and most == (newton.MOST_AT_HAND if at_hand else newton.MOST_PRODUCTS)

@@ -172,3 +172,14 @@ def test_products_read_only_rows_that_bend_the_loss(spark, monkeypatch, loss, at
     with passes.hessian(w, bent, entries) as (product, most):
         assert np.allclose(product(v), a.T @ side)
     assert read == ([] if at_hand else [1]) and most == (newton.MOST_AT_HAND if at_hand else newton.MOST_PRODUCTS)
+
+
+def test_passes_send_blocks_in_small_batches(spark, monkeypatch):
+    held, frame, x, y = table(spark)
+    limits, kind, before = [], type(frame), spark.conf.get(blocks.BATCH_LIMIT)
+    collect = kind.toArrow
+    monkeypatch.setattr(kind, "toArrow", lambda df: limits.append(spark.conf.get(blocks.BATCH_LIMIT)) or collect(df))
+    blocks.summed(held, lambda parts: sum(len(r) for r in parts), 1, 4)
+    with newton._Passes(held, "softmax", 12, 3).hessian(np.zeros((13, 3)), 1, 1):
+        pass
+    assert limits == [str(blocks.BATCH_BYTES)] * 2 and spark.conf.get(blocks.BATCH_LIMIT) == before

@@ -183,3 +183,13 @@ def test_passes_send_blocks_in_small_batches(spark, monkeypatch):
     with newton._Passes(held, "softmax", 12, 3).hessian(np.zeros((13, 3)), 1, 1):
         pass
     assert limits == [str(blocks.BATCH_BYTES)] * 2 and spark.conf.get(blocks.BATCH_LIMIT) == before
+
+
+def test_bag_without_a_curve_is_the_same_in_fewer_looks(spark, monkeypatch):
+    held = table(spark, seed=4)[0].persist()
+    run, passes = embedding_bag.summed, []
+    monkeypatch.setattr(embedding_bag, "summed", lambda *given: passes.append(1) or run(*given))
+    with_curve, plain = (embedding_bag.fit(held, 12, 3, epochs=3, seed=1, width=8, hidden=(8,), curve=c) for c in (True, False))
+    held.unpersist()
+    assert all((a == b).all() for a, b in zip(with_curve.arrays, plain.arrays, strict=True))
+    assert len(passes) == 4 + 3 and len(with_curve.history) == 3 and not plain.history
